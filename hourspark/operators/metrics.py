@@ -109,7 +109,7 @@ def prediction_table(
     return df.select(
         *keep,
         F.col(actual).cast("double").alias("actual"),
-        F.greatest(F.col(predicted), F.lit(0.0)).alias("prediction"),
+        F.when(finite(F.col(predicted)).isNotNull(), F.greatest(F.col(predicted), F.lit(0.0))).alias("prediction"),
         seen.alias("unit_seen_in_train"),
         missing.alias("missing_feature_count"),
         F.when(missing > 0, "missing").otherwise("complete").alias("missingness_group"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourspark.operators.ordered import first_n
 
@@ -53,7 +54,7 @@ def stratified_preview(df: DataFrame, strata: list[str], key: Column, rows: int,
     if sum(counts.values()) <= rows:
         return df.orderBy(*order)
     share = quotas(counts, rows)
-    types = df.select(*strata).schema.add("_quota", "int")
+    types = df.select(*strata).schema.add("_quota", T.IntegerType())
     table = F.broadcast(df.sparkSession.createDataFrame([(*k, q) for k, q in share.items()], types))
     hashed = df.withColumn("_h", F.sha2(key.cast("binary"), 256)).withColumn("_k", key)
     short = first_n(hashed, strata, [F.col("_h"), F.col("_k")], max(share.values()), "_rn")
