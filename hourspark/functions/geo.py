@@ -8,11 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hourspark.functions.numbers import half_even
 
 EARTH_M = 6_371_000.0
 METRES_PER_DEGREE = 111_320.0
 REFERENCE_LAT = -37.81
 WALKING_M_PER_MIN = 80.0
+POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_M) -> Column:
@@ -64,7 +68,7 @@ def valid_coordinate(lat: Column, lon: Column) -> Column:
 def coordinate_key(lat: Column, lon: Column) -> Column:
     """Struct(lat, lon) at 7 decimals, null when the coordinate is not usable."""
     return F.when(
-        valid_coordinate(lat, lon), F.struct(F.bround(lat, 7).alias("lat"), F.bround(lon, 7).alias("lon"))
+        valid_coordinate(lat, lon), F.struct(half_even(lat, 7).alias("lat"), half_even(lon, 7).alias("lon"))
     )
 
 
@@ -81,7 +85,7 @@ def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float], kee
     return inside | lat.isNull() | lon.isNull() if keep_missing else inside
 
 
-@F.pandas_udf("struct<lat double, lon double>")
+@F.pandas_udf(POINT)
 def wkb_point(raw: pd.Series) -> pd.DataFrame:
     """Latitude and longitude of WKB points; null for other shapes and short values."""
     lat = np.full(len(raw), np.nan)

@@ -14,9 +14,27 @@ def half_up(col: Column, digits: int = 0) -> Column:
     return F.floor(col * scale + F.lit(0.5)) / scale
 
 
+# 2^27 + 1 cuts a double into two halves whose products are exact.
+_CUT = 134_217_729.0
+
+
 def half_even(col: Column, digits: int = 0) -> Column:
-    """Round halves to even (the Python rule)."""
-    return F.bround(col, digits)
+    """Round the exact binary value, exact halves to even (the Python rule).
+
+    ``bround`` rounds the shortest decimal text instead and differs next to a half, so the rounding error
+    of ``value * 10^digits`` is recovered exactly and decides on which side of the half the value lies.
+    """
+    value, scale = col.cast("double"), float(10**digits)
+    scale_high = scale * _CUT - (scale * _CUT - scale)
+    scale_low = scale - scale_high
+    high = value * _CUT - (value * _CUT - value)
+    low = value - high
+    product = value * scale
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    whole = F.floor(product)
+    above = (product - whole - 0.5) + error
+    up = (above > 0) | ((above == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    return (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
 
 
 def finite(col: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourspark.functions.geo import WALKING_M_PER_MIN, haversine_km
 from hourspark.functions.labels import recommended
-from hourspark.functions.numbers import half_up
+from hourspark.functions.numbers import half_even, half_up
 
 MIN_SHADE_GAIN = 0.04
 MIN_CROWD_GAIN = 0.08
@@ -91,4 +91,4 @@ def straight_line(requests: DataFrame) -> DataFrame:
 
 def snap_warning(side: str, metres: Column, limit: float = 50.0) -> Column:
     """``<side>_snap_distance_m_<metres>`` for a start or end far from the network."""
-    return F.when(metres > limit, F.concat(F.lit(f"{side}_snap_distance_m_"), F.bround(metres).cast("bigint").cast("string")))
+    return F.when(metres > limit, F.concat(F.lit(f"{side}_snap_distance_m_"), half_even(metres).cast("bigint").cast("string")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourspark.functions.numbers import half_even
 from hourspark.functions.geo import haversine_m
 from hourspark.operators.ordered import numbered
 from hourspark.operators.spatial import neighbour_cells, with_cell
@@ -19,7 +20,7 @@ SNAP_M = 20.0
 
 def first_seen(vertices: DataFrame) -> DataFrame:
     """Distinct vertices at 7 decimals with the smallest ordinal and the raw coordinates seen there."""
-    return vertices.groupBy(F.bround("lon", 7).alias("key_lon"), F.bround("lat", 7).alias("key_lat")).agg(
+    return vertices.groupBy(half_even(F.col("lon"), 7).alias("key_lon"), half_even(F.col("lat"), 7).alias("key_lat")).agg(
         F.min("ordinal").alias("ordinal"), F.min_by(F.struct("lon", "lat"), F.col("ordinal")).alias("p")
     ).select("key_lon", "key_lat", "ordinal", "p.lon", "p.lat")
 
@@ -90,7 +91,7 @@ def build_graph(segments: DataFrame, tolerance_m: float = SNAP_M) -> tuple[DataF
     )
     ids = keyed.join(nodes.select(F.col("ordinal").alias("leader"), "id"), "leader").select("key_lon", "key_lat", "id")
     resolved = segments.select(
-        *[F.bround(f"{c}_{s}", 7).alias(f"{c}_{s}") for s in "ab" for c in ("lon", "lat")]
+        *[half_even(F.col(f"{c}_{s}"), 7).alias(f"{c}_{s}") for s in "ab" for c in ("lon", "lat")]
     ).distinct()
     for s in "ab":
         resolved = resolved.join(
@@ -186,100 +187,92 @@ def largest_component(nodes: DataFrame, edges: DataFrame, labelled: DataFrame) -
 
 
 def shortest_paths(
-    requests: DataFrame,
+    searches: DataFrame,
     edges: DataFrame,
+    key: list[str] = ("request_id",),
     shade_bias: Column | float = 0.0,
     penalties: DataFrame | None = None,
-    penalty_weight: float = 0.0,
+    penalty_weight: Column | float = 0.0,
 ) -> DataFrame:
-    """Cheapest routes of many requests at once, as the settled state of all visited nodes.
-
-    ``requests`` has request_id, start_node and end_node (and what ``shade_bias`` refers to); ``edges``
-    are directed with src, dst, weight_m and shade.  Cost of a step is
-    ``weight * (1 + bias * (1 - shade)) + penalty_weight * penalty(dst)``; metres add up unbiased.
-    Only nodes improved in the last round step on, and only while cheaper than the best known
-    arrival of their request.  Returns request_id, node, cost, metres, prev.
+    """Cheapest routes of many searches at once, as the settled state of all visited nodes.
+
+    ``searches`` has the columns of ``key``, start_node and end_node (and what ``shade_bias`` and
+    ``penalty_weight`` refer to); ``edges`` are directed with src, dst, weight_m and shade; ``penalties`` has
+    the columns it shares with ``searches``, node and penalty.  Cost of a step is
+    ``weight * (1 + bias * (1 - shade)) + penalty_weight * penalty(dst)``; metres add up unbiased.  Only nodes
+    improved in the last round step on, and only while cheaper than the best known arrival of their search.
+    Returns the key columns, node, cost, metres, prev.
     """
-    bias = F.lit(float(shade_bias)) if isinstance(shade_bias, (int, float)) else shade_bias
-    asked = requests.select("request_id", "start_node", "end_node", bias.cast("double").alias("bias"))
-    asked = cut(asked.filter(F.col("start_node").isNotNull() & F.col("end_node").isNotNull()))
+    key = list(key)
+    number = lambda v: (F.lit(float(v)) if isinstance(v, (int, float)) else v).cast("double")
+    asked = cut(searches.filter(F.col("start_node").isNotNull() & F.col("end_node").isNotNull()).select(
+        *key, F.col("start_node").cast("bigint").alias("start_node"), F.col("end_node").cast("bigint").alias("end_node"),
+        number(shade_bias).alias("bias"), number(penalty_weight).alias("pull"),
+    ))
     shade = F.coalesce("shade", F.lit(0.0)) if "shade" in edges.columns else F.lit(0.0)
     roads = cut(edges.select("src", "dst", "weight_m", shade.alias("shade")))
     state = cut(asked.select(
-        "request_id", F.col("start_node").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("metres"),
+        *key, F.col("start_node").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("metres"),
         F.lit(None).cast("bigint").alias("prev"), F.lit(True).alias("fresh"),
     ))
     while True:
-        arrived = asked.select("request_id", F.col("end_node").alias("node")).join(state, ["request_id", "node"]).select(
-            "request_id", F.col("cost").alias("bound")
+        arrived = asked.select(*key, F.col("end_node").alias("node")).join(state, [*key, "node"]).select(
+            *key, F.col("cost").alias("bound")
         )
-        front = state.filter("fresh").join(asked, "request_id").join(arrived, "request_id", "left").filter(
+        front = state.filter("fresh").join(asked, key).join(arrived, key, "left").filter(
             "(bound is null or cost < bound) and node <> end_node"
+        ).withColumnRenamed("node", "from_node")
+        steps = front.join(roads, F.col("from_node") == F.col("src")).withColumnRenamed("dst", "node")
+        extra = F.lit(0.0)
+        if penalties is not None:
+            shared = [k for k in key if k in penalties.columns]
+            steps = steps.join(penalties.select(*shared, "node", "penalty"), [*shared, "node"], "left")
+            extra = F.col("pull") * F.coalesce("penalty", F.lit(0.0))
+        offer = F.col("cost") + F.col("weight_m") * (1.0 + F.col("bias") * (1.0 - F.col("shade"))) + extra
+        offers = steps.withColumn("offer", offer).filter("bound is null or offer < bound").groupBy(*key, "node").agg(
+            F.min(F.struct("offer", (F.col("metres") + F.col("weight_m")).alias("metres"), "from_node")).alias("o")
         )
-        steps = front.join(roads, F.col("node") == F.col("src")).select(
-            "request_id", F.col("dst").alias("node"), "node", "cost", "metres", "weight_m", "shade", "bias", "bound"
-        ).toDF("request_id", "node", "from_node", "cost", "metres", "weight_m", "shade", "bias", "bound")
-        if penalties is not None and penalty_weight:
-            steps = steps.join(penalties.select("request_id", "node", "penalty"), ["request_id", "node"], "left")
-            extra = F.lit(float(penalty_weight)) * F.coalesce("penalty", F.lit(0.0))
-        else:
-            extra = F.lit(0.0)
-        cost = F.col("cost") + F.col("weight_m") * (1.0 + F.col("bias") * (1.0 - F.col("shade"))) + extra
-        offers = steps.withColumn("offer", cost).filter("bound is null or offer < bound").groupBy("request_id", "node").agg(
-            F.min(F.struct(
-                F.col("offer"), (F.col("metres") + F.col("weight_m")).alias("offer_metres"), F.col("from_node")
-            )).alias("o")
-        )
-        merged = state.join(offers, ["request_id", "node"], "full")
         better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.offer") < F.col("cost")))
-        new_state = cut(merged.select(
-            "request_id", "node",
-            F.when(better, F.col("o.offer")).otherwise(F.col("cost")).alias("cost"),
-            F.when(better, F.col("o.offer_metres")).otherwise(F.col("metres")).alias("metres"),
-            F.when(better, F.col("o.from_node")).otherwise(F.col("prev")).alias("prev"),
-            better.alias("fresh"),
+        pick = lambda new, old: F.when(better, F.col(f"o.{new}")).otherwise(F.col(old)).alias(old)
+        state = cut(state.join(offers, [*key, "node"], "full").select(
+            *key, "node", pick("offer", "cost"), pick("metres", "metres"), pick("from_node", "prev"), better.alias("fresh"),
         ))
-        state = new_state
         if state.filter("fresh").isEmpty():
             return state.drop("fresh")
 
 
-def arrivals(requests: DataFrame, state: DataFrame) -> DataFrame:
-    """(request_id, cost, metres) of every request; null where the ends are not connected."""
-    ends = requests.select("request_id", F.col("end_node").alias("node"))
-    return ends.join(state, ["request_id", "node"], "left").select("request_id", "cost", "metres")
+def arrivals(searches: DataFrame, state: DataFrame, key: list[str] = ("request_id",)) -> DataFrame:
+    """Cost and metres of every search; null where the ends are not connected."""
+    ends = searches.select(*key, F.col("end_node").alias("node"))
+    return ends.join(state, [*key, "node"], "left").select(*key, "cost", "metres")
 
 
-def path_steps(requests: DataFrame, state: DataFrame) -> DataFrame:
-    """(request_id, seq, node) of each found route, from start (0) to end.
+def path_steps(searches: DataFrame, state: DataFrame, key: list[str] = ("request_id",)) -> DataFrame:
+    """(key, seq, node) of each found route, from start (0) to end.
 
     The backward pointers are followed by doubling: a route of h steps takes about log2(h) rounds.
     """
-    ends = requests.select("request_id", F.col("end_node").alias("node"))
-    reached = cut(ends.join(state, ["request_id", "node"], "left_semi").withColumn("back", F.lit(0).cast("bigint")))
-    jump = cut(state.filter("prev is not null").select("request_id", "node", F.col("prev").alias("to")))
-    hop, on_path = 1, reached
-    while not jump.isEmpty():
-        further = on_path.join(jump, ["request_id", "node"]).select(
-            "request_id", F.col("to").alias("node"), (F.col("back") + hop).alias("back")
-        )
-        grown = cut(on_path.unionByName(further))
-        onward = jump.select("request_id", F.col("node").alias("to"), F.col("to").alias("_next"))
-        # Only pointers that start on a possible route node are kept growing.
-        jump = cut(jump.join(onward, ["request_id", "to"]).select("request_id", "node", F.col("_next").alias("to")))
-        on_path, hop = grown, hop * 2
-    length = on_path.groupBy("request_id").agg(F.max("back").alias("_last"))
-    return on_path.join(length, "request_id").select("request_id", (F.col("_last") - F.col("back")).alias("seq"), "node")
+    ends = searches.select(*key, F.col("end_node").alias("node"))
+    on_path = ends.join(state, [*key, "node"], "left_semi").withColumn("back", F.lit(0).cast("bigint"))
+    jump, hop = state.filter("prev is not null").select(*key, "node", F.col("prev").alias("to")), 1
+    while True:
+        further = on_path.join(jump, [*key, "node"]).select(*key, F.col("to").alias("node"), (F.col("back") + hop).alias("back"))
+        onward = jump.select(*key, F.col("node").alias("to"), F.col("to").alias("next"))
+        on_path = cut(on_path.unionByName(further))
+        jump = cut(jump.join(onward, [*key, "to"]).select(*key, "node", F.col("next").alias("to")))
+        hop *= 2
+        if jump.isEmpty():
+            break
+    length = on_path.groupBy(*key).agg(F.max("back").alias("last"))
+    return on_path.join(length, list(key)).select(*key, (F.col("last") - F.col("back")).alias("seq"), "node")
 
 
-def path_shade(steps: DataFrame, edges: DataFrame) -> DataFrame:
+def path_shade(steps: DataFrame, edges: DataFrame, key: list[str] = ("request_id",)) -> DataFrame:
     """Length-weighted mean shade along each route; null if a step has none or the route has no length."""
-    moves = steps.alias("a").join(
-        steps.withColumn("seq", F.col("seq") - 1).alias("b"),
-        (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.seq") == F.col("b.seq")),
-    ).select(F.col("a.request_id").alias("request_id"), F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    ahead = steps.select(*key, (F.col("seq") - 1).alias("seq"), F.col("node").alias("dst"))
+    moves = steps.withColumnRenamed("node", "src").join(ahead, [*key, "seq"])
     met = moves.join(edges.select("src", "dst", "weight_m", "shade"), ["src", "dst"], "left")
     whole = F.count_if(F.col("shade").isNull()) == 0
-    return met.groupBy("request_id").agg(
+    return met.groupBy(*key).agg(
         F.when(whole, F.sum(F.col("weight_m") * F.col("shade")) / F.nullif(F.sum("weight_m"), F.lit(0.0))).alias("shade_avg")
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourspark.functions.numbers import half_even
 from hourspark.functions.geo import angle_difference, bearing_deg, haversine_m
 from hourspark.functions.timestamps import epoch_micros
 from hourspark.operators.ordered import DAY_MICROS, neighbour, numbered, running, slice_of
 from hourspark.operators.spatial import nearest
+from hourspark.session import cut
 
 TURN_DEG = 30.0
 MIN_MOVE_M = 4.0
@@ -60,15 +62,16 @@ def progress(fixes: DataFrame, paths: DataFrame, route: str = "route_id") -> Dat
 
 def next_turn(at_vertex: DataFrame, paths: DataFrame, route: str = "route_id") -> DataFrame:
     """Direction of the first turn after each vertex row and the metres to it along the path."""
-    bends = turns(paths, route).join(along(paths, route).select(route, "seq", F.col("walked_m").alias("t_m")), [route, "seq"])
-    here = at_vertex.join(along(paths, route).select(route, "seq", F.col("walked_m").alias("h_m")), [route, "seq"])
+    measured = cut(along(paths, route).select(route, "seq", "walked_m"))
+    bends = turns(paths, route).join(measured.withColumnRenamed("walked_m", "t_m"), [route, "seq"])
+    here = at_vertex.select(route, "seq").distinct().join(measured.withColumnRenamed("walked_m", "h_m"), [route, "seq"])
     # Walk the axis backwards: the last turn seen is the next one ahead.
     axis = bends.select(
         route, (-F.col("seq")).alias("_at"), F.lit(1).alias("_ask"), F.struct("direction", "t_m").alias("_turn"), F.lit(None).cast("double").alias("h_m")
     ).unionByName(here.select(
         route, (-F.col("seq")).alias("_at"), F.lit(0).alias("_ask"),
         F.lit(None).cast("struct<direction:string,t_m:double>").alias("_turn"), "h_m",
-    ).distinct())
+    ))
     seen = running(axis, [route], ["_at", "_ask"], F.floor(F.col("_at") / F.lit(PATH_SLICE)), {"_next": ("last", F.col("_turn"))})
     answers = seen.filter("_ask = 0").select(
         route, (-F.col("_at")).alias("seq"), F.col("_next.direction").alias("direction"),
@@ -77,16 +80,16 @@ def next_turn(at_vertex: DataFrame, paths: DataFrame, route: str = "route_id") -
     return at_vertex.join(answers, [route, "seq"], "left")
 
 
-def samples(paths: DataFrame, distance: str, route: str = "route_id", spacing_m: float = SAMPLE_SPACING_M, most: int = SAMPLE_POINTS) -> DataFrame:
+def samples(paths: DataFrame, distance: str, route: list[str] = ("route_id",), spacing_m: float = SAMPLE_SPACING_M, most: int = SAMPLE_POINTS) -> DataFrame:
     """Evenly strided vertices of each path with both ends; ``distance`` is the path length column."""
-    sizes = paths.groupBy(route).agg(F.count(F.lit(1)).alias("_n"), F.max(distance).alias("_m"))
-    count = F.least(F.lit(most - 1), F.greatest(F.lit(1), F.bround(F.col("_m") / F.lit(spacing_m)).cast("int")))
+    route = list(route)
+    sizes = paths.groupBy(*route).agg(F.count(F.lit(1)).alias("_n"), F.max(distance).alias("_m"))
+    count = F.least(F.lit(most - 1), F.greatest(F.lit(1), half_even(F.col("_m") / F.lit(spacing_m)).cast("int")))
     stride = F.greatest(F.lit(1), F.floor(F.col("_n") / count))
     plain = (F.col("_n") <= 2) | (F.col("_m") <= 0)
-    strided = paths.join(sizes, route)
     ends = (F.col("seq") == 0) | (F.col("seq") == F.col("_n") - 1)
     keep = F.when(plain, ends).otherwise(ends | (F.pmod(F.col("seq"), stride) == 0))
-    return strided.filter(keep).drop("_n", "_m")
+    return paths.join(sizes, route).filter(keep).drop("_n", "_m")
 
 
 def walked(fixes: DataFrame, session: str = "session_id", at: str = "ts", tie: list[str] = (), width: int = DAY_MICROS) -> DataFrame:

@@ -5,55 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourspark.functions.numbers import half_even
 from hourspark.functions.geo import WALKING_M_PER_MIN
 from hourspark.functions.labels import heat_context
 from hourspark.operators import candidates as cand
 from hourspark.operators.graph import arrivals, path_shade, path_steps, shortest_paths
-from hourspark.operators.spatial import nearest, nearest_of_few, node_penalties
+from hourspark.operators.spatial import nearest_of_few, node_penalties
 from hourspark.operators.tracks import samples
 from hourspark.session import cut
 
 SNAP_LIMIT_M = 400.0
 SHADE_BIAS = 1.4
 PENALTY_WEIGHT = 0.6
+KEY = ["request_id", "id"]
 
 
 def snapped(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds start_node, end_node and their distances; null beyond 400 m."""
-    out = requests
     places = nodes.select(F.col("id").alias("node"), "lon", "lat")
-    for side, end in (("from", "start"), ("to", "end")):
-        at = requests.select("request_id", F.col(f"{side}_lon").alias("lon"), F.col(f"{side}_lat").alias("lat"))
-        met = nearest(at, places, "node", radius_m=SNAP_LIMIT_M).select(
-            "request_id", F.col("node").alias(f"{end}_node"), F.col("distance_m").alias(f"{end}_snap_m")
-        )
-        out = out.join(met, "request_id")
-    return out
+    ends = [
+        requests.select("request_id", F.lit(side).alias("side"), F.col(f"{side}_lon").alias("lon"), F.col(f"{side}_lat").alias("lat"))
+        for side in ("from", "to")
+    ]
+    met = nearest_of_few(ends[0].unionByName(ends[1]), places, "node", radius_m=SNAP_LIMIT_M)
+    on = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return requests.join(met.groupBy("request_id").agg(
+        on("from", "node").alias("start_node"), on("from", "distance_m").alias("start_snap_m"),
+        on("to", "node").alias("end_node"), on("to", "distance_m").alias("end_snap_m"),
+    ), "request_id")
 
 
 def route_crowd(steps: DataFrame, nodes: DataFrame, lengths: DataFrame, sites: DataFrame, flows: DataFrame) -> DataFrame:
     """Mean flow over the distinct sites nearest to the sampled points of each route."""
-    placed = steps.join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node").join(lengths, "request_id")
-    points = samples(placed, "metres", "request_id")
-    met = nearest_of_few(points.select("request_id", "lon", "lat"), sites, "site_id").select("request_id", "site_id").distinct()
-    return met.join(flows.filter(F.col("flow").isNotNull()), "site_id").groupBy("request_id").agg(F.avg("flow").alias("crowd"))
+    placed = steps.join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node").join(lengths, KEY)
+    points = samples(placed, "metres", KEY)
+    met = nearest_of_few(points.select(*KEY, "lon", "lat"), sites, "site_id").select(*KEY, "site_id").distinct()
+    return met.join(flows.filter(F.col("flow").isNotNull()), "site_id").groupBy(*KEY).agg(F.avg("flow").alias("crowd"))
 
 
-def candidate(
-    kind: str, seq: int, requests: DataFrame, nodes: DataFrame, edges: DataFrame, sites: DataFrame, flows: DataFrame, **search
+def searched(
+    searches: DataFrame, nodes: DataFrame, edges: DataFrame, sites: DataFrame, flows: DataFrame, penalties: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, steps): one candidate of every request with its metrics, and its path."""
-    state = shortest_paths(requests, edges, **search)
-    ends = cut(arrivals(requests, state))
-    steps = cut(path_steps(requests, state))
-    shade = path_shade(steps, edges)
-    crowd = route_crowd(steps, nodes, ends.select("request_id", "metres"), sites, flows)
-    rows = ends.join(shade, "request_id", "left").join(crowd, "request_id", "left").select(
-        "request_id", F.lit(kind).alias("id"), F.lit(seq).alias("seq"), F.col("metres").isNotNull().alias("ok"),
-        F.bround(F.col("metres") / 1000, 3).alias("distance_km"), F.bround(F.col("metres") / WALKING_M_PER_MIN, 1).alias("minutes"),
-        F.bround("shade_avg", 3).alias("shade"), F.bround("crowd", 1).alias("crowd"),
+    """(rows, steps): every candidate of every request with its metrics, and the nodes of its path.
+
+    All searches run in the same rounds; only their bias and their pull differ.
+    """
+    state = shortest_paths(searches, edges, KEY, F.col("bias"), penalties, F.col("pull"))
+    ends = cut(arrivals(searches, state, KEY))
+    steps = cut(path_steps(searches, state, KEY))
+    shade = path_shade(steps, edges, KEY)
+    crowd = route_crowd(steps, nodes, ends.select(*KEY, "metres"), sites, flows)
+    rows = ends.join(searches.select(*KEY, "seq"), KEY).join(shade, KEY, "left").join(crowd, KEY, "left").select(
+        *KEY, "seq", F.col("metres").isNotNull().alias("ok"),
+        half_even(F.col("metres") / 1000, 3).alias("distance_km"), half_even(F.col("metres") / WALKING_M_PER_MIN, 1).alias("minutes"),
+        half_even(F.col("shade_avg"), 3).alias("shade"), half_even(F.col("crowd"), 1).alias("crowd"),
     )
-    return cut(rows), steps.withColumn("id", F.lit(kind))
+    return cut(rows), steps
 
 
 def plan_routes(
@@ -70,15 +77,19 @@ def plan_routes(
     asked = cut(snapped(requests, nodes).withColumn("shade_bias", heat * F.lit(SHADE_BIAS)))
     usable = asked.filter(F.col("start_node").isNotNull() & F.col("end_node").isNotNull())
     penalties = cut(node_penalties(usable, nodes, sites, flows))
-    crowded = usable.join(penalties.select("request_id").distinct(), "request_id", "left_semi")
-    made = [
-        candidate("fastest", 0, usable, nodes, edges, sites, flows),
-        candidate("shaded", 1, usable, nodes, edges, sites, flows, shade_bias=F.col("shade_bias")),
-        candidate("quieter", 2, crowded, nodes, edges, sites, flows, penalties=penalties, penalty_weight=PENALTY_WEIGHT),
-    ]
-    rows, steps = made[0]
-    for more_rows, more_steps in made[1:]:
-        rows, steps = rows.unionByName(more_rows), steps.unionByName(more_steps)
+    crowded = penalties.select("request_id").distinct().withColumn("crowded", F.lit(True))
+    kind = lambda i, bias, pull: F.struct(
+        F.lit(cand.KINDS[i]).alias("id"), F.lit(i).alias("seq"), bias.alias("bias"), F.lit(pull).alias("pull")
+    )
+    # Without a penalty near its corridor a request gets no quieter candidate.
+    kinds = F.filter(F.array(
+        kind(0, F.lit(0.0), 0.0), kind(1, F.col("shade_bias"), 0.0),
+        F.when(F.col("crowded"), kind(2, F.lit(0.0), PENALTY_WEIGHT)),
+    ), lambda k: k.isNotNull())
+    searches = cut(usable.join(crowded, "request_id", "left").withColumn("k", F.explode(kinds)).select(
+        "request_id", "k.*", "start_node", "end_node"
+    ))
+    rows, steps = searched(searches, nodes, edges, sites, flows, penalties)
     kept = cut(cand.tagged(cand.accepted(rows.filter("ok"))))
     warnings = F.filter(F.array(
         cand.snap_warning("origin", F.col("start_snap_m")), cand.snap_warning("destination", F.col("end_snap_m"))

@@ -109,12 +109,12 @@ def prediction_table(t: Tables) -> DataFrame:
     return rounded(out, "prediction")
 
 
-@query(f"""WITH p AS ({PREDICTED}), v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT 'int:' || user_id AS token FROM p WHERE split = 'train' AND user_id % 10 <> 3))
+@query(f"""WITH p AS ({PREDICTED}), v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT 'int:' || user_id AS token FROM p WHERE hour::DATE = DATE '2024-01-01'))
   SELECT user_id, hour, code AS user_id__code, code IS NULL AS user_id__unseen FROM p LEFT JOIN v ON token = 'int:' || user_id""")
 def encode_unseen(t: Tables) -> DataFrame:
-    """Codes from the training vocabulary; some users are kept out of training to be unseen."""
+    """Codes from the vocabulary of the first day; users first met later are unseen."""
     rows = predicted_events(t)
-    train = rows.filter("split = 'train'").filter(F.pmod("user_id", F.lit(10)) != 3)
+    train = rows.filter(F.to_date("hour") == F.lit("2024-01-01").cast("date"))
     return forecasting.encode(rows.select("user_id", "hour"), train, ["user_id"]).select("user_id", "hour", "user_id__code", "user_id__unseen")
 
 

@@ -13,12 +13,12 @@ from hourspark.operators.quality import freshness
 from hourspark.session import run_dir
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as a stream."""
-    reader = spark.readStream.schema(schema)
+def stream_files(spark: SparkSession, folder: str, names: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """The Parquet files of a folder whose names match a glob, as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", names)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def closed_hours(rows: DataFrame, at: str, unit: list[str], motor: Column, count: Column, delay: str = "10 minutes") -> DataFrame:

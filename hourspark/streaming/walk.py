@@ -14,6 +14,7 @@ from hourspark.operators.tracks import ARRIVAL_KM, ARRIVAL_UPDATES, MAX_SPEED_M_
 
 STATE = "lon double, lat double, ts timestamp, walked_m double, fixes bigint, remaining_km double, streak int, arrived_at timestamp"
 OUTPUT = "session_id bigint, ts timestamp, walked_m double, fixes bigint, arrived_at timestamp"
+IDLE = "6 hours"
 IDLE_MS = 6 * 3600 * 1000
 
 
@@ -56,7 +57,8 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             arrived = pd.Timestamp(fresh["ts"].iloc[reached[0]]).to_pydatetime()
         streak = int(runs[-1])
     state.update((lon, lat, ts, walked, fixes, float(left.iloc[-1]), streak, arrived))
-    state.setTimeoutDuration(IDLE_MS)
+    # A session is forgotten once the event time has moved six hours past its last fix.
+    state.setTimeoutTimestamp(max(int(pd.Timestamp(ts).timestamp() * 1000) + IDLE_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([(key[0], ts, walked, fixes, arrived)], columns=["session_id", "ts", "walked_m", "fixes", "arrived_at"])
 
 
@@ -68,6 +70,6 @@ def track(fixes: DataFrame) -> DataFrame:
     time (bound it with ``files_per_batch``).  State is one fixed-size row per session and is dropped after
     six idle hours.
     """
-    return fixes.groupBy("session_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+    return fixes.withWatermark("ts", IDLE).groupBy("session_id").applyInPandasWithState(
+        _advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
