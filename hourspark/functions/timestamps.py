@@ -55,31 +55,32 @@ def utc_to_local(utc: Column, zone: str = MELBOURNE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
-def _earlier_instant(wall: Column, zone: str) -> Column:
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+def _readings(wall: Column, zone: str, standard_minutes: int) -> tuple[Column, Column, Column, Column]:
+    """The two possible instants of a wall time, standard and one hour earlier, each with its round trip."""
+    standard, summer = plus(wall, minutes=-standard_minutes), plus(wall, minutes=-standard_minutes - 60)
+    return standard, utc_to_local(standard, zone) == wall, summer, utc_to_local(summer, zone) == wall
 
 
 def wall_status(wall: Column, zone: str = MELBOURNE, standard_minutes: int = MELBOURNE_STANDARD_MINUTES) -> Column:
-    """Struct(is_dst, ambiguous, nonexistent); ``is_dst`` is null where the offset is undecided."""
-    utc = _earlier_instant(wall, zone)
-    nonexistent = utc_to_local(utc, zone) != wall
-    ambiguous = ~nonexistent & (utc_to_local(plus(utc, hours=1), zone) == wall)
-    is_dst = utc != plus(wall, minutes=-standard_minutes)
+    """Struct(is_dst, ambiguous, nonexistent); ``is_dst`` is null where the offset is undecided.
+
+    Of the two instants a wall time can mean, both are real in the repeated hour and neither in the skipped one.
+    """
+    _, standard_ok, _, summer_ok = _readings(wall, zone, standard_minutes)
     return F.when(
         wall.isNotNull(),
         F.struct(
-            F.when(~nonexistent & ~ambiguous, is_dst).alias("is_dst"),
-            ambiguous.alias("ambiguous"),
-            nonexistent.alias("nonexistent"),
+            F.when(standard_ok != summer_ok, summer_ok).alias("is_dst"),
+            (standard_ok & summer_ok).alias("ambiguous"),
+            (~standard_ok & ~summer_ok).alias("nonexistent"),
         ),
     )
 
 
-def wall_to_utc(wall: Column, zone: str = MELBOURNE) -> Column:
+def wall_to_utc(wall: Column, zone: str = MELBOURNE, standard_minutes: int = MELBOURNE_STANDARD_MINUTES) -> Column:
     """UTC of a wall time, standard time in the repeated hour; null if the time does not exist."""
-    utc = _earlier_instant(wall, zone)
-    later = plus(utc, hours=1)
-    return F.when(utc_to_local(utc, zone) == wall, F.when(utc_to_local(later, zone) == wall, later).otherwise(utc))
+    standard, standard_ok, summer, summer_ok = _readings(wall, zone, standard_minutes)
+    return F.when(standard_ok, standard).when(summer_ok, summer)
 
 
 def wall_text(text: Column) -> Column:
