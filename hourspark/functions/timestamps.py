@@ -150,3 +150,13 @@ def year_ranges(start: Column, end: Column) -> Column:
             F.least(end, F.make_date(y, F.lit(12), F.lit(31))).alias("last"),
         ),
     )
+
+
+def date_from_columns(columns: list[str]) -> Column:
+    """Local date of a row: its date, else its time stamp, else its year, month and day."""
+    choices = [F.to_date(c) for c in ("local_date", "local_timestamp", "observed_at_local") if c in columns]
+    if {"year", "month", "day"} <= set(columns):
+        choices.append(F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int")))
+    if not choices:
+        raise ValueError("no date, time stamp or year, month and day among the columns")
+    return F.coalesce(*choices)

@@ -89,7 +89,8 @@ def account_export(
 ) -> DataFrame:
     """(user_id, section, part, document): every user's stored rows as JSON arrays.
 
-    ``sections`` maps a section to (table, user column, time column or None, id column).  A section of
+    ``sections`` maps a section to (table, user column, time column, id column); a table without a time
+    column must hold one row per user, as the profiles do.  A section of
     more than ``part_rows`` rows is cut into parts, so one very active user never becomes one huge
     document; all parts together hold all rows.
     """

@@ -22,7 +22,7 @@ def hourly_means(df: DataFrame, hour: str, means: dict[str, Column], count_name:
     )
 
 
-def exact_median(df: DataFrame, keys: list[str], columns: dict[str, str], width: float = 10.0) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], columns: dict[str, str], width: float = 0.1) -> DataFrame:
     """Exact median per key of several columns, without holding a key's values in one task.
 
     Values are first counted (equal readings collapse map-side), then ordered in slices of ``width``.
@@ -46,7 +46,7 @@ def exact_median(df: DataFrame, keys: list[str], columns: dict[str, str], width:
 
 def hourly_medians(
     df: DataFrame, hour: str, columns: dict[str, str], device: str, device_name: str, count_name: str,
-    shift_hours: int = 1, width: float = 10.0,
+    shift_hours: int = 1, width: float = 0.1,
 ) -> DataFrame:
     """Median readings per hour with active devices and readings, moved ``shift_hours`` later so that
     they are known before the hour they describe."""

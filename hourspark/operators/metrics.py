@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourspark.functions.numbers import finite
 
 SMALLEST_MEAN = 1e-12
-SCORE_NAMES = ["n", "target_mean", "mae", "rmse", "poisson_deviance"]
 
 
 def score_columns(actual: Column, predicted: Column) -> list[Column]:
@@ -51,22 +50,18 @@ def score_scopes(
     texts = {n: F.coalesce(c.cast("string"), F.lit("<MISSING>")) for n, c in scopes.items()}
     texts |= {f"feature:{n}": F.when(c, "missing").otherwise("present") for n, c in (flags or {}).items()}
     cells = F.array(*[F.struct(F.lit(n).alias("scope"), t.alias("level")) for n, t in texts.items()])
-    narrow = df.select(*by, F.col(actual).alias("_y"), F.col(predicted).alias("_p"), F.explode(cells).alias("_c"))
-    scored = narrow.select(*by, "_y", "_p", "_c.scope", "_c.level").groupBy(*by, "scope", "level").agg(
-        *score_columns(F.col("_y"), F.col("_p"))
-    )
+    y, p = F.col(actual).cast("double").alias("_y"), F.col(predicted).cast("double").alias("_p")
+    narrow = df.select(*by, y, p, F.explode(cells).alias("_c")).select(*by, "_y", "_p", "_c.scope", "_c.level")
     wanted = {**(levels or {}), **{f"feature:{n}": ["missing", "present"] for n in (flags or {})}}
-    if not wanted:
-        return scored
-    spine_cells = F.array(*[
-        F.struct(F.lit(n).alias("scope"), F.lit(v).alias("level")) for n, vs in wanted.items() for v in vs
-    ])
-    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    spine = groups.withColumn("_c", F.explode(spine_cells)).select(*by, "_c.scope", "_c.level")
-    empty = spine.join(scored, [*by, "scope", "level"], "left_anti").select(
-        "*", F.lit(0).cast("bigint").alias("n"), *[F.lit(None).cast("double").alias(n) for n in SCORE_NAMES[1:]]
-    )
-    return scored.unionByName(empty)
+    if wanted:
+        spine = F.array(*[F.struct(F.lit(n).alias("scope"), F.lit(v).alias("level")) for n, vs in wanted.items() for v in vs])
+        groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+        # A row without a pair is scored as nothing, but makes its level appear.
+        nothing = F.lit(None).cast("double")
+        narrow = narrow.unionByName(groups.withColumn("_c", F.explode(spine)).select(
+            *by, nothing.alias("_y"), nothing.alias("_p"), "_c.scope", "_c.level"
+        ))
+    return narrow.groupBy(*by, "scope", "level").agg(*score_columns(F.col("_y"), F.col("_p")))
 
 
 def score_baselines(
@@ -91,14 +86,15 @@ def winner(
     scores: DataFrame, group: list[str], candidate_order: list[str], split: str = "validation"
 ) -> DataFrame:
     """Best candidate per group by (deviance, MAE, RMSE, listed order) on the validation split only."""
-    rank = F.coalesce(
-        F.nullif(F.array_position(F.array(*[F.lit(c) for c in candidate_order]), F.col("candidate")), F.lit(0)),
-        F.lit(999),
-    )
-    w = Window.partitionBy(*group).orderBy(
-        *[F.col(c).asc_nulls_last() for c in ("poisson_deviance", "mae", "rmse")], rank
+    listed = F.array_position(F.array(*[F.lit(c) for c in candidate_order]), F.col("candidate"))
+    worst = F.lit(float("inf"))
+    place = F.struct(
+        *[F.coalesce(F.col(c), worst).alias(c) for c in ("poisson_deviance", "mae", "rmse")],
+        F.when(listed > 0, listed).otherwise(999).alias("listed"),
     )
-    return scores.filter(F.col("split") == split).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in scores.columns if c not in group]
+    best = scores.filter(F.col("split") == split).groupBy(*group).agg(F.min_by(F.struct(*rest), place).alias("_best"))
+    return best.select(*group, *[F.col(f"_best.{c}").alias(c) for c in rest]).select(*scores.columns)
 
 
 def prediction_table(

@@ -219,3 +219,15 @@ def ordered_table_check(t: Tables) -> DataFrame:
 def latest_per_key(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", F.col("event_type").alias("label"), F.col("ts").alias("seen_at"), F.col("event_id").alias("n"))
     return ordered.latest(rows, ["user_id"], ["seen_at", "n"])
+
+
+@query("""SELECT user_id, event_type, count(*) AS rows FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-19' GROUP BY 1, 2""")
+def partition_pruned_selection(t: Tables) -> DataFrame:
+    """Rows written by (source, split) are selected by partition pruning, not by reading them all."""
+    from hourspark.session import run_dir
+
+    split = F.when(F.col("ts") < F.lit("2024-01-19").cast("timestamp_ntz"), "train").otherwise("test")
+    path = run_dir(t.spark, "partitioned")
+    sinks.write_table(t.events.select("user_id", "event_type", split.alias("split")), path, ["event_type", "split"])
+    kept = t.spark.read.parquet(path).filter("event_type = 'click' AND split = 'train'")
+    return kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("rows"))

@@ -79,3 +79,11 @@ def zone_cross_check(t: Tables) -> DataFrame:
   (isodow(o_orderdate) - 1)::TINYINT AS day_of_week, isodow(o_orderdate) >= 6 AS is_weekend FROM orders""")
 def calendar_columns(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("d")).withColumns(ts.calendar_columns(F.col("d"))).drop("d")
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderdate::DATE END, make_date(year(o_orderdate), month(o_orderdate), 1)) AS local_date FROM orders")
+def date_of_row(t: Tables) -> DataFrame:
+    """The stored date where there is one, else the date of the year, month and day columns."""
+    day = F.to_date("o_orderdate")
+    parts = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", day).alias("local_date"), F.year(day).alias("year"), F.month(day).alias("month"), F.lit(1).alias("day"))
+    return parts.select("o_orderkey", ts.date_from_columns(parts.columns).alias("local_date"))
