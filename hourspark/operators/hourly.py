@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourspark.functions.labels import MODES
 from hourspark.functions.timestamps import plus
-from hourspark.operators.ordered import running
+from hourspark.operators.ordered import cumulated_counts
 
 
 def hourly_counts(df: DataFrame, unit: list[str], hour: Column, name: str = "n", hour_name: str = "hour") -> DataFrame:
@@ -31,13 +31,10 @@ def exact_median(df: DataFrame, keys: list[str], columns: dict[str, str], width:
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v")) for n, c in columns.items()
     ])).alias("m")).select(*keys, "m.name", "m.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = long.groupBy(*keys, "name", "v").agg(F.count(F.lit(1)).alias("_n"))
-    group = [*keys, "name"]
-    ordered = running(counts, group, ["v"], F.floor(F.col("v") / F.lit(width)), {"_cum": ("sum", F.col("_n"))})
-    sized = ordered.join(counts.groupBy(*group).agg(F.sum("_n").alias("_size")), group)
+    sized = cumulated_counts(long, [*keys, "name"], "v", width)
     first, second = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
     holds = lambda r: (F.col("_cum") >= r) & (F.col("_cum") - F.col("_n") < r)
-    middle = sized.filter(holds(first) | holds(second)).groupBy(*group).agg(
+    middle = sized.filter(holds(first) | holds(second)).groupBy(*keys, "name").agg(
         ((F.min("v") + F.max("v")) / 2).alias("median")
     )
     wide = middle.groupBy(*keys).pivot("name", list(columns)).agg(F.first("median"))

@@ -40,13 +40,16 @@ def running(
     slice_col: Column,
     totals: dict[str, tuple[str, Column]],
     inclusive: bool = True,
+    overall: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running totals per key in order; ``totals`` maps a new name to (kind, column).
 
     Kinds: ``sum``, ``count`` (non-null values), ``min``, ``max`` and ``last`` (latest non-null
-    value).  ``inclusive=False`` leaves out the current row.  ``slice_col`` must not decrease
+    value).  ``inclusive=False`` leaves out the current row.  ``overall`` maps a new name to a sum or
+    count whose total over the whole key is wanted on every row.  ``slice_col`` must not decrease
     along ``order``.  The per-slice summaries are aggregated map-side and are the only rows that
-    meet per key.
+    meet per key; they read ``df`` a second time, so a costly ``df`` is better written first
+    (``session.cut``).
     """
     part = [*keys, "_slice"]
     cut = df.withColumn("_slice", slice_col).withColumns({f"_v_{n}": c for n, (_, c) in totals.items()})
@@ -76,7 +79,7 @@ def running(
             else within(kind, F.col(f"_s_{n}"))
         ).over(before).alias(f"_b_{n}")
         for n, (kind, _) in totals.items()
-    ])
+    ], *[F.sum(F.col(f"_s_{of}")).over(Window.partitionBy(*keys)).alias(n) for n, of in (overall or {}).items()])
 
     def combined(name: str, kind: str) -> Column:
         mine, past = F.col(f"_l_{name}"), F.col(f"_b_{name}")
@@ -93,6 +96,7 @@ def running(
     return joined.select(
         *[F.col(f"c.{c}") for c in df.columns],
         *[combined(n, kind).alias(n) for n, (kind, _) in totals.items()],
+        *[F.col(f"b.{n}") for n in (overall or {})],
     )
 
 
@@ -189,23 +193,36 @@ def rank_value(df: DataFrame, keys: list[str], value: str, share: float, name: s
     Equal values are counted first, so only the histogram is ordered; ``width`` is the value range
     of one slice.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cumulated = running(counts, keys, [value], F.floor(F.col(value) / F.lit(width)), {"_cum": ("sum", F.col("_n"))})
-    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_size")) if keys else counts.agg(F.sum("_n").alias("_size"))
+    cumulated = cumulated_counts(df, keys, value, width)
     wanted = F.least(F.col("_size"), F.floor(F.lit(float(share)) * F.col("_size")) + 1)
-    if keys:
-        reached = cumulated.join(size, keys)
-        return reached.filter(F.col("_cum") >= wanted).groupBy(*keys).agg(F.min(value).alias(name))
-    reached = cumulated.withColumn("_size", size.scalar())
-    return reached.filter(F.col("_cum") >= wanted).agg(F.min(value).alias(name))
+    return cumulated.filter(F.col("_cum") >= wanted).groupBy(*keys).agg(F.min(value).alias(name))
+
+
+def cumulated_counts(df: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
+    """Distinct values per key with ``_n`` rows, ``_cum`` rows at or below and ``_size`` rows in all."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return running(
+        counts, keys, [value], F.floor(F.col(value) / F.lit(width)), {"_cum": ("sum", F.col("_n"))}, overall={"_size": "_cum"}
+    )
 
 
 def cumulative_share(df: DataFrame, keys: list[str], value: str, width: float, name: str = "share") -> DataFrame:
     """Empirical distribution per key: distinct values with the share of rows at or below each."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cumulated = running(counts, keys, [value], F.floor(F.col(value) / F.lit(width)), {"_cum": ("sum", F.col("_n"))})
-    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    return cumulated.join(size, keys).select(*keys, value, (F.col("_cum") / F.col("_size")).alias(name))
+    return cumulated_counts(df, keys, value, width).select(*keys, value, (F.col("_cum") / F.col("_size")).alias(name))
+
+
+def shifted(df: DataFrame, keys: list[str], seq: str, columns: list[str], offsets: dict[str, int]) -> DataFrame:
+    """Structs of ``columns`` of the rows ``offset`` places away in a dense integer sequence, by name.
+
+    Every row is sent to the places that ask for it and one aggregation per (key, place) gathers them, so
+    there is one shuffle and no key is ever one task.
+    """
+    held = F.struct(*columns)
+    cells = F.array(*[F.struct(F.lit(n).alias("n"), (F.col(seq) - o).alias("at")) for n, o in {"here": 0, **offsets}.items()])
+    sent = df.select(*keys, held.alias("_v"), F.explode(cells).alias("_c")).select(*keys, "_v", F.col("_c.at").alias(seq), "_c.n")
+    pick = lambda n: F.max(F.when(F.col("n") == n, F.col("_v")))
+    met = sent.groupBy(*keys, seq).agg(pick("here").alias("here"), *[pick(n).alias(n) for n in offsets])
+    return met.filter(F.col("here").isNotNull())
 
 
 def step_lookup(reference: DataFrame, queries: DataFrame, keys: list[str], at: str, value: str, width: float) -> DataFrame:

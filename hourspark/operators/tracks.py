@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hourspark.functions.numbers import half_even
 from hourspark.functions.geo import angle_difference, bearing_deg, haversine_m
 from hourspark.functions.timestamps import epoch_micros
-from hourspark.operators.ordered import DAY_MICROS, neighbour, numbered, running, slice_of
+from hourspark.operators.ordered import DAY_MICROS, first_n, neighbour, running, shifted, slice_of
 from hourspark.operators.spatial import nearest
 from hourspark.session import cut
 
@@ -29,32 +29,30 @@ def _path_slice() -> Column:
 
 def turns(paths: DataFrame, route: str = "route_id", threshold: float = TURN_DEG) -> DataFrame:
     """Inner vertices where the bearing changes by at least ``threshold`` degrees."""
-    stepped = neighbour(paths, [route], ["seq"], _path_slice(), ["lon", "lat"], "p").withColumn(
-        "_in", bearing_deg(F.col("p.lon"), F.col("p.lat"), F.col("lon"), F.col("lat"))
-    )
-    bent = neighbour(stepped, [route], ["seq"], _path_slice(), ["seq", "_in"], "q").withColumn(
-        "_diff", angle_difference(F.col("q._in"), F.col("_in"))
+    met = shifted(paths, [route], "seq", ["lon", "lat"], {"before": -1, "after": 1})
+    at = lambda a, b: bearing_deg(F.col(f"{a}.lon"), F.col(f"{a}.lat"), F.col(f"{b}.lon"), F.col(f"{b}.lat"))
+    bent = met.filter("before is not null and after is not null").withColumn(
+        "_diff", angle_difference(at("before", "here"), at("here", "after"))
     )
     return bent.filter(F.abs("_diff") >= threshold).select(
-        route, F.col("q.seq").alias("seq"),
-        F.when(F.col("_diff") > 0, "right").otherwise("left").alias("direction"), F.abs("_diff").alias("angle_deg"),
+        route, "seq", F.when(F.col("_diff") > 0, "right").otherwise("left").alias("direction"), F.abs("_diff").alias("angle_deg"),
     )
 
 
 def along(paths: DataFrame, route: str = "route_id") -> DataFrame:
-    """Metres from the start and to the end at every vertex."""
-    stepped = neighbour(paths, [route], ["seq"], _path_slice(), ["lon", "lat"], "p").withColumn(
-        "_step", F.coalesce(haversine_m(F.col("p.lon"), F.col("p.lat"), F.col("lon"), F.col("lat")), F.lit(0.0))
-    ).drop("p")
-    summed = running(stepped, [route], ["seq"], _path_slice(), {"walked_m": ("sum", F.col("_step"))}).drop("_step")
-    whole = summed.groupBy(route).agg(F.max("walked_m").alias("_total"))
-    return summed.join(whole, route).withColumn("remaining_m", F.col("_total") - F.col("walked_m")).drop("_total")
+    """(route, seq, walked_m, remaining_m): metres from the start and to the end at every vertex."""
+    step = haversine_m(F.col("before.lon"), F.col("before.lat"), F.col("here.lon"), F.col("here.lat"))
+    stepped = shifted(paths, [route], "seq", ["lon", "lat"], {"before": -1}).select(route, "seq", F.coalesce(step, F.lit(0.0)).alias("_step"))
+    summed = running(
+        stepped, [route], ["seq"], _path_slice(), {"walked_m": ("sum", F.col("_step"))}, overall={"_total": "walked_m"}
+    )
+    return summed.select(route, "seq", "walked_m", F.greatest(F.col("_total") - F.col("walked_m"), F.lit(0.0)).alias("remaining_m"))
 
 
 def progress(fixes: DataFrame, paths: DataFrame, route: str = "route_id") -> DataFrame:
     """Nearest vertex of its own path for each position fix, and the metres still to go."""
     measured = along(paths, route)
-    met = nearest(fixes, paths, "seq", by=[route])
+    met = nearest(fixes, paths, "seq", by=[route], finest_m=50.0, widen=4.0)
     return met.join(measured.select(route, "seq", "remaining_m"), [route, "seq"], "left").withColumn(
         "remaining_m", F.col("distance_m") + F.col("remaining_m")
     ).select(*fixes.columns, "seq", "remaining_m")
@@ -118,9 +116,10 @@ def first_confirmed(
     An update that repeats the previous value of ``changed`` does not count as one.
     """
     order, part = [at, *tie], slice_of(epoch_micros(F.col(at)), width)
-    before = neighbour(updates, [session], order, part, [changed], "p")
-    news = before.filter(F.col("p").isNull() | ~F.col(f"p.{changed}").eqNullSafe(F.col(changed))).drop("p")
-    placed = numbered(news.withColumn("_hit", F.coalesce(hit, F.lit(False))), [session], order, part, "_rn")
-    missed = running(placed, [session], order, part, {"_miss": ("max", F.when(~F.col("_hit"), F.col("_rn")))})
-    streak = F.col("_rn") - F.coalesce("_miss", F.lit(0))
-    return missed.filter(F.col("_hit") & (streak >= times)).groupBy(session).agg(F.min(at).alias("confirmed_at"))
+    flagged = updates.select(session, *order, F.col(changed).alias("_changed"), F.coalesce(hit, F.lit(False)).alias("_hit"))
+    before = neighbour(flagged, [session], order, part, ["_changed"], "p")
+    news = cut(before.filter(F.col("p").isNull() | ~F.col("p._changed").eqNullSafe(F.col("_changed"))).select(session, *order, "_hit"))
+    # Hits without a miss between them share a run; the last of its first ``times`` hits confirms it.
+    runs = running(news, [session], order, part, {"_misses": ("count", F.when(~F.col("_hit"), 1))}).filter("_hit")
+    early = first_n(runs, [session, "_misses"], [F.col(c) for c in order], times, "_rn")
+    return early.filter(F.col("_rn") == times).groupBy(session).agg(F.min(at).alias("confirmed_at"))

@@ -91,7 +91,7 @@ def street_graph(t: Tables) -> DataFrame:
 def trade(t: Tables) -> DataFrame:
     """Directed edges between customer nations and supplier nations with a weight and a shade in [0, 1]."""
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        F.broadcast(t.supplier), F.col("l_suppkey") == F.col("s_suppkey")
+        t.supplier, F.col("l_suppkey") == F.col("s_suppkey")
     ).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     pairs = lines.groupBy(F.col("s_nationkey").cast("bigint").alias("src"), F.col("c_nationkey").cast("bigint").alias("dst")).agg(
         F.round(F.sum("l_quantity"), 0).alias("q"), F.round(F.avg("l_discount") * 10, 4).alias("shade")

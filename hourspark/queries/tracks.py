@@ -9,6 +9,7 @@ from hourspark.functions.timestamps import epoch_micros
 from hourspark.operators import ordered, tracks
 from hourspark.queries import Tables, query, rounded
 from hourspark.queries.spatial import metres_sql, spread, spread_sql
+from hourspark.session import cut
 
 TRACK_AT = {"lon": (7919, 10007, 144.95, 0.02), "lat": (104729, 10009, -37.82, 0.015)}
 
@@ -19,7 +20,8 @@ def positions(t: Tables) -> DataFrame:
 
 def paths(t: Tables) -> DataFrame:
     part = ordered.slice_of(epoch_micros(F.col("ts")), ordered.DAY_MICROS)
-    return ordered.numbered(positions(t), ["route_id"], ["ts", "event_id"], part).withColumn("seq", F.col("rn") - 1).select("route_id", "seq", "lon", "lat")
+    placed = ordered.numbered(positions(t), ["route_id"], ["ts", "event_id"], part)
+    return cut(placed.select("route_id", (F.col("rn") - 1).alias("seq"), "lon", "lat"))
 
 
 TRACK_SQL = f"""p AS (SELECT event_id, user_id AS route_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, {', '.join(f'{spread_sql("event_id", *a)} AS {n}' for n, a in TRACK_AT.items())} FROM events)"""

@@ -30,9 +30,9 @@ def order_faults(written: DataFrame, key: list[str]) -> DataFrame:
     keyed = written.select(
         F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"), row.alias("k")
     )
-    # A row and its successor meet by equi-join, so a large file is not one window.
-    after = keyed.select("f", (F.col("i") - 1).alias("i"), F.col("k").alias("next"))
-    inside = keyed.join(after, ["f", "i"]).agg(F.count_if(F.col("next") <= F.col("k")).alias("n"))
+    # A file of an ordered table is one range of bounded size, so it can be one window.
+    in_file = Window.partitionBy("f").orderBy("i")
+    inside = keyed.withColumn("before", F.lag("k").over(in_file)).agg(F.count_if(F.col("k") <= F.col("before")).alias("n"))
     bounds = keyed.groupBy("f").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     w = Window.orderBy("f")  # one row per file
     between = bounds.withColumn("before", F.lag("hi").over(w)).agg(F.count_if(F.col("lo") <= F.col("before")).alias("n"))
