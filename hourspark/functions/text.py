@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourspark.functions.timestamps import epoch_micros
+from hourspark.functions.timestamps import epoch_micros, iso_text
 
 # Texts read as booleans, and texts read as a missing identifier.
 TRUE_TEXTS = ["true", "1", "yes", "y", "t"]
@@ -59,7 +59,7 @@ def date_from_parts(year: Column, month_name: Column, day: Column) -> Column:
 def hour_key(unit: Column, day: Column, hour: Column) -> Column:
     """``unit:YYYYMMDD:HH``."""
     return F.concat_ws(
-        ":", unit.cast("string"), F.date_format(day, "yyyyMMdd"), F.lpad(hour.cast("string"), 2, "0")
+        ":", unit.cast("string"), F.regexp_replace(day.cast("string"), "-", ""), F.lpad(hour.cast("string"), 2, "0")
     )
 
 
@@ -112,9 +112,9 @@ def typed_token(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         body = F.concat(F.lit("float:"), col.cast("double").cast("string"))
     elif isinstance(kind, T.DateType):
-        body = F.concat(F.lit("date:"), F.date_format(col, "yyyy-MM-dd"))
-    elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        body = F.concat(F.lit("Timestamp:"), F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss"))
+        body = F.concat(F.lit("date:"), col.cast("string"))
+    elif isinstance(kind, T.TimestampNTZType):
+        body = F.concat(F.lit("Timestamp:"), iso_text(col))
     else:
         body = F.concat(F.lit("str:"), col.cast("string"))
     missing = col.isNull()

@@ -36,6 +36,21 @@ def from_epoch_micros(micros: Column) -> Column:
     )
 
 
+def instant(utc: Column) -> Column:
+    """TIMESTAMP of an NTZ value read as UTC, whatever the session zone."""
+    return F.timestamp_micros(epoch_micros(utc))
+
+
+def from_instant(ts: Column) -> Column:
+    """NTZ value in UTC of a TIMESTAMP."""
+    return from_epoch_micros(F.unix_micros(ts))
+
+
+def iso_text(ts: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` of an NTZ value."""
+    return F.translate(F.substring(ts.cast("string"), 1, 19), " ", "T")
+
+
 def plus(ts: Column, hours: int = 0, minutes: int = 0) -> Column:
     return ts + F.expr(f"make_dt_interval(0, {hours}, {minutes}, 0)")
 
@@ -51,14 +66,26 @@ def at_hour(day: Column, hour: Column) -> Column:
     return ntz(day) + F.make_dt_interval(F.lit(0), hour.cast("int"), F.lit(0), F.lit(0))
 
 
+def _local_micros(micros: Column, zone: str) -> Column:
+    """Local wall time, as micros, of an instant; arithmetic on instants only, whatever the session zone."""
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(micros), zone))
+
+
+def offset_minutes(utc: Column, zone: str = MELBOURNE) -> Column:
+    """Local offset of an instant in minutes."""
+    micros = epoch_micros(utc)
+    return ((_local_micros(micros, zone) - micros) / F.lit(60_000_000)).cast("int")
+
+
 def utc_to_local(utc: Column, zone: str = MELBOURNE) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    return utc + F.make_dt_interval(F.lit(0), F.lit(0), offset_minutes(utc, zone), F.lit(0))
 
 
-def _readings(wall: Column, zone: str, standard_minutes: int) -> tuple[Column, Column, Column, Column]:
-    """The two possible instants of a wall time, standard and one hour earlier, each with its round trip."""
-    standard, summer = plus(wall, minutes=-standard_minutes), plus(wall, minutes=-standard_minutes - 60)
-    return standard, utc_to_local(standard, zone) == wall, summer, utc_to_local(summer, zone) == wall
+def _readings(wall: Column, zone: str, standard_minutes: int) -> tuple[Column, Column]:
+    """Whether a wall time is real when read as standard time and when read as summer time."""
+    micros = epoch_micros(wall)
+    real = lambda minutes: _local_micros(micros - F.lit(minutes * 60_000_000), zone) == micros
+    return real(standard_minutes), real(standard_minutes + 60)
 
 
 def wall_status(wall: Column, zone: str = MELBOURNE, standard_minutes: int = MELBOURNE_STANDARD_MINUTES) -> Column:
@@ -66,21 +93,19 @@ def wall_status(wall: Column, zone: str = MELBOURNE, standard_minutes: int = MEL
 
     Of the two instants a wall time can mean, both are real in the repeated hour and neither in the skipped one.
     """
-    _, standard_ok, _, summer_ok = _readings(wall, zone, standard_minutes)
-    return F.when(
-        wall.isNotNull(),
-        F.struct(
-            F.when(standard_ok != summer_ok, summer_ok).alias("is_dst"),
-            (standard_ok & summer_ok).alias("ambiguous"),
-            (~standard_ok & ~summer_ok).alias("nonexistent"),
-        ),
+    standard_ok, summer_ok = _readings(wall, zone, standard_minutes)
+    return F.struct(
+        F.when(standard_ok != summer_ok, summer_ok).alias("is_dst"),
+        (standard_ok & summer_ok).alias("ambiguous"),
+        (~standard_ok & ~summer_ok).alias("nonexistent"),
     )
 
 
 def wall_to_utc(wall: Column, zone: str = MELBOURNE, standard_minutes: int = MELBOURNE_STANDARD_MINUTES) -> Column:
     """UTC of a wall time, standard time in the repeated hour; null if the time does not exist."""
-    standard, standard_ok, summer, summer_ok = _readings(wall, zone, standard_minutes)
-    return F.when(standard_ok, standard).when(summer_ok, summer)
+    standard_ok, summer_ok = _readings(wall, zone, standard_minutes)
+    shift = F.when(standard_ok, standard_minutes).when(summer_ok, standard_minutes + 60)
+    return wall - F.make_dt_interval(F.lit(0), F.lit(0), shift, F.lit(0))
 
 
 def wall_text(text: Column) -> Column:
@@ -105,11 +130,6 @@ def fallback_wrap(start: Column, end: Column, zone: str = MELBOURNE) -> Column:
     )
 
 
-def offset_minutes(utc: Column, zone: str = MELBOURNE) -> Column:
-    """Local offset of an instant in minutes."""
-    return ((epoch_micros(utc_to_local(utc, zone)) - epoch_micros(utc)) / F.lit(60_000_000)).cast("int")
-
-
 def day_number(day: Column, week_start: str) -> Column:
     """Day of the week as 0-6, counted from ``sunday`` or from ``monday``."""
     if week_start == "sunday":

@@ -55,11 +55,11 @@ def split_by_span(df: DataFrame, instant: str, shares: tuple[float, float] = SPA
     """Adds ``split``: the first 70 % of the time span train, the next 15 % validation, the rest test."""
     lo, hi = df.agg(F.min(instant).alias("lo"), F.max(instant).alias("hi")).first()
     # With fewer than two instants every row is train.
-    edges = [lo + (hi - lo) * s for s in shares] if lo is not None and hi != lo else None
+    edges = [str(lo + (hi - lo) * s) for s in shares] if lo is not None and hi != lo else None
     if edges is None:
         return df.withColumn("split", F.lit("train"))
-    return df.withColumn("split", F.when(F.col(instant) < F.lit(edges[0]), "train").when(
-        F.col(instant) < F.lit(edges[1]), "validation").otherwise("test"))
+    return df.withColumn("split", F.when(F.col(instant) < F.lit(edges[0]).cast("timestamp_ntz"), "train").when(
+        F.col(instant) < F.lit(edges[1]).cast("timestamp_ntz"), "validation").otherwise("test"))
 
 
 def split_bounds(df: DataFrame, day: str, split: str = "split") -> DataFrame:

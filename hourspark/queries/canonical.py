@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourspark.functions.timestamps import at_hour, floor_hour
+from hourspark.functions.timestamps import floor_hour, iso_text
 from hourspark.operators import hourly
 from hourspark.operators.quality import Expectation, conform, duplicate_keys, violations
 from hourspark.plans import crowd, traffic
@@ -125,8 +125,8 @@ hours AS (SELECT site, name, date_trunc('hour', from_utc) AS hour, sum(CASE WHEN
 
 def countline_feed(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(raw rows, reviewed lines) shaped like the five-minute feed, event times read as wall times."""
-    slot = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:"), F.lpad((F.floor(F.minute("ts") / 5) * 5).cast("string"), 2, "0"), F.lit(":00"))
-    end = F.date_format(F.to_timestamp_ntz(slot) + F.expr("interval 5 minutes"), "yyyy-MM-dd'T'HH:mm:ss")
+    slot = F.concat(F.substring(iso_text(F.col("ts")), 1, 14), F.lpad((F.floor(F.minute("ts") / 5) * 5).cast("string"), 2, "0"), F.lit(":00"))
+    end = iso_text(F.to_timestamp_ntz(slot) + F.expr("interval 5 minutes"))
     label = F.element_at(F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv]), F.col("event_type"))
     name = F.concat(F.lit("line "), F.pmod("user_id", F.lit(7)).cast("string"))
     raw = t.events.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourspark.functions import geo, labels, numbers, text
-from hourspark.functions.timestamps import ntz
+from hourspark.functions.timestamps import floor_hour
 from hourspark.queries import Tables, query, rounded
 from hourspark.sources.feeds import series_long
 
@@ -21,8 +21,8 @@ def json_props(t: Tables) -> DataFrame:
   SELECT event_type AS parameter, stamp, CASE WHEN v > 100 THEN NULL ELSE round(v, 6) END AS value FROM d""")
 def json_hourly_series(t: Tables) -> DataFrame:
     """Hourly means packed as provider payloads (one map of stamps per parameter), then read back."""
-    hourly = t.events.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("v"))
-    stamped = hourly.select("event_type", F.date_format(ntz(F.col("h")), "yyyyMMddHH").alias("k"), F.date_format(ntz(F.col("h")), "yyyyMMdd").alias("d"),
+    hourly = t.events.groupBy("event_type", floor_hour(F.col("ts")).alias("h")).agg(F.avg("value").alias("v"))
+    stamped = hourly.select("event_type", F.regexp_replace(F.substring(F.col("h").cast("string"), 1, 13), "[- ]", "").alias("k"), F.to_date("h").alias("d"),
                             F.when(F.col("v") > 100, F.lit(-999.0)).otherwise(F.round("v", 6)).cast("string").alias("v"))
     # One payload per parameter and day, as the provider answers one request per interval.
     payloads = stamped.groupBy("event_type", "d").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(F.to_json(F.struct(

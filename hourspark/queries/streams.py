@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourspark.functions.timestamps import instant
 from hourspark.operators.ordered import latest
 from hourspark.queries import Tables, query, rounded
 from hourspark.queries.spatial import spread
@@ -32,7 +33,7 @@ def stream_hourly(t: Tables) -> DataFrame:
 def stream_walk(t: Tables) -> DataFrame:
     """Walked metres per user as keyed state; the last update of each session is its total."""
     fixes = event_stream(t).select(
-        F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").alias("session_id"), "event_id", instant(F.col("ts")).alias("ts"),
         *[spread(F.col("event_id"), *a).alias(n) for n, a in TRACK_AT.items()], (F.col("value") / 10000).alias("remaining_km"),
     )
     home = run_dir(t.spark, "stream-walk")

@@ -29,7 +29,7 @@ def dst_status(t: Tables) -> DataFrame:
 
 @query(f"WITH {SIDES_SQL} SELECT o_orderkey, wall, CASE WHEN standard_ok THEN standard WHEN summer_ok THEN summer END AS utc FROM v")
 def wall_to_utc(t: Tables) -> DataFrame:
-    text = F.concat(F.date_format("wall", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    text = F.concat(ts.iso_text(F.col("wall")), F.lit("Z"))
     read = wall_times(t).withColumn("wall", ts.wall_text(text))
     return read.withColumn("utc", ts.wall_to_utc(F.col("wall")))
 

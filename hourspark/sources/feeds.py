@@ -12,6 +12,8 @@ SERIES_SCHEMA = (
     "struct<header:struct<fill_value:double>,"
     "properties:struct<parameter:map<string,map<string,string>>,parameters:map<string,map<string,string>>>>"
 )
+# Fixed value: hour stamps as yyyyMMddHH or yyyyMMddHH00.
+STAMP = r"^(\d{4})(\d{2})(\d{2})(\d{2})(?:00)?$"
 LINE_SCHEMA = "struct<features:array<struct<geometry:struct<type:string,coordinates:array<array<double>>>>>>"
 WAY_SCHEMA = (
     "struct<elements:array<struct<type:string,id:bigint,tags:map<string,string>,"
@@ -36,7 +38,7 @@ def series_long(payloads: DataFrame, json: str = "payload") -> DataFrame:
     )
     return maps.select("fill", "parameter", F.explode("series").alias("key", "text")).select(
         "parameter", "key",
-        F.try_to_timestamp(F.substring(F.rpad("key", 12, "0"), 1, 12), F.lit("yyyyMMddHHmm")).cast("timestamp_ntz").alias("stamp"),
+        F.regexp_replace(F.col("key"), STAMP, "$1-$2-$3 $4:00:00").try_cast("timestamp_ntz").alias("stamp"),
         sentinel_to_null(F.col("text"), F.col("fill")).alias("value"),
     )
 
@@ -53,7 +55,7 @@ def hourly_series(
     begin, end = first.cast("timestamp_ntz"), F.date_add(last, 1).cast("timestamp_ntz")
     source = {p: (fallback or {}).get(p, p) for p in parameters}
     facts = long.agg(
-        F.count_if(F.col("stamp").isNull() | (F.date_format("stamp", "mm") != "00")).alias("bad_stamps"),
+        F.count_if(F.col("stamp").isNull()).alias("bad_stamps"),
         F.count_if((F.col("stamp") < begin) | (F.col("stamp") >= end)).alias("outside"),
         *[F.count_if(F.col("parameter") == s).alias(f"rows_{s}") for s in sorted(set(source.values()))],
     ).first().asDict()

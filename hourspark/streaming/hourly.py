@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from hourspark.functions.timestamps import from_instant, instant
 from hourspark.operators.quality import freshness
 from hourspark.session import run_dir
 
@@ -28,14 +29,14 @@ def closed_hours(rows: DataFrame, at: str, unit: list[str], motor: Column, count
     a sum and a derived zero exactly as in the batch table.  Counts are kept per hour in the state store;
     rows later than the watermark are counted by the query's own progress report.
     """
-    timed = rows.withColumn("_ts", F.col(at).cast("timestamp")).withWatermark("_ts", delay)
+    timed = rows.withColumn("_ts", instant(F.col(at))).withWatermark("_ts", delay)
     hours = timed.groupBy(F.window("_ts", "1 hour").alias("w"), *unit).agg(
         F.sum(F.when(motor, count)).alias("motor_count"), F.count_if(motor).alias("motor_rows"),
         F.count_if(~motor).alias("other_rows"), F.count(F.lit(1)).alias("rows"),
     )
     derived = (F.col("motor_rows") == 0) & (F.col("other_rows") > 0)
     return hours.select(
-        *unit, F.col("w.start").cast("timestamp_ntz").alias("hour"),
+        *unit, from_instant(F.col("w.start")).alias("hour"),
         F.when(derived, F.lit(0)).otherwise(F.col("motor_count")).cast("double").alias("vehicle_count"),
         "motor_rows", "other_rows", "rows", derived.alias("derived_zero"),
     )

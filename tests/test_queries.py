@@ -47,3 +47,13 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["wall_to_utc", "dst_status", "utc_to_local_hour", "stream_hourly", "chrono_split_span", "zone_cross_check"])
+def test_session_zone_does_not_matter(spark, duck, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Australia/Adelaide")
+    try:
+        test_query_equals_its_sql(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
