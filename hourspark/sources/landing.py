@@ -1,7 +1,7 @@
 """Landing of CSV members of ZIP archives, nested ones included, as rows of text.
 
-The first pass lists the members of every archive, the second reads one member per row, spread
-over the cluster; everything downstream reads the table written from it.
+The first pass lists the members of every archive, the second reads one top-level member or one inner
+archive per unit of work, spread over the cluster; everything downstream reads the table written from it.
 """
 
 from __future__ import annotations
@@ -61,11 +61,13 @@ def _reader(columns: list[str], sep: str):  # type: ignore[no-untyped-def]
         for frame in frames:
             for path, nested, member in zip(frame["path"], frame["nested"], frame["member"]):
                 with _open(path) as handle, zipfile.ZipFile(handle) as outer:
-                    if nested is None or pd.isna(nested):
+                    if pd.isna(nested):
                         yield from _member_rows(outer, path, None, member, columns, sep)
-                    else:
-                        with outer.open(nested) as packed, zipfile.ZipFile(packed) as inner:
-                            yield from _member_rows(inner, path, nested, member, columns, sep)
+                        continue
+                    # The packed bytes of one inner archive are held, its members are streamed from them.
+                    with zipfile.ZipFile(io.BytesIO(outer.read(nested))) as inner:
+                        for name in _data_names(inner, ".csv"):
+                            yield from _member_rows(inner, path, nested, name, columns, sep)
 
     return read
 
@@ -94,10 +96,11 @@ def land(spark: SparkSession, members: DataFrame, columns: list[str], out: str,
     """Write the members' rows as Parquet under ``out`` and return that table.
 
     Rows carry path, member, row_number (1-based position in the member) and ``columns`` as text.  The
-    members are spread by a hash of their name, one stream each; a member is never held whole.
+    work is spread by a hash of its name: one top-level member or one inner archive per unit.
     """
     tasks = tasks or max(spark.sparkContext.defaultParallelism, 1)
     schema = "path string, member string, row_number bigint, " + ", ".join(f"`{c}` string" for c in columns)
-    spread = members.repartition(tasks, F.xxhash64("path", "nested", "member"))
+    units = members.select("path", "nested", F.when(F.col("nested").isNull(), F.col("member")).alias("member")).distinct()
+    spread = units.repartition(tasks, F.xxhash64("path", "nested", "member"))
     spread.mapInPandas(_reader(columns, sep), schema).write.mode("errorifexists").parquet(out)
     return spark.read.schema(schema).parquet(out)

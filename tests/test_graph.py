@@ -186,3 +186,21 @@ def test_planned_routes_on_the_square(spark, square):
     lost = got[2, "fastest"]
     assert (lost.status, lost.warnings, lost.tags) == ("unavailable", ["destination_outside_graph_coverage"], ["estimated"])
     assert [r.node for r in paths.filter("request_id = 1 AND id = 'shaded'").orderBy("seq").collect()] == [0, 1, 2]
+
+
+def test_hub_and_chain_components(spark):
+    """One node carries most edges, and a long chain needs many pointer steps."""
+    hub = spark.range(3000).select(F.lit(1_000_000).cast("long").alias("src"), F.col("id").alias("dst"))
+    chain = spark.range(5000, 5400).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    nodes = spark.range(3000).unionByName(spark.range(5000, 5402)).unionByName(spark.createDataFrame([(1_000_000,)], "id long"))
+    got = {r.component: r.nodes for r in graph.component_sizes(graph.components(nodes, hub.unionByName(chain))).collect()}
+    assert got == {0: 3001, 5000: 401, 5401: 1}
+
+
+def test_crowded_copies_snap_once(spark):
+    """A third of all vertices share one spot and collapse before anything is compared."""
+    data = [(i, 144.96, -37.81) if i % 3 == 0 else (i, 144.95 + (i % 500) * 0.001, -37.8) for i in range(3000)]
+    df = spark.createDataFrame(data, "ordinal long, lon double, lat double")
+    seen = graph.first_seen(df)
+    assert seen.count() == 501 and seen.filter("lon = 144.96 AND lat = -37.81").first().ordinal == 0
+    assert graph.leaders(seen, 20.0).filter("leader <> ordinal").count() == 0
