@@ -16,6 +16,8 @@ from hourspark.operators.spatial import neighbour_cells, with_cell
 from hourspark.session import cut
 
 SNAP_M = 20.0
+# Ordinals number about a million per line, so a slice holds some 16,000 lines.
+ORDINAL_SLICE = 2**34
 
 
 def first_seen(vertices: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def build_graph(segments: DataFrame, tolerance_m: float = SNAP_M) -> tuple[DataF
     keyed = cut(leaders(cut(first_seen(ends[0].unionByName(ends[1]))), tolerance_m))
     own = keyed.filter("leader = ordinal").select("ordinal", "lon", "lat")
     nodes = cut(
-        numbered(own, [], ["ordinal"], F.floor(F.col("ordinal") / F.lit(2**24)), "n").select(
+        numbered(own, [], ["ordinal"], F.floor(F.col("ordinal") / F.lit(ORDINAL_SLICE)), "n").select(
             (F.col("n") - 1).alias("id"), "ordinal", "lon", "lat"
         )
     )

@@ -85,9 +85,9 @@ def parameter_quality(t: Tables) -> DataFrame:
     return quality.parameter_quality(lagged_events(t), "hour", ["n_lag_1h", "n_lag_24h", "n_lag_168h"])
 
 
-@query("""SELECT n_name, count(*) FILTER (WHERE n_name <> lower(trim(n_name))) AS n_name_not_canonical, count(*) AS rows FROM nation GROUP BY 1""")
+@query("""SELECT p_type, count(*) FILTER (WHERE p_type <> lower(trim(p_type))) AS p_type_not_canonical, count(*) FILTER (WHERE p_name <> lower(trim(p_name))) AS p_name_not_canonical, count(*) AS rows FROM part GROUP BY 1""")
 def canonical_values(t: Tables) -> DataFrame:
-    return quality.violations(t.nation, quality.canonical_value_rules(["n_name"]), ["n_name"])
+    return quality.violations(t.part, quality.canonical_value_rules(["p_type", "p_name"]), ["p_type"])
 
 
 @query("""SELECT o_orderpriority, min(o_orderstatus) AS o_orderstatus, count(*) AS rows, count(DISTINCT o_orderstatus) <> 1 AS mixed FROM orders GROUP BY 1""")
