@@ -94,8 +94,8 @@ def account_export(t: Tables) -> DataFrame:
 # Candidates --------------------------------------------------------------------------------------
 
 CANDIDATE_SQL = """k AS (SELECT o_custkey AS request_id, CASE o_orderstatus WHEN 'F' THEN 'fastest' WHEN 'O' THEN 'shaded' ELSE 'quieter' END AS id,
-    CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS seq, round(avg(o_totalprice) / 1000, 1) AS minutes, round(avg(o_orderkey % 100) / 100, 2) AS shade,
-    CASE WHEN max(o_orderkey) % 9 <> 0 THEN round(avg(o_totalprice) / 500, 0) END AS crowd FROM orders GROUP BY ALL)"""
+    CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS seq, floor(avg(o_totalprice) / 100) / 10 AS minutes, floor(avg(o_orderkey % 100)) / 100 AS shade,
+    CASE WHEN max(o_orderkey) % 9 <> 0 THEN floor(avg(o_totalprice) / 500)::DOUBLE END AS crowd FROM orders GROUP BY ALL)"""
 
 
 def order_candidates(t: Tables) -> DataFrame:
@@ -104,8 +104,8 @@ def order_candidates(t: Tables) -> DataFrame:
     seq = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     price = F.avg("o_totalprice")
     return t.orders.groupBy(F.col("o_custkey").alias("request_id"), kind.alias("id"), seq.alias("seq")).agg(
-        F.round(price / 1000, 1).alias("minutes"), F.round(F.avg(F.pmod("o_orderkey", F.lit(100))) / 100, 2).alias("shade"),
-        F.when(F.pmod(F.max("o_orderkey"), F.lit(9)) != 0, F.round(price / 500, 0)).alias("crowd"),
+        (F.floor(price / 100) / 10).alias("minutes"), (F.floor(F.avg(F.pmod("o_orderkey", F.lit(100)))) / 100).alias("shade"),
+        F.when(F.pmod(F.max("o_orderkey"), F.lit(9)) != 0, F.floor(price / 500).cast("double")).alias("crowd"),
     ).withColumn("ok", F.lit(True))
 
 

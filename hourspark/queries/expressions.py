@@ -17,13 +17,13 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", k.alias("k"), F.when(k > 0, k.cast("double")).alias("k_positive"))
 
 
-@query("""WITH d AS (SELECT DISTINCT date_trunc('hour', ts) AS stamp, event_type, avg(value) OVER (PARTITION BY event_type, date_trunc('hour', ts)) AS v FROM events)
-  SELECT event_type AS parameter, stamp, CASE WHEN v > 100 THEN NULL ELSE round(v, 6) END AS value FROM d""")
+@query("""WITH d AS (SELECT DISTINCT date_trunc('hour', ts) AS stamp, event_type, sum(value) OVER (PARTITION BY event_type, date_trunc('hour', ts)) AS v FROM events)
+  SELECT event_type AS parameter, stamp, CASE WHEN v > 300.005 THEN NULL ELSE round(v, 4) END AS value FROM d""")
 def json_hourly_series(t: Tables) -> DataFrame:
-    """Hourly means packed as provider payloads (one map of stamps per parameter), then read back."""
-    hourly = t.events.groupBy("event_type", floor_hour(F.col("ts")).alias("h")).agg(F.avg("value").alias("v"))
+    """Hourly sums packed as provider payloads (one map of stamps per parameter), then read back."""
+    hourly = t.events.groupBy("event_type", floor_hour(F.col("ts")).alias("h")).agg(F.sum("value").alias("v"))
     stamped = hourly.select("event_type", F.regexp_replace(F.substring(F.col("h").cast("string"), 1, 13), "[- ]", "").alias("k"), F.to_date("h").alias("d"),
-                            F.when(F.col("v") > 100, F.lit(-999.0)).otherwise(F.round("v", 6)).cast("string").alias("v"))
+                            F.when(F.col("v") > 300.005, F.lit(-999.0)).otherwise(F.round("v", 4)).cast("string").alias("v"))
     # One payload per parameter and day, as the provider answers one request per interval.
     payloads = stamped.groupBy("event_type", "d").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(F.to_json(F.struct(
         F.struct(F.lit(-999.0).alias("fill_value")).alias("header"), F.struct(F.create_map("event_type", "m").alias("parameter")).alias("properties"),

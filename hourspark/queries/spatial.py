@@ -141,10 +141,12 @@ def node_penalties(t: Tables) -> DataFrame:
     return rounded(spatial.node_penalties(customer_trips(t), nodes, suppliers(t), flows), "penalty", digits=4)
 
 
-@query(f"""WITH {AT_SQL} SELECT c_custkey, count(*) > 0 AS is_saved FROM c GROUP BY 1""")
+@query("SELECT c_custkey, c_acctbal >= 0 AS is_saved FROM customer")
 def saved_place_matches(t: Tables) -> DataFrame:
     from hourspark.operators.activity import saved_matches
 
+    # Customers in credit have saved their own place, at four decimals.
     here = customers(t).withColumn("user_id", F.col("c_custkey"))
-    places = here.withColumns({"lat": F.col("lat") + 0.0000001, "lon": F.col("lon")}).withColumn("lat", F.round("lat", 4))
-    return saved_matches(here.withColumn("lat", F.round("lat", 4)), places).select("c_custkey", "is_saved")
+    creditors = here.join(t.customer.filter("c_acctbal >= 0").select("c_custkey"), "c_custkey", "left_semi")
+    places = creditors.withColumns({"lat": F.round("lat", 4), "lon": F.round("lon", 4)})
+    return saved_matches(here, places).select("c_custkey", "is_saved")
