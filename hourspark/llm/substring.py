@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import free_name, raw_text, row_order, small_batches, written
+from hourspark.llm.common import raw_text, row_order, small_batches, written
 
 WINDOW = 20
 SEED_WORDS = 8
@@ -46,19 +47,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base^2 ... at least ``n + 1`` of them."""
+    known = _POWERS.get(base)
+    if known is None or len(known) <= n:
+        out = np.full(max(n + 1, 4096) * 2, base, np.uint64)
+        out[0] = 1
+        known = _POWERS[base] = np.multiply.accumulate(out)
+    return known
 
 
 class Rolled:
-    """Hashes of any run of a text's words, by position."""
+    """Hashes of any run of a text's words, by position; ``words`` are the words' own hashes."""
 
-    def __init__(self, words: list[bytes], which: int = 0):
+    def __init__(self, words: np.ndarray, which: int = 0):
         n = len(words)
-        own = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-        own = _mixed(own) if which else own
+        own = _mixed(words) if which else words
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(own * _powers(_BASES[which], n)[:n], out=self.sums[1:])
         self.back = _powers(_INVERSES[which], n)
@@ -69,181 +76,215 @@ class Rolled:
         return _mixed((self.sums[size:] - self.sums[:count]) * self.back[:count])
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+_PLACE_BITS = 20
+
+
 def minimizers(rolled: Rolled, window: int = WINDOW, seed: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each 8-word run, and for each window the place of its least one (the first of equals)."""
     grams = rolled.runs(seed)
     span = window - seed + 1
     if len(grams) < span:
         return grams, np.zeros(0, np.int64)
-    best, at = grams[: len(grams) - span + 1].copy(), np.arange(len(grams) - span + 1)
-    for k in range(1, span):
-        other = grams[k : k + len(best)]
-        less = other < best
-        best[less], at[less] = other[less], np.nonzero(less)[0] + k
-    return grams, at
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    places = []
+    step = (1 << _PLACE_BITS) - span
+    for begin in range(0, len(grams) - span + 1, step):
+        # the place fills the lowest bits, so that one minimum finds hash and place
+        least = grams[begin : begin + step + span - 1] & ~low | np.arange(min(step + span - 1, len(grams) - begin), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        if width < span:
+            least = np.minimum(least[: width - span], least[span - width :])
+        places.append((least & low).astype(np.int64) + begin)
+    return grams, np.concatenate(places)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _lists(lengths: list[int], columns: list[np.ndarray], names: list[str]) -> pa.ListArray:
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x) for x in columns], names))
+
+
+def _joined(parts: list[tuple], types: list) -> list[np.ndarray]:
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(types)]
+
+
 def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Per text: number of words, sha256 of all words, seeds (hash, place, prefix sum)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
         n_words, shas, lengths, parts = [], [], [], []
         for raw in batch.column("raw").to_pylist():
             words = (raw or b"").split()
             n_words.append(len(words))
-            shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            shas.append(hashlib.sha256(b" ".join(words)).digest())
             if len(words) < window:
                 lengths.append(0)
                 continue
-            rolled = Rolled(words)
+            rolled = Rolled(word_hashes(words))
             grams, at = minimizers(rolled, window)
-            at = np.unique(at)
+            at = at[np.nonzero(np.diff(at, prepend=-1))[0]]  # places never fall
             lengths.append(len(at))
             parts.append((_signed(grams[at]), at.astype(np.int32), _signed(rolled.sums[at])))
-        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        flat = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((np.int64, np.int32, np.int64))]
-        seeds = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x) for x in flat], ["h", "pos", "sum"]))
-        yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("key"), pa.array(n_words, pa.int64()), pa.array(shas, pa.string()), seeds], ["o", "key", "n_words", "sha", "seeds"])
+        seeds = _lists(lengths, _joined(parts, [np.int64, np.int32, np.int64]), ["h", "pos", "sum"])
+        columns = [*(batch.column(c) for c in ("o", "k", "key")), pa.array(n_words, pa.int64()), pa.array(shas, pa.binary()), seeds]
+        yield pa.RecordBatch.from_arrays(columns, ["o", "k", "key", "n_words", "sha", "seeds"])
 
 
-def factors(seeds: list[dict], own: tuple, back: np.ndarray, seed: int = SEED_WORDS, window: int = WINDOW) -> list[tuple[int, int, int, bytes, int]]:
-    """Greedy factors ``(start, length, reference document, its key, its start)`` of at least ``window`` words.
+def factors(seeds: dict[str, np.ndarray], own: tuple[int, int], rolled: Rolled, seed: int = SEED_WORDS, window: int = WINDOW) -> np.ndarray:
+    """Greedy factors of at least ``window`` words: rows (start, length, reference document, its key, its start).
 
     A factor grows from seed to seed while the next one points to the same earlier text at the same offset and
-    the words between have equal hashes there and here.
+    the words between have equal hashes there and here.  Seeds that are the first occurrence of all start none.
     """
-    out = []
-    head = last = None
-
-    def close() -> None:
-        if head is not None and last["pos"] + seed - head["pos"] >= window:
-            out.append((head["pos"], last["pos"] + seed - head["pos"], head["ro"], head["rkey"], head["rpos"]))
-
-    mask = (1 << 64) - 1
-    for s in seeds:
-        if (s["ro"], bytes(s["rkey"]), s["rpos"]) == (*own, s["pos"]):
-            continue  # the first occurrence of all
-        if last is not None and (s["ro"], s["rkey"]) == (last["ro"], last["rkey"]) and s["rpos"] - last["rpos"] == s["pos"] - last["pos"]:
-            here = (s["sum"] - last["sum"]) * int(back[last["pos"]]) & mask
-            there = (s["rsum"] - last["rsum"]) * int(back[last["rpos"]] if last["rpos"] < len(back) else pow(_INVERSES[0], last["rpos"], 1 << 64)) & mask
-            if here == there:
-                last = s
-                continue
-        close()
-        head = last = s
-    close()
-    return out
+    earlier = ~((seeds["ro"] == own[0]) & (seeds["rk"] == own[1]) & (seeds["rpos"] == seeds["pos"]))
+    s = {c: v[earlier] for c, v in seeds.items()}
+    n = len(s["pos"])
+    if not n:
+        return np.zeros((0, 5), np.int64)
+    step = lambda c: np.diff(s[c])
+    back = _powers(_INVERSES[0], int(max(s["pos"].max(), s["rpos"].max())))
+    here = step("sum") * back[s["pos"][:-1]]
+    there = step("rsum") * back[s["rpos"][:-1]]
+    grows = (step("ro") == 0) & (step("rk") == 0) & (step("rpos") == step("pos")) & (here == there)
+    heads = np.nonzero(np.concatenate([[True], ~grows]))[0]
+    tails = np.append(heads[1:], n) - 1
+    rows = np.stack([s["pos"][heads], s["pos"][tails] + seed - s["pos"][heads], s["ro"][heads], s["rk"][heads], s["rpos"][heads]], axis=1)
+    return rows[rows[:, 1] >= window]
+
+
+def _structs(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each row's list of structs, as arrays."""
+    flat, ends = column.flatten(), column.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+    for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        yield {c: v[begin:end] for c, v in fields.items()}
 
 
 def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Per text: its factors, and the windows that must be compared one by one."""
-    kinds = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ro", pa.int64()), ("rkey", pa.binary()), ("rstart", pa.int32())])
     for batch in batches:
         if not batch.num_rows:
             continue
-        found, ends, parts = [], [0], []
-        rows = zip(batch.column("o").to_pylist(), batch.column("key").to_pylist(), batch.column("raw").to_pylist(), batch.column("seeds").to_pylist(), strict=True)
-        for order, key, raw, seeds in rows:
-            words = (raw or b"").split()
+        found, lengths, parts = [], [], []
+        rows = zip(batch.column("o").to_pylist(), batch.column("k").to_pylist(), batch.column("raw").to_pylist(), _structs(batch.column("seeds")), strict=True)
+        for order, k, raw, seeds in rows:
+            words = word_hashes((raw or b"").split())
             rolled = Rolled(words)
             grams, at = minimizers(rolled, window)
-            seeds = sorted({s["pos"]: s for s in seeds}.values(), key=lambda s: s["pos"])
-            mine = factors(seeds, (order, key), rolled.back, window=window)
-            found.append([dict(zip(("start", "length", "ro", "rkey", "rstart"), f, strict=True)) for f in mine])
+            first = np.unique(seeds["pos"], return_index=True)[1]
+            seeds = {c: v[first].view(np.uint64) if c in ("sum", "rsum") else v[first].astype(np.int64) for c, v in seeds.items()}
+            mine = factors(seeds, (order, k), rolled, window=window)
+            found.append(mine)
             again = np.zeros(len(grams), bool)
-            again[[s["pos"] for s in seeds]] = True
+            again[seeds["pos"]] = True
             open_ = again[at]
-            for start, length, *_ in mine:
+            for start, length in mine[:, :2].tolist():
                 open_[start : start + length - window + 1] = False
             pos = np.nonzero(open_)[0]
-            ends.append(ends[-1] + len(pos))
+            lengths.append(len(pos))
             parts.append((pos.astype(np.int32), _signed(rolled.runs(window)[pos]), _signed(Rolled(words, 1).runs(window)[pos])))
-        flat = [np.concatenate([p[k] for p in parts]) for k in range(3)]
-        windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["pos", "h1", "h2"]))
-        yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("key"), pa.array(found, pa.list_(kinds)), windows], ["o", "key", "factors", "windows"])
+        rows = np.concatenate(found)
+        kinds = (np.int32, np.int32, np.int64, np.int64, np.int32)
+        spans = _lists([len(x) for x in found], [rows[:, c].astype(t) for c, t in enumerate(kinds)], ["start", "length", "ro", "rk", "rstart"])
+        windows = _lists(lengths, _joined(parts, [np.int32, np.int64, np.int64]), ["pos", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), spans, windows], ["o", "k", "factors", "windows"])
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     raw = raw_text(text)
-    return docs.select(row_order(doc_id).alias("o"), F.unhex(F.md5(F.coalesce(raw, F.lit(b"")))).alias("key"), raw.alias("raw"))
+    whole = F.coalesce(raw, F.lit(b""))
+    return docs.select(row_order(doc_id).alias("o"), F.xxhash64(whole).alias("k"), raw.alias("raw"))
+
 
+_FACTORS = "array<struct<start: int, length: int, ro: long, rk: long, rstart: int>>"
 
-def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+
+def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, references: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(texts, spans)`` for all rows of ``docs``.
 
-    texts: a row for each row, with o (row order of doc_id, nulls last), key (md5 of the text), n_words, sha (of
-    all words), copy (an equal text comes earlier).  spans: per (o, key) an array of duplicate spans (start,
-    length in words, and the earlier text ro, rkey, rstart they repeat).  Copies of a whole text are one factor
-    and only the first of them is parsed further.
+    texts: a row for each row, with o (row order of doc_id, nulls last), k (hash of the text), n_words, sha (of
+    all words), copy (an equal text comes earlier).  spans: per (o, k) its ``factors`` (start, length in words,
+    and the earlier text ro, rk, rstart they repeat) and ``singles``, the starts of further duplicate windows,
+    with the earlier place of each if ``references``.  Copies of a whole text are one factor and only the first
+    of them is parsed further.
     """
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, doc_id, text)
-    texts = written(keyed.mapInArrow(lambda b: _digests(b, window), "o long, key binary, n_words long, sha string, seeds array<struct<h: long, pos: int, sum: long>>"), "texts")
+    with_key = keyed.withColumn("key", F.unhex(F.md5(F.coalesce("raw", F.lit(b"")))))
+    texts = written(with_key.mapInArrow(lambda b: _digests(b, window), "o long, k long, key binary, n_words long, sha binary, seeds array<struct<h: long, pos: int, sum: long>>"), "texts")
     firsts = written(texts.groupBy("key").agg(F.min("o").alias("first")), "firsts")
     marked = texts.join(firsts, "key")
     leads = marked.where("o = first")
     repeated = written(leads.select(F.explode("seeds.h").alias("h")).groupBy("h").count().where("count > 1").select("h"), "repeated")
-    seeds = written(leads.select("o", "key", F.explode("seeds").alias("s")).select("o", "key", "s.*").join(repeated, "h"), "seeds")
-    place = F.struct(F.col("o").alias("ro"), F.col("key").alias("rkey"), F.col("pos").alias("rpos"), F.col("sum").alias("rsum"))
+    seeds = written(leads.select("o", "k", F.explode("seeds").alias("s")).select("o", "k", "s.*").join(repeated, "h"), "seeds")
+    place = F.struct(F.col("o").alias("ro"), F.col("k").alias("rk"), F.col("pos").alias("rpos"), F.col("sum").alias("rsum"))
     blocks = seeds.groupBy("h").agg(F.min(place).alias("ref"))
-    looked = seeds.join(blocks, "h").select("o", "key", F.struct("pos", "sum", "ref.ro", "ref.rkey", "ref.rpos", "ref.rsum").alias("s"))
-    looked = written(looked.groupBy("o", "key").agg(F.collect_list("s").alias("seeds")), "looked")
-    pieces = "factors array<struct<start: int, length: int, ro: long, rkey: binary, rstart: int>>, windows array<struct<pos: int, h1: long, h2: long>>"
-    parsed = keyed.join(looked, ["o", "key"]).mapInArrow(lambda b: _parse(b, window), f"o long, key binary, {pieces}")
+    looked = seeds.join(blocks, "h").select("o", "k", F.struct("pos", "sum", "ref.ro", "ref.rk", "ref.rpos", "ref.rsum").alias("s"))
+    looked = looked.groupBy("o", "k").agg(F.collect_list("s").alias("seeds"))
+    parsed = keyed.join(written(looked, "looked"), ["o", "k"]).mapInArrow(lambda b: _parse(b, window), f"o long, k long, factors {_FACTORS}, windows array<struct<pos: int, h1: long, h2: long>>")
     parsed = written(parsed, "parsed")
-    alone = parsed.select("o", "key", F.explode("windows").alias("w")).select("o", "key", "w.*")
-    place = F.struct(F.col("o").alias("ro"), F.col("key").alias("rkey"), F.col("pos").alias("rstart"))
+    alone = parsed.select("o", "k", F.explode("windows").alias("w")).select("o", "k", "w.*")
+    place = F.struct(F.col("o").alias("ro"), F.col("k").alias("rk"), F.col("pos").alias("rstart"))
     met = written(alone.groupBy("h1", "h2").agg(F.min(place).alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "ref.*"), "met")
-    later = alone.join(met, ["h1", "h2"]).where("NOT (o = ro AND key = rkey AND pos = rstart)")
-    span = F.struct(F.col("pos").alias("start"), F.lit(window).alias("length"), "ro", "rkey", "rstart")
-    spans = parsed.select("o", "key", F.explode("factors").alias("s")).unionByName(later.select("o", "key", span.alias("s")))
-    spans = written(spans.groupBy("o", "key").agg(F.collect_set("s").alias("spans")), "spans")
-    return marked.select("o", "key", "n_words", "sha", (F.col("o") > F.col("first")).alias("copy")), spans
+    later = alone.join(met, ["h1", "h2"]).where("NOT (o = ro AND k = rk AND pos = rstart)")
+    single = F.struct(F.col("pos").alias("start"), "ro", "rk", "rstart") if references else F.col("pos")
+    singles = later.groupBy("o", "k").agg(F.collect_list(single).alias("singles"))
+    spans = parsed.select("o", "k", "factors").join(singles, ["o", "k"], "left").where("size(factors) > 0 OR singles IS NOT NULL")
+    return marked.select("o", "k", "n_words", "sha", (F.col("o") > F.col("first")).alias("copy")), written(spans, "spans")
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, texts = [], []
-        for raw, spans in zip(batch.column("raw").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        if not batch.num_rows:
+            continue
+        removed, out = [], []
+        for raw, spans, singles in zip(batch.column("raw").to_pylist(), _structs(batch.column("spans")), batch.column("singles"), strict=True):
             words = (raw or b"").split()
             gone = np.zeros(len(words) + 1, np.int64)
-            for s in spans:
-                gone[s["start"]] += 1
-                gone[s["start"] + s["length"]] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            removed.append(int(gone.sum()))
-            texts.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["o", "key", "n_removed", "kept_text"])
+            np.add.at(gone, spans["start"], 1)
+            np.add.at(gone, spans["start"] + spans["length"], -1)
+            if singles.is_valid:
+                starts = singles.values.to_numpy(zero_copy_only=False)
+                np.add.at(gone, starts, 1)
+                np.add.at(gone, starts + window, -1)
+            stays = np.cumsum(gone)[:-1] <= 0
+            removed.append(len(words) - int(stays.sum()))
+            rest = b" ".join(compress(words, stays.tolist()))
+            out.append(rest if texts else hashlib.sha256(rest).digest())
+        yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("k"), pa.array(removed, pa.int64()), pa.array(out, pa.binary())], ["o", "k", "n_removed", "kept"])
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per (o, key) of the texts that lose some words but are no copy: n_removed, kept_text, sha of it."""
-    return _cut_out(docs, duplicate_spans(docs, doc_id, text, window)[1], doc_id, text)
+def _cut_out(docs: DataFrame, spans: DataFrame, doc_id: str, text: str, window: int, texts: bool) -> DataFrame:
+    held = _keyed(docs, doc_id, text).join(spans.withColumnRenamed("factors", "spans"), ["o", "k"])
+    return held.mapInArrow(lambda b: _kept(b, window, texts), "o long, k long, n_removed long, kept binary")
 
 
-def _cut_out(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
-    held = _keyed(docs, doc_id, text).join(spans, ["o", "key"]).mapInArrow(_kept, "o long, key binary, n_removed long, kept_text string")
-    return held
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per (o, k) of the texts that lose some words but are no copy: n_removed and kept_text."""
+    spans = duplicate_spans(docs, doc_id, text, window, references=False)[1]
+    return _cut_out(docs, spans, doc_id, text, window, True).select("o", "k", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 
 def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per distinct (doc_id, text) row order: o, key, n_words, n_removed, kept_sha256.
+    """One row per row of ``docs``: o (row order of doc_id), k, n_words, n_removed, kept_sha256.
 
-    A null text has no words; a null id comes after all others; texts of equal ids are ordered by their md5;
-    rows that repeat both id and text are one document.  A text with fewer than ``window`` words keeps them all.
-    A copy of an earlier text loses all its words if it has a window.  Other columns are not read.
+    A null text has no words; a null id comes after all others; texts of equal ids are ordered by a hash of the
+    text; rows that repeat both id and text are one document.  A text with fewer than ``window`` words keeps them
+    all.  A copy of an earlier text loses all its words if it has a window.  Other columns are not read.
     """
-    texts, spans = duplicate_spans(docs, doc_id, text, window)
-    shaped = _cut_out(docs, spans, doc_id, text).groupBy("o", "key").agg(F.max("n_removed").alias("n_removed"), F.max(F.sha2("kept_text", 256)).alias("kept_sha"))
+    texts, spans = duplicate_spans(docs, doc_id, text, window, references=False)
+    shaped = _cut_out(docs, spans, doc_id, text, window, False).groupBy("o", "k").agg(F.max("n_removed").alias("n_removed"), F.max("kept").alias("kept"))
     gone = F.col("copy") & (F.col("n_words") >= window)
-    nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return texts.join(shaped, ["o", "key"], "left").select(
-        "o", "key", "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, nothing).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+    nothing = F.lit(hashlib.sha256(b"").digest())
+    sha = F.when(gone, nothing).otherwise(F.coalesce("kept", "sha"))
+    return texts.join(shaped, ["o", "k"], "left").select(
+        "o", "k", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.lower(F.hex(sha)).alias("kept_sha256"),
     )
