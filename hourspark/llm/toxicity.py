@@ -210,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str =
     if not len(held) or not (n0 and n1):
         return model
     labels_, weights = held["label"].to_numpy(float), held["label"].map(stands).to_numpy(float)
-    rows = [model.vector(dict(zip(t.tolist(), n.tolist(), strict=True))) for t, n in zip(held["terms"], held["n"], strict=True)]
+    rows = [model.vector(dict(zip(map(int, t), map(int, n), strict=True))) for t, n in zip(held["terms"], held["n"], strict=True)]
     bare = np.array([not len(t) for t, _ in rows])
     base = float(((weights * labels_)[bare].sum() + share) / (weights[bare].sum() + 1))
     model = Model(vocabulary, idf, labels_, weights, held["doc_id"].tolist(), Index(rows, len(vocabulary)), base)
