@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,10 @@ from hourspark.llm.common import row_order, small_batches, written
 from hourspark.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 65_536  # a block is closed by the document that reaches this
-KNOWN_WORDS = 800_000  # words whose ids a worker remembers before it starts anew
+KNOWN_WORDS = 1_200_000  # words whose ids a worker remembers before it starts anew
 
-_PLAIN = re.compile(r"[a-zà-öø-ÿ]+[,.]")
+# A mark after a plain letter and before a blank or the end is a token of its own, whatever the word is.
+_OWN_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])[,.](?=[ \n]|$)")
 
 
 class WordEncoder:
@@ -49,31 +51,25 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.filled = 0
-        self.put("", [])
-        self.put("\n", [self.end_id])  # no word: words hold no line feed
+        self.put(["", "\n"], [[], [self.end_id]])  # the latter is no word: words hold no line feed
 
-    def put(self, word: str, ids: list[int]) -> None:
-        k, end = len(self.known), self.filled + len(ids)
+    def put(self, words: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = self.filled + np.cumsum(sizes)
+        first, n, end = len(self.known), len(words), int(ends[-1])
         if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        if k >= len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.filled : end], self.start[k], self.size[k] = ids, self.filled, len(ids)
-        self.filled, self.known[word] = end, k
-
-    def ids_of(self, word: str) -> list[int]:
-        k = self.known[word]
-        return self.flat[self.start[k] : self.start[k] + self.size[k]].tolist()
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.uint32)])
+        if first + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), n), np.int64)]) for x in (self.start, self.size))
+        self.flat[self.filled : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.filled)
+        self.start[first : first + n], self.size[first : first + n] = ends - sizes, sizes
+        self.filled = end
+        self.known.update(zip(words, range(first, first + n), strict=True))
 
     def learn(self, words: set[str]) -> None:
-        stems = {w: w[:-1] for w in words if _PLAIN.fullmatch(w)}  # a mark after a plain word is a token of its own
-        whole = ((words - stems.keys()) | set(stems.values()) | {",", "."}).difference(self.known)
-        if whole:
-            ordered = sorted(whole)
-            for word, found in zip(ordered, self.model.encode_batch_fast(ordered, add_special_tokens=False), strict=True):
-                self.put(word, found.ids)
-        for word, stem in stems.items():
-            self.put(word, self.ids_of(stem) + self.ids_of(word[-1]))
+        ordered = list(words)
+        if ordered:
+            self.put(ordered, [x.ids for x in self.model.encode_batch_fast(ordered, add_special_tokens=False)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end ids included, and the number of each text's."""
@@ -85,11 +81,11 @@ class WordEncoder:
             if "<|" in text:
                 own = f"\n{text}"
                 if own not in self.known:
-                    self.put(own, self.model.encode(text, add_special_tokens=False).ids)
+                    self.put([own], [self.model.encode(text, add_special_tokens=False).ids])
                 words.append(own)
             else:
                 text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                words += text.replace("\n", " ").split(" ")
+                words += _OWN_MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")
             words.append("\n")
             ends.append(len(words))
         self.learn(set(words).difference(self.known))
