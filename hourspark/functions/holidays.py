@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourspark.operators.quality import date_spine
-from hourspark.session import broadcast_if_small
 
 
 def easter_sunday(year: Column) -> Column:
@@ -77,7 +76,7 @@ def holiday_calendar(bounds: DataFrame, first: str, last: str, overrides: DataFr
     out = days.join(named, "local_date", "left")
     if overrides is not None:
         extra = overrides.select("local_date", F.col("public_holiday_name").alias("_name"), F.lit(True).alias("_set"))
-        out = out.join(broadcast_if_small(extra), "local_date", "left").withColumn(
+        out = out.join(extra, "local_date", "left").withColumn(
             "public_holiday_name", F.when(F.col("_set"), F.col("_name")).otherwise(F.col("public_holiday_name"))
         )
     return out.select("local_date", F.col("public_holiday_name").isNotNull().alias("is_public_holiday"), "public_holiday_name")

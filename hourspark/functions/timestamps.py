@@ -152,7 +152,8 @@ def calendar_columns(day: Column, week_start: str = "monday") -> dict[str, Colum
 def cyclic(name: str, value: Column, period: float) -> dict[str, Column]:
     """``<name>_sin`` and ``<name>_cos`` of a cyclic value."""
     angle = F.lit(2.0) * F.pi() * value / F.lit(float(period))
-    return {f"{name}_sin": F.sin(angle), f"{name}_cos": F.cos(angle)}
+    known = {"asof": "always"}  # a calendar value is known of any hour
+    return {n: f(angle).alias(n, metadata=known) for n, f in ((f"{name}_sin", F.sin), (f"{name}_cos", F.cos))}
 
 
 def direction_components(degrees: Column) -> tuple[Column, Column]:

@@ -36,7 +36,7 @@ def leaders(vertices: DataFrame, tolerance_m: float = SNAP_M) -> DataFrame:
     vertices meet only new leaders, of which a cell block holds a handful by their spacing, so
     crowded cells never produce pairs of open vertices.
     """
-    placed = cut(with_cell(vertices, "lon", "lat", tolerance_m))
+    placed = cut(with_cell(vertices, "lon", "lat", tolerance_m * 1.01))
     open_rows, all_leaders = placed, None
     while True:
         firsts = open_rows.groupBy("row", "col").agg(F.min("ordinal").alias("ordinal"))
@@ -66,7 +66,7 @@ def leaders(vertices: DataFrame, tolerance_m: float = SNAP_M) -> DataFrame:
 
 def _near_leaders(rows: DataFrame, found: DataFrame, tolerance_m: float) -> DataFrame:
     around = neighbour_cells(
-        found.withColumnsRenamed({"ordinal": "l_ordinal", "lon": "l_lon", "lat": "l_lat"}), "l_lon", "l_lat", tolerance_m
+        found.withColumnsRenamed({"ordinal": "l_ordinal", "lon": "l_lon", "lat": "l_lat"}), "l_lon", "l_lat", tolerance_m * 1.01
     )
     return rows.join(around, ["row", "col"]).withColumn(
         "d", haversine_m(F.col("lon"), F.col("lat"), F.col("l_lon"), F.col("l_lat"))

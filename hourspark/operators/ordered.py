@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourspark.functions.timestamps import MICROS_PER_HOUR, epoch_micros
+from hourspark.session import cut
 
 DAY_MICROS = 24 * MICROS_PER_HOUR
 # Hourly rows are unique per unit, so a slice of 28 days holds at most 672 of them.
@@ -159,6 +160,7 @@ def past_windows(
     for k in counts:
         n = F.count(value).over(past(k))
         new[f"{prefix}_rolling_past_{k}h_count"] = F.nullif(n, F.lit(0)) if null_when_empty else n
+    new = {name: column.alias(name, metadata={"asof": "past"}) for name, column in new.items()}
     return spread.withColumns(new).filter(~F.col("_slice.copied")).drop("_us", "_slice")
 
 
@@ -244,3 +246,18 @@ def step_lookup(reference: DataFrame, queries: DataFrame, keys: list[str], at: s
     return found.filter(F.col("_asks") == 1).select(
         *keys, at, *[F.col(f"_row.{c}").alias(c) for c in extra], F.col("_found.v").alias(value)
     )
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Position from 0 of each row among its key's rows in ``order``, for any kind of column.
+
+    Rows are range-sorted once and written with their range; a position is the number of the key's rows in
+    earlier ranges plus the row number within the range.  No slice width is needed and no key stays whole.
+    """
+    laid = cut(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = laid.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    placed = laid.withColumn("_within", within).alias("l").join(before.alias("b"), [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "_range"]])
+    return placed.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_before") + F.col("_within")).alias(name))

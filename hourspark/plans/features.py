@@ -15,8 +15,7 @@ from hourspark.functions.timestamps import (
 from hourspark.operators.hourly import hourly_means, hourly_medians, mode_counts
 from hourspark.operators.metrics import feature_quality
 from hourspark.operators.ordered import HISTORY_SLICE_HOURS, past_windows
-from hourspark.operators.quality import require_columns
-from hourspark.session import broadcast_if_small
+from hourspark.operators.quality import mark_known, require_columns
 
 # Split bounds of the two target tables.
 CROWD_SPLITS = [("train", None, dt.date(2024, 12, 31)), ("validation", None, dt.date(2025, 12, 31)), ("test", None, dt.date(2026, 5, 11))]
@@ -146,7 +145,7 @@ def base_table(
     if holidays is None:
         return out
     return out.withColumn("_day", day).join(
-        broadcast_if_small(holidays.withColumnRenamed("local_date", "_day")), "_day", "left"
+        holidays.withColumnRenamed("local_date", "_day"), "_day", "left"
     ).drop("_day")
 
 
@@ -181,14 +180,15 @@ def crowd_table(table: DataFrame, holidays: DataFrame, weather: DataFrame, split
     based = base_table(
         lagged, "observed_at_local", F.col("local_date"), F.col("local_hour"), split, holidays, "sunday", "feature_asof_local", month=False,
     ).withColumn("is_weekend", day_number(F.col("local_date"), "sunday").isin(0, 6))
-    return based.join(broadcast_if_small(weather), "observed_at_local", "left")
+    return based.join(weather, "observed_at_local", "left")
 
 
 def recent_table(all_history: DataFrame, feeds: list[DataFrame], first: dt.date = RECENT_FIRST) -> DataFrame:
     """Recent rows with the lagged feeds; an hour without a feed row keeps nulls."""
     out = all_history.filter(F.col("local_date") >= F.lit(first))
     for feed in feeds:
-        out = out.join(broadcast_if_small(feed), "observed_at_local", "left")
+        names = [c for c in feed.columns if c != "observed_at_local"]
+        out = mark_known(out.join(feed, "observed_at_local", "left"), names)
     return out
 
 

@@ -11,27 +11,25 @@ from pyspark.sql import functions as F
 from hourspark.functions.numbers import finite
 from hourspark.functions.text import typed_token
 from hourspark.operators.metrics import score, winner
-from hourspark.operators.ordered import numbered
+from hourspark.operators.ordered import ranked
 from hourspark.operators.quality import enforce_features
-from hourspark.session import broadcast_if_small
+from hourspark.session import cut
 
 CANDIDATES = ["base", "lag_enhanced"]
 
 
-def vocabulary(train: DataFrame, column: str) -> DataFrame:
-    """(token, code): distinct typed tokens of the training rows in text order, coded 0.. ."""
-    tokens = train.filter(F.col(column).isNotNull()).select(typed_token(train, column).alias("token")).distinct()
-    # The first two characters after the type order the slices, so a large vocabulary stays spread.
-    body = F.substring_index("token", ":", -1)
-    lead = F.coalesce(F.ascii(F.substring(body, 1, 1)), F.lit(0)) * 256 + F.coalesce(F.ascii(F.substring(body, 2, 1)), F.lit(0))
-    return numbered(tokens, [], ["token"], lead, "n").select("token", (F.col("n") - 1).alias("code"))
+def vocabulary(train: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, token, code): each column's distinct typed tokens in text order, coded 0.. ; one pass over the rows."""
+    held = [F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), typed_token(train, c)).alias("token")) for c in columns]
+    tokens = train.select(F.explode(F.array(*held)).alias("t")).select("t.*").filter("token IS NOT NULL").distinct()
+    return ranked(tokens, ["column"], ["token"], "code")
 
 
 def encode(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``<column>__code`` (null if missing or unknown) and ``<column>__unseen`` from the training vocabulary."""
-    out = df
+    out, known = df, cut(vocabulary(train, columns))
     for c in columns:
-        words = broadcast_if_small(vocabulary(train, c).withColumnsRenamed({"token": "_token", "code": f"{c}__code"}))
+        words = known.filter(F.col("column") == c).select(F.col("token").alias("_token"), F.col("code").alias(f"{c}__code"))
         out = out.withColumn("_token", typed_token(df, c)).join(words, "_token", "left").drop("_token").withColumn(
             f"{c}__unseen", F.col(c).isNotNull() & F.col(f"{c}__code").isNull()
         )
@@ -48,7 +46,7 @@ def _vector(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_poisson(train: DataFrame, features: list[str], target: str, max_iter: int = 25, ridge: float = 1e-3) -> Model:
     """Poisson regression with log link over the training rows."""
-    enforce_features(features)
+    enforce_features(train, features)
     glm = GeneralizedLinearRegression(
         family="poisson", link="log", featuresCol="_features", labelCol="_y", predictionCol="_prediction",
         maxIter=max_iter, regParam=ridge,
@@ -58,7 +56,7 @@ def fit_poisson(train: DataFrame, features: list[str], target: str, max_iter: in
 
 def fit_trees(train: DataFrame, validation: DataFrame, features: list[str], target: str, rounds: int = 20, depth: int = 5) -> Model:
     """Boosted trees on log1p of the target, stopped early on the validation rows."""
-    enforce_features(features)
+    enforce_features(train, features)
     both = train.withColumn("_valid", F.lit(False)).unionByName(validation.withColumn("_valid", F.lit(True)))
     gbt = GBTRegressor(
         featuresCol="_features", labelCol="_y", predictionCol="_prediction", validationIndicatorCol="_valid",

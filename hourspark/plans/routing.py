@@ -10,7 +10,7 @@ from hourspark.functions.geo import WALKING_M_PER_MIN
 from hourspark.functions.labels import heat_context
 from hourspark.operators import candidates as cand
 from hourspark.operators.graph import arrivals, path_shade, path_steps, shortest_paths
-from hourspark.operators.spatial import nearest_of_few, node_penalties
+from hourspark.operators.spatial import nearest, node_penalties
 from hourspark.operators.tracks import samples
 from hourspark.session import cut
 
@@ -27,7 +27,7 @@ def snapped(requests: DataFrame, nodes: DataFrame) -> DataFrame:
         requests.select("request_id", F.lit(side).alias("side"), F.col(f"{side}_lon").alias("lon"), F.col(f"{side}_lat").alias("lat"))
         for side in ("from", "to")
     ]
-    met = nearest_of_few(ends[0].unionByName(ends[1]), places, "node", radius_m=SNAP_LIMIT_M)
+    met = nearest(ends[0].unionByName(ends[1]), places, "node", radius_m=SNAP_LIMIT_M)
     on = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     return requests.join(met.groupBy("request_id").agg(
         on("from", "node").alias("start_node"), on("from", "distance_m").alias("start_snap_m"),
@@ -39,7 +39,7 @@ def route_crowd(steps: DataFrame, nodes: DataFrame, lengths: DataFrame, sites: D
     """Mean flow over the distinct sites nearest to the sampled points of each route."""
     placed = steps.join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node").join(lengths, KEY)
     points = samples(placed, "metres", KEY)
-    met = nearest_of_few(points.select(*KEY, "lon", "lat"), sites, "site_id").select(*KEY, "site_id").distinct()
+    met = nearest(points.select(*KEY, "lon", "lat"), sites, "site_id", finest_m=200.0, widen=4.0).select(*KEY, "site_id").distinct()
     return met.join(flows.filter(F.col("flow").isNotNull()), "site_id").groupBy(*KEY).agg(F.avg("flow").alias("crowd"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourspark.operators import metrics, sampling
+from hourspark.operators import metrics, quality, sampling
 from hourspark.plans import features as feats
 from hourspark.plans import forecasting
 from hourspark.queries import Tables, query, rounded
@@ -157,6 +157,19 @@ def modelled(t: Tables) -> DataFrame:
     )
 
 
+@query("""WITH c AS (SELECT unnest(['user_id', 'hour', 'split', 'n', 'n_lag_1h', 'n_lag_24h', 'n_lag_168h', 'n_rolling_past_24h_mean', 'n_rolling_past_168h_mean', 'hour_sin', 'hour_cos', 'n_twice']) AS name),
+  p AS (SELECT count(*) AS rows FROM (SELECT DISTINCT user_id, date_trunc('hour', ts) FROM events))
+  SELECT name, name IN ('user_id', 'hour', 'split', 'n', 'n_twice') AS leaks, rows FROM c, p""")
+def leakage_report(t: Tables) -> DataFrame:
+    """Which columns of the modelled hours may not be features, next to the number of hours."""
+    rows = modelled(t).withColumn("n_twice", F.col("n_lag_1h") + F.col("n"))
+    names = ["user_id", "hour", "split", "n", *FEATURES, "n_twice"]
+    leaks = F.array(*[F.lit(x) for x in quality.leaking_features(rows, names)])
+    count = rows.agg(F.count(F.lit(1)).alias("rows"))
+    named = count.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"), "rows")
+    return named.select("name", F.array_contains(leaks, F.col("name")).alias("leaks"), "rows")
+
+
 @query()
 def poisson_fit_predict(t: Tables) -> DataFrame:
     """Poisson regression trained on the train split, scored on validation and test."""

@@ -47,7 +47,7 @@ AT_SQL = f"""c AS (SELECT c_custkey, {', '.join(f'{spread_sql("c_custkey", *a)}
 @query(f"""WITH {AT_SQL} SELECT c_custkey, site_id, round(m, 4) AS distance_m,
   CASE WHEN m / 1000 > 0.5 THEN 'nearest_sensor_distance_km_' || round(m / 1000, 2) || '_exceeds_proxy_radius' END AS warning FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY m, site_id) = 1""")
 def nearest_site(t: Tables) -> DataFrame:
-    met = spatial.nearest_of_few(customers(t), suppliers(t), "site_id")
+    met = spatial.nearest(customers(t), suppliers(t), "site_id", finest_m=200.0, widen=4.0)
     return rounded(met.select("c_custkey", "site_id", "distance_m", spatial.far_site_warning(F.col("distance_m")).alias("warning")), "distance_m", digits=4)
 
 

@@ -15,7 +15,7 @@ from hourspark.streaming import hourly, walk
 
 
 def event_stream(t: Tables) -> DataFrame:
-    return hourly.stream_files(t.spark, t.folder, "events.parquet", t.events.schema)
+    return hourly.stream_files(t.spark, f"{t.folder}/events.parquet", t.events.schema)
 
 
 @query("""SELECT user_id, date_trunc('hour', ts) AS hour, count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS motor_rows, count(*) FILTER (WHERE event_type NOT IN ('click', 'purchase')) AS other_rows, count(*) AS rows,
@@ -23,10 +23,10 @@ def event_stream(t: Tables) -> DataFrame:
   count(*) FILTER (WHERE event_type IN ('click', 'purchase')) = 0 AS derived_zero FROM events GROUP BY 1, 2
   HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
 def stream_hourly(t: Tables) -> DataFrame:
-    """Hours that the watermark has closed; the last open hour is not emitted."""
+    """Hours that the stream has closed, late rows included; the last open hour is not emitted."""
     motor = F.col("event_type").isin("click", "purchase")
-    hours = hourly.closed_hours(event_stream(t), "ts", ["user_id"], motor, F.col("value"))
-    return rounded(hourly.run_to_table(hours, "stream-hourly"), "vehicle_count", digits=4)
+    hours = hourly.summed_hours(event_stream(t), "ts", ["user_id"], motor, F.col("value"), "stream-hourly")
+    return rounded(hours, "vehicle_count", digits=4)
 
 
 @query(f"""WITH {WALK_SQL} SELECT route_id AS session_id, round(sum(CASE WHEN moved >= 4 THEN least(moved, 4 * greatest(0.001, secs)) ELSE 0 END), 3) AS walked_m, count(*) AS fixes FROM m GROUP BY 1""")

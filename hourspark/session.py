@@ -1,4 +1,4 @@
-"""Session settings, checkpointing and the size checks that guard broadcasts."""
+"""Session settings, and tables written to cut lineage."""
 
 from __future__ import annotations
 
@@ -7,11 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-# A side is broadcast only when its counted rows stay below this bound.
-MAX_BROADCAST_ROWS = 200_000
 
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -73,16 +70,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_count_within(df: DataFrame, bound: int) -> bool:
-    """True if ``df`` has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
-    return df.limit(bound + 1).count() <= bound
-
-
-def broadcast_if_small(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the counted size allows it; otherwise leave the join to AQE."""
-    return F.broadcast(df) if row_count_within(df, bound) else df
-
-
 def one_value(df: DataFrame) -> Column:
     """A one-row, one-column DataFrame as a scalar subquery column."""
     return df.scalar()

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from hourspark.functions.timestamps import from_instant, instant
+from hourspark.functions.timestamps import floor_hour, from_instant, instant
 from hourspark.operators.quality import freshness
 from hourspark.session import run_dir
 
 
-def stream_files(spark: SparkSession, folder: str, names: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """The Parquet files of a folder whose names match a glob, as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", names)
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name files as well as folders
 
 
 def closed_hours(rows: DataFrame, at: str, unit: list[str], motor: Column, count: Column, delay: str = "10 minutes") -> DataFrame:
@@ -42,6 +42,33 @@ def closed_hours(rows: DataFrame, at: str, unit: list[str], motor: Column, count
     )
 
 
+def summed_hours(rows: DataFrame, at: str, unit: list[str], motor: Column, count: Column, label: str, delay: str = "10 minutes") -> DataFrame:
+    """Hourly countline totals of a whole stream, however late its rows come.
+
+    Each micro-batch writes its own sums by hour under its number, so a repeated batch replaces itself.  Sums are
+    additive: a late row is one more summand of its hour and nothing is dropped.  Hours are given out once all
+    rows seen lie ``delay`` past their end; no state is kept between batches.
+    """
+    spark = rows.sparkSession
+    home = run_dir(spark, label)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(*unit, floor_hour(from_instant(instant(F.col(at)))).alias("hour")).agg(
+            F.sum(F.when(motor, count)).alias("motor_count"), F.count_if(motor).alias("motor_rows"), F.count_if(~motor).alias("other_rows"),
+            F.count(F.lit(1)).alias("rows"), F.max(instant(F.col(at))).alias("latest"),
+        )
+        sums.write.mode("overwrite").parquet(f"{home}/sums/batch={number}")
+
+    rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    sums = spark.read.parquet(f"{home}/sums")
+    hours = sums.groupBy(*unit, "hour").agg(*[F.sum(c).alias(c) for c in ("motor_count", "motor_rows", "other_rows", "rows")])
+    closed = sums.agg(F.max("latest") - F.expr(f"INTERVAL {delay}")).scalar()
+    derived = (F.col("motor_rows") == 0) & (F.col("other_rows") > 0)
+    total = F.when(derived, F.lit(0)).otherwise(F.col("motor_count")).cast("double")
+    out = hours.filter(instant(F.col("hour")) + F.expr("INTERVAL 1 HOUR") <= closed)
+    return out.select(*unit, "hour", total.alias("vehicle_count"), "motor_rows", "other_rows", "rows", derived.alias("derived_zero"))
+
+
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process all available input into a Parquet table in the shared folder and return the table."""
     spark = stream.sparkSession

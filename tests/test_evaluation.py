@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourspark.operators import metrics, sampling
+from hourspark.operators.quality import mark_known
 from hourspark.plans import forecasting
 
 
@@ -41,10 +42,22 @@ def test_winner_uses_validation_only_and_ties_go_to_the_first_candidate(spark):
     assert {r.group_id: r.candidate for r in metrics.winner(scores, ["group_id"], ["base", "lag_enhanced"]).collect()} == {"g": "base", "h": "lag_enhanced"}
 
 
-def test_quotas_sum_to_the_rows_and_keep_every_stratum():
-    assert sampling.quotas({("a",): 1, ("b",): 1, ("c",): 998}, 10) == {("a",): 1, ("b",): 1, ("c",): 8}
-    assert sum(sampling.quotas({(i,): n for i, n in enumerate([333, 333, 334])}, 100).values()) == 100
-    assert sampling.quotas({(i,): 5 for i in range(4)}, 2) == {(i,): 1 for i in range(4)}
+def test_quotas_sum_to_the_rows_and_keep_every_stratum(spark):
+    def quotas(counts, rows):
+        df = spark.createDataFrame(list(enumerate(counts)), "s int, n long")
+        return [r.quota for r in sampling.quotas(df, ["s"], "n", rows).orderBy("s").collect()]
+
+    assert quotas([1, 1, 998], 10) == [1, 1, 8]
+    assert sum(quotas([333, 333, 334], 100)) == 100
+    assert quotas([5] * 4, 2) == [1] * 4
+    assert quotas([10, 10, 10], 4) == [2, 1, 1]  # a missing row goes to the first of equals
+    assert quotas([3, 3, 3, 3], 6) == [1, 1, 2, 2]  # what is too much comes off the first of equals
+
+
+def test_preview_of_very_many_strata(spark):
+    df = spark.range(30_000).select("id", F.floor(F.col("id") / 2).alias("s"))
+    out = sampling.stratified_preview(df, ["s"], F.col("id").cast("string"), 16_000, ["id"])
+    assert out.count() == 16_000 and out.select("s").distinct().count() == 15_000
 
 
 def test_preview_does_not_depend_on_input_order(spark):
@@ -54,6 +67,14 @@ def test_preview_does_not_depend_on_input_order(spark):
     assert a == b and len(a) == 50 and sum(r.s == "rare" for r in a) == 5
 
 
+def test_vocabulary_follows_the_text_order(spark):
+    ids = ["scats:1", "scats:44", "ta:10", "ta:9", "x:5", "-1", "ärger", "z", "Z", "", *[f"site:{k}" for k in range(300)]]
+    train = spark.createDataFrame([(x, len(x)) for x in reversed(ids)], "u string, n int")
+    got = forecasting.encode(train, train, ["u", "n"]).select("u", "n", "u__code", "n__code").collect()
+    assert {r.u: r.u__code for r in got} == {u: k for k, u in enumerate(sorted(ids, key=lambda x: x.encode()))}
+    assert {r.n: r.n__code for r in got} == {n: k for k, n in enumerate(sorted({len(x) for x in ids}, key=str))}
+
+
 def test_vocabulary_comes_from_training_only(spark):
     train = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "u string")
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "z"), (4, None)], "i int, u string")
@@ -66,6 +87,7 @@ def test_poisson_regression_learns_and_keeps_nulls_out_of_the_table(spark):
     x = rng.uniform(0, 2, 2000)
     y = rng.poisson(np.exp(0.5 + 0.8 * x))
     df = spark.createDataFrame([(float(a), float(b), None if i % 7 == 0 else float(a)) for i, (a, b) in enumerate(zip(x, y))], "hour_sin double, n double, n_lag_1h double")
+    df = mark_known(df, ["hour_sin", "n_lag_1h"])
     model = forecasting.fit_poisson(df, ["hour_sin", "n_lag_1h"], "n")
     done = forecasting.predict(model, df, ["hour_sin", "n_lag_1h"])
     flat = df.withColumn("prediction", F.lit(float(y.mean())))

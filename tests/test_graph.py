@@ -149,12 +149,21 @@ def test_nearest_equals_brute_force(spark):
     s = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)], "site int, lon double, lat double")
     want = {i: min((metres(x, y), j) for j, y in enumerate(sites)) for i, x in enumerate(points)}
     free = {r.i: r.site for r in spatial.nearest(p, s, "site").collect()}
-    few = {r.i: r.site for r in spatial.nearest_of_few(p, s, "site").collect()}
+    few = {r.i: r.site for r in spatial.nearest(p, s, "site", finest_m=200.0, widen=4.0).collect()}
     assert free == few == {i: j for i, (d, j) in want.items()}
     near = {r.i: r.site for r in spatial.nearest(p, s, "site", radius_m=400.0).collect()}
     assert near == {i: (j if d <= 400 else None) for i, (d, j) in want.items()}
 
 
+def test_nearest_far_north_over_the_date_line_and_without_a_place(spark):
+    p = spark.createDataFrame([(0, 20.0, 69.0), (1, 179.999, 10.0), (2, None, 10.0), (3, -179.999, -69.0)], "i int, lon double, lat double")
+    s = spark.createDataFrame([(7, 20.0095, 69.0), (8, -179.9985, 10.0), (9, 179.9915, -69.0)], "site int, lon double, lat double")
+    got = {r.i: r.site for r in spatial.nearest(p, s, "site", radius_m=400.0).collect()}
+    assert got == {0: 7, 1: 8, 2: None, 3: 9}
+    free = {r.i: r.site for r in spatial.nearest(p, s, "site", finest_m=200.0, widen=4.0).collect()}
+    assert free == got
+
+
 def test_snap_distance_and_limit(spark, square):
     nodes, _ = square
     asked = spark.createDataFrame([(1, 144.9601, -37.8101), (2, 151.2, -33.87)], "q int, lon double, lat double")

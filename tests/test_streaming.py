@@ -15,7 +15,7 @@ def test_closed_hours_equal_the_batch(spark, tmp_path):
     )
     for part in range(4):
         df.filter((F.col("at") >= start + F.expr(f"interval {part * 4} hours")) & (F.col("at") < start + F.expr(f"interval {part * 4 + 4} hours"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = hourly.stream_files(spark, str(tmp_path / "in"), "*.parquet", df.schema, 1)
+    stream = hourly.stream_files(spark, str(tmp_path / "in"), df.schema, 1)
     out = hourly.run_to_table(hourly.closed_hours(stream, "at", ["site"], F.col("class") == "car", F.col("n")), "test")
     batch = df.groupBy("site", F.date_trunc("hour", "at").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("rows"), F.sum(F.when(F.col("class") == "car", F.col("n"))).alias("s"))
     last = df.agg(F.max("at")).first()[0] - dt.timedelta(minutes=10)
@@ -34,7 +34,7 @@ def test_walk_state_over_batches_equals_the_batch_operators(spark, tmp_path):
     fixes = df.withColumn("ts", F.col("at").cast("timestamp")).drop("at")
     for part in range(3):
         fixes.filter((F.col("event_id") >= part * 20) & (F.col("event_id") < part * 20 + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = hourly.stream_files(spark, str(tmp_path / "in"), "*.parquet", fixes.schema, 1)
+    stream = hourly.stream_files(spark, str(tmp_path / "in"), fixes.schema, 1)
     kept = []
 
     def keep(batch, number):
@@ -56,9 +56,35 @@ def test_freshness_gate_runs_on_every_batch(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     seen = []
     query = hourly.watch_freshness(
-        hourly.stream_files(spark, str(tmp_path / "in"), "*.parquet", df.schema), str(tmp_path / "c"), ["u"], "h", ["lag"],
+        hourly.stream_files(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "c"), ["u"], "h", ["lag"],
         F.lit("2026-06-01 11:00:00").cast("timestamp_ntz"), lambda out, number: seen.extend((r.u, r.status, tuple(r.warnings)) for r in out.collect()),
     )
     query.awaitTermination()
     assert sorted(seen) == [(1, "degraded", ("stale_lag_history", "missing_lag_history")), (2, "ok", ())]
     assert latest(df, ["u"], ["h"]).count() == 2
+
+
+def test_late_rows_of_unsorted_files_are_summed(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k % 3, start + dt.timedelta(minutes=7 * k), "car" if k % 4 else "bus", float(k)) for k in range(600)]
+    df = spark.createDataFrame(rows, "site long, at timestamp_ntz, class string, n double")
+    for part in (2, 0, 1):
+        df.filter(F.floor(F.col("n") / 200) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = hourly.stream_files(spark, str(tmp_path / "in"), df.schema, 1)
+    got = hourly.summed_hours(stream, "at", ["site"], F.col("class") == "car", F.col("n"), "late")
+    last = start + dt.timedelta(minutes=7 * 599 - 10)
+    want = {}
+    for site, at, kind, n in rows:
+        hour = at.replace(minute=0)
+        if hour + dt.timedelta(hours=1) <= last:
+            count, cars, total = want.get((site, hour), (0, 0, 0.0))
+            want[site, hour] = (count + 1, cars + (kind == "car"), total + (n if kind == "car" else 0.0))
+    assert {(r.site, r.hour): (r.rows, r.motor_rows, r.vehicle_count) for r in got.collect()} == want
+
+
+def test_a_table_may_be_one_file(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "t"))
+    file = next(p for p in (tmp_path / "t").iterdir() if p.name.endswith(".parquet"))
+    for path in (tmp_path / "t", file):
+        stream = hourly.stream_files(spark, str(path), spark.range(1).schema)
+        assert hourly.run_to_table(stream, "file").count() == 5
