@@ -11,13 +11,13 @@ A file set is a folder with two Parquet tables, so that Spark's committers make
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,10 +26,11 @@ from hourspark.llm.common import row_order, small_batches, written
 from hourspark.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 65_536  # a block is closed by the document that reaches this
-KNOWN_WORDS = 1_200_000  # words whose ids a worker remembers before it starts anew
+KNOWN_WORDS = 700_000  # words whose ids a worker remembers before it starts anew
 
 # A mark after a plain letter and before a blank or the end is a token of its own, whatever the word is.
-_OWN_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])[,.](?=[ \n]|$)")
+_OWN_MARK, _APART = r"([a-zà-öø-ÿ])([,.])([ \n]|$)", r"\1 \2\3"
+_SPECIAL = "<|"
 
 
 class WordEncoder:
@@ -66,35 +67,41 @@ class WordEncoder:
         self.filled = end
         self.known.update(zip(words, range(first, first + n), strict=True))
 
-    def learn(self, words: set[str]) -> None:
-        ordered = list(words)
-        if ordered:
-            self.put(ordered, [x.ids for x in self.model.encode_batch_fast(ordered, add_special_tokens=False)])
+    def learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            self.put(some, [x.ids for x in self.model.encode_batch_fast(some, add_special_tokens=False)])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, end ids included, and the number of each text's."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, end ids included, and the number of each text's.
+
+        Cutting and counting distinct words is Arrow's; Python sees each distinct word of a batch once.
+        """
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        words, ends = [], []
-        for text in texts:
-            text = text or ""
-            if "<|" in text:
-                own = f"\n{text}"
-                if own not in self.known:
-                    self.put([own], [self.model.encode(text, add_special_tokens=False).ids])
-                words.append(own)
-            else:
-                text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                words += _OWN_MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")
-            words.append("\n")
-            ends.append(len(words))
-        self.learn(set(words).difference(self.known))
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, _SPECIAL)
+        lowered = pc.replace_substring(pc.replace_substring_regex(pc.ascii_lower(texts), _OWN_MARK, _APART), "\n", " ")
+        if pc.any(special).as_py():  # such a text is one word, told from others by a leading line feed
+            lowered = pc.if_else(special, pc.binary_join_element_wise("\n", texts, ""), lowered)
+            split = pa.array([[x] if x.startswith("\n") else x.split(" ") for x in lowered.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.split_pattern(lowered, " ")
+        words = pc.list_flatten(split).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.known]
+        self.learn([w for w in new if not w.startswith("\n")])
+        for whole in (w for w in new if w.startswith("\n")):
+            self.put([whole], [self.model.encode(whole[1:], add_special_tokens=False).ids])
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        which = np.insert(place[words.indices.to_numpy(zero_copy_only=False)], ends, self.known["\n"])
         size = self.size[which]
         upto = np.cumsum(size)
-        place = np.repeat(self.start[which] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
-        per_text = np.diff(np.concatenate([[0], upto[np.array(ends, np.int64) - 1]])) if ends else np.zeros(0, np.int64)
-        return self.flat[place], per_text
+        at = np.repeat(self.start[which] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
+        per_text = np.diff(upto[ends + np.arange(len(ends))], prepend=0)
+        return self.flat[at], per_text
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -106,7 +113,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -
     _ENCODERS[tokenizer, end_id] = encoder
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids, sizes = encoder.encode(batch.column("text").to_pylist())
+        ids, sizes = encoder.encode(batch.column("text"))
         stops = np.cumsum(sizes)
         starts = stops - sizes
         width = 4 if encoder.wide else 2
