@@ -26,7 +26,7 @@ from hourspark.llm.common import row_order, small_batches, written
 from hourspark.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 65_536  # a block is closed by the document that reaches this
-KNOWN_WORDS = 700_000  # words whose ids a worker remembers before it starts anew
+KNOWN_WORDS = 350_000  # words whose ids a worker remembers before it starts anew
 
 # A mark after a plain letter and before a blank or the end is a token of its own, whatever the word is.
 _OWN_MARK, _APART = r"([a-zà-öø-ÿ])([,.])([ \n]|$)", r"\1 \2\3"
@@ -50,7 +50,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.filled = 0
         self.put(["", "\n"], [[], [self.end_id]])  # the latter is no word: words hold no line feed
 
@@ -61,15 +61,15 @@ class WordEncoder:
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.uint32)])
         if first + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), n), np.int64)]) for x in (self.start, self.size))
+            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), n), x.dtype)]) for x in (self.start, self.size))
         self.flat[self.filled : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.filled)
         self.start[first : first + n], self.size[first : first + n] = ends - sizes, sizes
         self.filled = end
         self.known.update(zip(words, range(first, first + n), strict=True))
 
     def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
+        for k in range(0, len(words), 2_000):
+            some = words[k : k + 2_000]
             self.put(some, [x.ids for x in self.model.encode_batch_fast(some, add_special_tokens=False)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ class WordEncoder:
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(counts)
         which = np.insert(place[words.indices.to_numpy(zero_copy_only=False)], ends, self.known["\n"])
-        size = self.size[which]
+        size = self.size[which].astype(np.int64)
         upto = np.cumsum(size)
         at = np.repeat(self.start[which] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
         per_text = np.diff(upto[ends + np.arange(len(ends))], prepend=0)
