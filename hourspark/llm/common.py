@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,11 @@ def free_name(columns: list[str], wish: str) -> str:
 def row_order(doc_id: str | Column = "doc_id") -> Column:
     """A never-null long that sorts as doc_id does, nulls last."""
     return F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(2**63 - 1)).cast("long")
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: many small native allocations else keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import row_order, small_batches, written
+from hourspark.llm.common import give_back, row_order, small_batches, written
 from hourspark.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 65_536  # a block is closed by the document that reaches this
-KNOWN_WORDS = 350_000  # words whose ids a worker remembers before it starts anew
+KNOWN_WORDS = 300_000  # words whose ids a worker remembers before it starts anew
 
 # A mark after a plain letter and before a blank or the end is a token of its own, whatever the word is.
 _OWN_MARK, _APART = r"([a-zà-öø-ÿ])([,.])([ \n]|$)", r"\1 \2\3"
@@ -121,6 +121,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -
         packed = pa.array([raw[a * width : b * width] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + starts), batch.column("doc_id"), pa.array(sizes), packed], ["part", "at", "doc_id", "n_tokens", "ids"])
         at += int(sizes.sum())
+        give_back()
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
