@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,12 @@ from hourspark.llm.common import give_back, row_order, small_batches, written
 from hourspark.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 65_536  # a block is closed by the document that reaches this
-KNOWN_WORDS = 300_000  # words whose ids a worker remembers before it starts anew
+KNOWN_WORDS = 300_000  # words whose ids a worker remembers before it forgets the rarer half
 
-# A mark after a plain letter and before a blank or the end is a token of its own, whatever the word is.
-_OWN_MARK, _APART = r"([a-zà-öø-ÿ])([,.])([ \n]|$)", r"\1 \2\3"
-_SPECIAL = "<|"
+# Marks (but for the apostrophe) after a plain letter and before a blank or the end are tokens of their own,
+# whatever the word is.
+_OWN_MARK, _APART = r"([a-zà-öø-ÿ])([!-&(-/:-@\[-`{-~]+)([ \n]|$)", r"\1 \2\3"
+_SPECIAL, _MARK = "<|", "|"
 
 
 class WordEncoder:
@@ -44,33 +45,65 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread keeps memory of its own
         self.model, self.end_id = Tokenizer.from_file(path), end_id
-        self.wide = self.model.get_vocab_size() > 1 << 16
-        self.forget()
+        self.size_of_vocabulary = max(self.model.get_vocab_size(), end_id + 1)
+        self.wide = self.size_of_vocabulary > 1 << 16
+        self.mark = self.ids_of(_MARK)
+        self.start_anew()
 
-    def forget(self) -> None:
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def start_anew(self) -> None:
         self.known: dict[str, int] = {}
+        self.used = np.zeros(1 << 14, np.int32)  # batches that held the word, halved whenever words are forgotten
         self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.filled = 0
-        self.put(["", "\n"], [[], [self.end_id]])  # the latter is no word: words hold no line feed
+        self.put(["", "\n"], np.array([self.end_id]), np.array([0, 1]))  # the latter is no word: words hold no line feed
 
-    def put(self, words: list[str], ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    def forget(self) -> None:
+        """Keep the half of the words that most batches held."""
+        n = len(self.known)
+        used = self.used[:n].copy()
+        used[:2] = np.iinfo(np.int32).max
+        kept = np.sort(np.argpartition(-used, KNOWN_WORDS // 2)[: KNOWN_WORDS // 2])
+        keep = np.zeros(n, bool)
+        keep[kept] = True
+        words, sizes, used = list(compress(self.known, keep)), self.size[kept].astype(np.int64), used[kept] // 2
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.start[kept] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        self.start_anew()
+        self.put(words[2:], ids[int(sizes[:2].sum()) :], sizes[2:])
+        self.used[2 : len(words)] = used[2:]
+
+    def put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember words, whose ids follow one another in ``ids``."""
         ends = self.filled + np.cumsum(sizes)
         first, n, end = len(self.known), len(words), int(ends[-1])
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.uint32)])
         if first + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), n), x.dtype)]) for x in (self.start, self.size))
-        self.flat[self.filled : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.filled)
+            self.start, self.size, self.used = (np.concatenate([x, np.zeros(max(len(x), n), x.dtype)]) for x in (self.start, self.size, self.used))
+        self.flat[self.filled : end] = ids
         self.start[first : first + n], self.size[first : first + n] = ends - sizes, sizes
         self.filled = end
         self.known.update(zip(words, range(first, first + n), strict=True))
 
     def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 2_000):
-            some = words[k : k + 2_000]
-            self.put(some, [x.ids for x in self.model.encode_batch_fast(some, add_special_tokens=False)])
+        """Many words are encoded as one text, with a mark that none of them holds between them."""
+        joined = [w for w in words if _MARK not in w] if len(self.mark) == 1 else []
+        for k in range(0, len(joined), 2_000):
+            some = joined[k : k + 2_000]
+            ids = self.ids_of(f" {_MARK} ".join(some))
+            marks = np.nonzero(ids == self.mark[0])[0]
+            self.put(some, np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1)
+        for word in words if len(self.mark) != 1 else (w for w in words if _MARK in w):
+            self.learn_whole(word, word)
+
+    def learn_whole(self, word: str, text: str) -> None:
+        ids = self.ids_of(text)
+        self.put([word], ids, np.array([len(ids)]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end ids included, and the number of each text's.
@@ -92,8 +125,9 @@ class WordEncoder:
         new = [w for w in distinct if w not in self.known]
         self.learn([w for w in new if not w.startswith("\n")])
         for whole in (w for w in new if w.startswith("\n")):
-            self.put([whole], [self.model.encode(whole[1:], add_special_tokens=False).ids])
+            self.learn_whole(whole, whole[1:])
         place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.used[place] += 1
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(counts)
         which = np.insert(place[words.indices.to_numpy(zero_copy_only=False)], ends, self.known["\n"])
@@ -105,23 +139,35 @@ class WordEncoder:
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+_TOKENS = pa.schema([
+    ("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()),
+])
+_TOKENS_SCHEMA = "part int, at long, doc_id long, n_tokens long, ids binary, counts binary"
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (part, at, doc_id, ids): at counts the ids before the text within its sorted part."""
+    """Rows of (part, at, doc_id, n_tokens, ids): at counts the ids before the text within its sorted part.
+
+    A task's last row has its counts of all ids instead: as many numbers as the vocabulary has ids.
+    """
     encoder = _ENCODERS.setdefault((tokenizer, end_id), None) or WordEncoder(tokenizer, end_id)
     _ENCODERS[tokenizer, end_id] = encoder
-    part, at = TaskContext.get().partitionId(), 0
+    part, at, total = TaskContext.get().partitionId(), 0, np.zeros(encoder.size_of_vocabulary, np.int64)
     for batch in batches:
         ids, sizes = encoder.encode(batch.column("text"))
+        total += np.bincount(ids, minlength=len(total))
         stops = np.cumsum(sizes)
         starts = stops - sizes
         width = 4 if encoder.wide else 2
         raw = ids.astype("<u4" if encoder.wide else "<u2").tobytes()
         packed = pa.array([raw[a * width : b * width] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + starts), batch.column("doc_id"), pa.array(sizes), packed], ["part", "at", "doc_id", "n_tokens", "ids"])
+        columns = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + starts), batch.column("doc_id"), pa.array(sizes), packed]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.binary())], _TOKENS.names)
         at += int(sizes.sum())
         give_back()
+    if at:
+        row = [part, None, None, None, None, total.astype("<i8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TOKENS.types, strict=True)], schema=_TOKENS)
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
@@ -129,15 +175,12 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's ids with their counts: as many rows as the vocabulary has ids, at most."""
-    total = np.zeros(0, np.int64)
+    """The ids that tasks have counted, with their counts."""
     for batch in batches:
-        rows = [_numbers(r, n) for r, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)]
-        more = np.bincount(np.concatenate(rows)) if rows else total
-        total = np.pad(total, (0, max(0, len(more) - len(total))))
-        total[: len(more)] += more
-    used = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "count"])
+        for raw in batch.column("counts").to_pylist():
+            total = np.frombuffer(raw, "<i8")
+            used = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "count"])
 
 
 _BLOCKS = pa.schema([
@@ -179,9 +222,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     small_batches(spark)
     rows = docs.select(row_order(doc_id).alias("o"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("o").sortWithinPartitions("o", "text").select("doc_id", "text")
-    tokens = ordered.mapInArrow(lambda b: _tokenized(b, tokenizer, end_id), "part int, at long, doc_id long, n_tokens long, ids binary")
-    tokens = written(tokens, "tokens")
-    counts = tokens.select("n_tokens", "ids").mapInArrow(_counted, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    rows_and_counts = written(ordered.mapInArrow(lambda b: _tokenized(b, tokenizer, end_id), _TOKENS_SCHEMA), "tokens")
+    tokens = rows_and_counts.where("n_tokens IS NOT NULL")
+    counted = rows_and_counts.select("counts").where("counts IS NOT NULL")
+    counts = counted.mapInArrow(_counted, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
     found = counts.toPandas()
     total = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     total[found["id"]] = found["count"]
