@@ -26,7 +26,7 @@ from hourspark.llm.common import give_back, row_order, small_batches, written
 from hourspark.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 65_536  # a block is closed by the document that reaches this
-KNOWN_WORDS = 300_000  # words whose ids a worker remembers before it forgets the rarer half
+KNOWN_WORDS = 1_000_000  # words whose ids a worker remembers before it forgets the rarer half
 
 # Marks (but for the apostrophe) after a plain letter and before a blank or the end are tokens of their own,
 # whatever the word is.
@@ -121,7 +121,7 @@ class WordEncoder:
         else:
             split = pc.split_pattern(lowered, " ")
         words = pc.list_flatten(split).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() goes by way of scalars
         new = [w for w in distinct if w not in self.known]
         self.learn([w for w in new if not w.startswith("\n")])
         for whole in (w for w in new if w.startswith("\n")):
