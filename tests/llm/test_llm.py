@@ -203,6 +203,23 @@ def test_token_files_read_back_exactly(spark, odd, none, tmp_path):
 # Mixing and sharding ----------------------------------------------------------------------------
 
 
+def test_word_encoder_equals_the_tokenizer(monkeypatch):
+    """Marks, special tokens, the joining mark and other blanks, also while words are forgotten."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 40)
+    encoder, whole, rng = token_files.WordEncoder(queries.tokenizer_path(), 2), Tokenizer.from_file(queries.tokenizer_path()), random.Random(8)
+    odd_ones = ["a!! b'!s <x| y|z |", "Don't! 'LL,' x.'s... é!?\u0308 q", "a|b|| c <|endoftext|> d", "", None, "x y!\tz#\n\n#k", "ab...cd,.; ab).", "\u017f! \u212a, ß? \u0308x"]
+    pieces = ["as", "it", "é", "Ñ", "7", "!", ",", "'s", "|", "<|", "#*", "_", "-", "\u0308", " ", " ", " ", "\n", "\t", "\u00a0"]
+    for _ in range(12):
+        texts = [*odd_ones, *("".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(30))]
+        ids, sizes = encoder.encode(pa.array(texts))
+        want = [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert ids.tolist() == sum(want, [])
+
+
 def test_mix_follows_the_queue(spark, odd, none):
     rows = mixing.mix(odd).collect()
     source = {r.doc_id: r.source for r in odd.collect() if r.doc_id is not None}
