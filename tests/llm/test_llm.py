@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hourspark.llm import chat, components, decontaminate, huffman, mixing, quality, queries, sharding, simhash, substring, token_counts, token_files, toxicity
+from hourspark.llm import chat, components, decontaminate, huffman, mixing, near_copies, quality, queries, sharding, simhash, substring, token_counts, token_files, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, TOKEN string, `order` string, key string"
@@ -282,6 +282,62 @@ def test_shards_keep_copies_together(spark, odd, none):
     assert len(rows) == odd.count() and sharding.sharded(none).count() == 0
 
 
+def similar_by_hand(texts):
+    """Groups of texts, as the pairs of 5-word Jaccard 0.8 or more join them."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    own = list(range(len(sets)))
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or (sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                x, y = sorted((find(a), find(b)))
+                own[y] = x
+    return [find(k) for k in range(len(sets))]
+
+
+def test_one_of_each_leaves_no_similar_pair(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(near_copies, "PAIRED_BLOCK", 6)
+    rng = random.Random(12)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in odd.collect()]
+    line = words(rng, 14, 5000)
+    for group in range(12):  # chains of copies with ever more changed words, the first ones crowded
+        base = words(rng, rng.randrange(20, 200), 5000)
+        for k in range(30 if group < 3 else 4):
+            base = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 40)):
+                base[rng.randrange(len(base))] = f"new{rng.randrange(9999)}"
+            rows.append((1000 + 100 * group + k, " ".join(base + line * (group % 2)), "en", "a"))
+    rows += [(3000 + k, " ".join(line + words(rng, rng.randrange(1, 9), 5000)), "en", "a") for k in range(60)]
+    docs = docs_of(spark, rows)
+    groups = similar_by_hand([r[1] for r in rows])
+    least = {}
+    for (i, *_), g in zip(rows, groups):
+        least[g] = min(least.get(g, 2**63 - 1), 2**63 - 1 if i is None else i)
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(2**63 - 1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert near_copies.one_of_each(none).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_pipeline_drops_similar_texts(spark):
+    import corpus_pipeline
+
+    docs = queries.table(spark, FOLDER, "documents")
+    rows = docs.collect()
+    groups = similar_by_hand([r.text for r in rows])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()
+    assert len(kept) == len(set(groups)) and len(set(similar_by_hand([r.text for r in kept]))) == len(kept)
+
+
 # Toxicity ---------------------------------------------------------------------------------------
 
 
