@@ -426,6 +426,24 @@ def test_planted_passages_are_found(spark, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_a_full_block_of_unlike_items_is_found_item_by_item(spark):
+    rng = random.Random(13)
+    items = [[f"i{k}x{j}" for j in range(rng.randrange(12, 30))] for k in range(240)]
+    other = [w for item in items for w in item]
+    rows = []
+    for k, item in enumerate(items):
+        w = [rng.choice(other) if rng.random() < 0.1 else f"n{rng.randrange(9999)}" for _ in range(80)]
+        at = rng.randrange(81)
+        w[at:at] = item
+        rows.append((k, " ".join(w), "en", "a"))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = docs_of(spark, rows)
+    (space,) = decontaminate.spaces(docs, bench)
+    assert space.latent.shape[1] >= len(items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(k, k) for k in range(len(items))}
+
+
 def test_answers_catch_paraphrases(spark):
     rng = random.Random(10)
     item = [f"q{k}" for k in range(40)]
