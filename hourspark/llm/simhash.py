@@ -88,6 +88,13 @@ def close_links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _classes(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, least, root) of the fingerprints of ``rows`` (doc_id, fp): least id, and root of the component."""
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = written(rooted(close_links(classes.select("fp"), distance)), "roots")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id.
 
@@ -98,9 +105,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     rows = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text).alias("fp")), "prints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = written(rooted(close_links(classes.select("fp"), distance)), "roots")
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = _classes(rows, distance)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(classes.join(named, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -115,13 +120,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows that repeat that id within a group count as its copies: one of them stays.  Null ids come last.
     """
-    found = near_duplicates(docs, doc_id, text)
-    order, prints, kept, own = (free_name(docs.columns, x) for x in ("order", "prints", "kept", "own"))
-    winner = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("fp"))
-    winners = found.groupBy(row_order().alias(order)).agg(F.collect_set("fp").alias(prints), F.collect_set(winner).alias(kept))
-    held = docs.withColumn(order, row_order(doc_id)).join(written(winners.where(F.size(kept) > 0), "winners"), order)
-    # an id that repeats with other texts needs its fingerprint again; one fingerprint tells by itself
-    alone = held.where(F.size(prints) == 1).dropDuplicates([order])
-    rest = held.where(F.size(prints) > 1).withColumn(own, fingerprint_column(text))
-    rest = rest.where(F.array_contains(kept, F.col(own))).dropDuplicates([order, own])
-    return alone.select(docs.columns).unionByName(rest.select(docs.columns))
+    small_batches(docs.sparkSession)
+    order, own = (free_name(docs.columns, x) for x in ("order", "own"))
+    marked = written(docs.withColumns({order: row_order(doc_id), own: fingerprint_column(text)}), "marked")
+    classes = _classes(marked.select(F.col(doc_id).alias("doc_id"), F.col(own).alias("fp")), MAX_DISTANCE)
+    least = classes.groupBy("root").agg(F.min(F.struct(row_order("least").alias("o"), "fp")).alias("w"))
+    winners = written(least.select(F.col("w.o").alias(order), F.col("w.fp").alias(own)), "winners")
+    return marked.join(winners, [order, own]).dropDuplicates([order, own]).select(docs.columns)

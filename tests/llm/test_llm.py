@@ -282,6 +282,17 @@ def test_shards_keep_copies_together(spark, odd, none):
     assert len(rows) == odd.count() and sharding.sharded(none).count() == 0
 
 
+def test_one_of_each_of_rows_without_ids(spark):
+    rng = random.Random(14)
+    base = words(rng, 400, 5000)
+    prints = lambda w: simhash.fingerprint(" ".join(w).encode())
+    near = next(w for k in range(400) for w in [base[:k] + ["new"] + base[k + 1 :]] if 0 < ((prints(w) ^ prints(base)) & (2**64 - 1)).bit_count() <= 2)
+    rows = [(None, " ".join(w), "en", "a") for w in (base, near, base)] + [(None, f"other {k} text", "en", "a") for k in range(50)]
+    rows += [(7, " ".join(words(rng, 60, 5000)), "en", "a") for _ in range(20)]
+    groups = linked_by_hand([simhash.fingerprint(t.encode()) & (2**64 - 1) for _, t, *_ in rows])
+    assert simhash.one_of_each(docs_of(spark, rows)).count() == len(set(groups))
+
+
 def similar_by_hand(texts):
     """Groups of texts, as the pairs of 5-word Jaccard 0.8 or more join them."""
     sets = []
