@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourspark.llm import chat, decontaminate, mixing, quality, sharding, simhash, substring, token_counts, token_files, toxicity
+from hourspark.llm import chat, decontaminate, exact_copies, mixing, quality, search, sharding, simhash, spelling, substring, token_counts, token_files, toxicity
 from hourspark.llm.common import row_order, written
 from hourspark.session import run_dir
 
@@ -195,3 +195,34 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by SimHash."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@query("""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)
+  SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY low ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+    sha256(low) AS text_sha256 FROM t WINDOW g AS (PARTITION BY low)""")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents by composable fingerprints and chunkwise comparison."""
+    return exact_copies.copies(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents by a variable-length gram index."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents),
+  f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+  s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n), d AS (SELECT term, count(*) AS df FROM f GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM d, s),
+  m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM n, s),
+  q AS (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+  c AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+  r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM c WHERE score > 0)
+  SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {search.TOP}""")
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
