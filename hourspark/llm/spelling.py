@@ -15,31 +15,34 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import raw_text, small_batches, written
+from hourspark.llm.common import give_back, raw_text, small_batches, written
 
 SHORTEST, LONGEST = 2, 6  # grams, marks included
 LIST_WORDS = 32  # a gram in more words is extended
 DICTIONARY = 1 << 20  # frequent grams at most: the limit of a list grows with the vocabulary beyond that
-HELD = 300_000  # counts a worker holds before it hands them on
+HELD = 150_000  # counts a worker holds before it hands them on
+WORDS_AT_ONCE = 10_000
 FEWEST_CHARS, FEWEST_COUNT, RATIO, EVERY = 7, 2, 10, 31
 START, END = "<", ">"
-_NONE = (1 << 62, "", "")  # no gram: not rare
+_NONE = (1 << 62, 0, 0)  # no gram: not rare
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RUN = re.compile(f"[a-zÀ-ÿ]{{{FEWEST_CHARS},}}")
 
 
-def _counts(counter: Counter, names: tuple[str, str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()), pa.array(counter.values(), pa.int64())], list(names))
-
-
 def words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, n): the words of all texts that are long and frequent enough, with one character of some runs left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+
         for batch in batches:
             for own, raw in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist()):
                 seed = zlib.crc32(f"{'' if own is None else own}:".encode())
@@ -52,83 +55,114 @@ def words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                             continue
                     held[run] += n
                 if len(held) > HELD:
-                    yield _counts(held, ("word", "n"))
+                    yield told()
                     held.clear()
-        yield _counts(held, ("word", "n"))
+                    give_back()
+        yield told()
 
     runs = docs.select(F.col(doc_id).alias("id"), raw_text(text).alias("raw")).mapInArrow(count, "word string, n long")
     return runs.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST_COUNT)
 
 
-def dictionary(vocabulary: DataFrame, list_words: int = LIST_WORDS) -> dict[str, int]:
-    """Grams of more than ``list_words`` words (more, if they were more than DICTIONARY in all), with their numbers."""
+def _positions(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For every place of the marked words, one after the other: places left in its word, and the hash of the gram
+    of each length from SHORTEST that begins there (of no meaning where the word is too short)."""
+    codes = np.frombuffer("".join([f"{START}{w}{END}" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    hashed, out = codes + np.uint64(1), []
+    for q in range(2, LONGEST + 1):
+        hashed = hashed * _MULTIPLIER + np.concatenate([codes[q - 1 :], np.zeros(min(q - 1, len(codes)), np.uint64)])
+        hashed ^= hashed >> np.uint64(29)
+        if q >= SHORTEST:
+            out.append(hashed)
+    return sizes, left, out
+
+
+def dictionary(vocabulary: DataFrame, list_words: int = LIST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of more than ``list_words`` words (more, if they were more than DICTIONARY in all),
+    ascending, with their numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         for batch in batches:
-            for word in batch.column("word").to_pylist():
-                marked = f"{START}{word}{END}"
-                for q in range(SHORTEST, LONGEST + 1):
-                    held.update([marked[a : a + q] for a in range(len(marked) - q + 1)])
-                if len(held) > HELD:
-                    yield _counts(held, ("gram", "f"))
-                    held.clear()
-        yield _counts(held, ("gram", "f"))
+            _, left, hashed = _positions(batch.column("word").to_pylist())
+            grams = [h[left >= q] for q, h in enumerate(hashed, SHORTEST)]
+            names, counts = np.unique(np.concatenate(grams), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["gram", "f"])
 
     spark = vocabulary.sparkSession
-    grams = vocabulary.select("word").mapInArrow(count, "gram string, f long").groupBy("gram").agg(F.sum("f").alias("f"))
+    small_batches(spark, WORDS_AT_ONCE)
+    grams = vocabulary.select("word").mapInArrow(count, "gram long, f long").groupBy("gram").agg(F.sum("f").alias("f"))
     grams = written(grams.where(F.col("f") > list_words), "grams")
     every = grams.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     limit = max(list_words, every // DICTIONARY)  # fewer than DICTIONARY grams can have more than this
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     kept = grams.where(F.col("f") > limit).toArrow()
-    return dict(zip(kept.column("gram").to_pylist(), kept.column("f").to_pylist()))
-
-
-def grams_of(word: str, frequent: dict[str, int]) -> list[tuple[int, int, str]]:
-    """(first, last, gram) for each place of the marked word."""
-    marked = f"{START}{word}{END}"
-    out = []
-    for a in range(len(marked) - SHORTEST + 1):
-        b = a + SHORTEST
-        while b < len(marked) and b - a < LONGEST and marked[a:b] in frequent:
-            b += 1
-        out.append((a, b - 1, marked[a:b]))
+    names, counts = (kept.column(c).to_numpy() for c in ("gram", "f"))
+    order = np.argsort(names.view(np.uint64))
+    return names.view(np.uint64)[order], counts[order]
+
+
+def _grams(words: list[str], frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of the marked words; length, hash and number of the gram at each place, length 0 at the last place);
+    the number is 0 for a gram that few words have."""
+    names, counts = frequent
+    sizes, left, hashed = _positions(words)
+    length, own, number = np.zeros(len(left), np.int64), np.zeros(len(left), np.uint64), np.zeros(len(left), np.int64)
+    grows = left >= SHORTEST
+    for q, h in enumerate(hashed, SHORTEST):
+        here = np.flatnonzero(grows & (left >= q))
+        at = np.minimum(np.searchsorted(names, h[here]), max(0, len(names) - 1))
+        found = np.where(names[at] == h[here], counts[at], 0) if len(names) else np.zeros(len(here), np.int64)
+        length[here], own[here], number[here] = q, h[here], found
+        grows = np.zeros(len(left), bool)
+        grows[here[found > 0]] = True
+    return sizes, length, own, number
+
+
+_MASK = (1 << 64) - 1
+
+
+def _mixed(*parts: int) -> int:
+    out = 0
+    for part in parts:
+        out = (out ^ part) * int(_MULTIPLIER) & _MASK
+        out ^= out >> 31
     return out
 
 
-def keys_of(word: str, frequent: dict[str, int]) -> set[str]:
-    """The lists a word looks into, one for each place of an edit.
+def keys_of(words: list[str], frequent: tuple[np.ndarray, np.ndarray]) -> list[set[int]]:
+    """The lists each word looks into, one for each place of an edit.
 
     ``p`` is a place of the marked word that is replaced or left out (``rest`` is the length without it) or the
     place before which a character is put in.  Two words one edit apart have a place in common for which the
     unaffected grams are the same, so that they choose the same list.
     """
-    size = len(word) + 2
-    first_of: list[tuple | None] = [None] * (size + 1)
-    last_of: list[list[tuple]] = [[] for _ in range(size + 1)]
-    for first, last, gram in grams_of(word, frequent):
-        f = frequent.get(gram, 0)
-        first_of[first] = (f, gram, f"r{size - first}{gram}")
-        last_of[last].append((f, gram, f"l{first}{gram}"))
-    # Of the grams that end before p, and of those that begin at p or after it: the rarest, and a checksum of all.
-    left, right = [(_NONE, 0)], [(_NONE, 0)] * (size + 1)
-    for ends in last_of[:size]:
-        best, merged = left[-1]
-        for g in ends:
-            best, merged = min(best, g), zlib.crc32(g[2].encode(), merged)
-        left.append((best, merged))
-    for p in range(size - 1, -1, -1):
-        best, merged = right[p + 1]
-        g = first_of[p]
-        right[p] = (min(best, g), zlib.crc32(g[2].encode(), merged)) if g else (best, merged)
-    keys = set()
-    for inserted in (0, 1):
-        for p in range(1, size - 1 + inserted):
-            (before, all_before), (after, all_after) = left[p], right[p + 1 - inserted]
-            rarest = min(before, after)
-            keys.add(rarest[2] if not rarest[0] else f"{p}.{len(word) - 1 + inserted}.{all_before}.{all_after}")
-    return keys
+    sizes, *columns = _grams(words, frequent)
+    lengths, hashes, numbers = (c.tolist() for c in columns)
+    out, base = [], 0
+    for size in sizes.tolist():
+        ends: list[list[tuple]] = [[] for _ in range(size + LONGEST)]
+        # Of the grams that end before p, and of those that begin at p or after it: the rarest, and a hash of all.
+        left, right = [(_NONE, 0)], [(_NONE, 0)] * (size + 1)
+        for a in range(size - SHORTEST, -1, -1):
+            number, gram = numbers[base + a], hashes[base + a]
+            ends[a + lengths[base + a] - 1].append((number, gram, _mixed(gram, a, 1)))
+            best, merged = right[a + 1]
+            right[a] = min(best, (number, gram, _mixed(gram, size - a, 2))), _mixed(gram, merged)
+        for p in range(size):
+            best, merged = left[-1]
+            for g in ends[p]:
+                best, merged = min(best, g), _mixed(g[2], merged)
+            left.append((best, merged))
+        keys = set()
+        for inserted in (0, 1):
+            for p in range(1, size - 1 + inserted):
+                (before, all_before), (after, all_after) = left[p], right[p + 1 - inserted]
+                rarest = min(before, after)
+                keys.add(_mixed(p, size - 3 + inserted, all_before, all_after) if rarest[0] else rarest[2])
+        out.append(keys)
+        base += size
+    return out
 
 
 def near_pairs(vocabulary: DataFrame, list_words: int = LIST_WORDS) -> DataFrame:
@@ -138,13 +172,12 @@ def near_pairs(vocabulary: DataFrame, list_words: int = LIST_WORDS) -> DataFrame
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, word, n) for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) for key in keys_of(word, frequent.value)]
-            names, kinds = ["key", "word", "n"], [pa.string(), pa.string(), pa.int64()]
-            columns = zip(*rows) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            keys = keys_of(batch.column("word").to_pylist(), frequent.value)
+            place = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = np.array([k for some in keys for k in some], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("word").take(place), batch.column("n").take(place)], ["key", "word", "n"])
 
-    looked = vocabulary.mapInArrow(look, "key string, word string, n long")
-    lists = written(looked.select(F.xxhash64("key").alias("key"), "word", "n"), "lists")
+    lists = written(vocabulary.mapInArrow(look, "key long, word string, n long"), "lists")
     one, other = (lists.select("key", F.col("word").alias(x), F.col("n").alias(f"n{x}"), F.length("word").alias(f"l{x}")) for x in "ab")
     may = (F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= 1)
     met = one.join(other.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & may & (F.levenshtein("a", "b", 1) == 1))

@@ -156,25 +156,47 @@ def test_variants_equal_brute_force(spark, docs, rows, none, list_words):
     assert spelling.spelling_variants(none).count() == 0
 
 
+def dictionary_by_hand(words, limit):
+    _, left, hashed = spelling._positions(words)
+    grams = Counter(h for q, hs in enumerate(hashed, spelling.SHORTEST) for h in hs[left >= q].tolist())
+    kept = sorted((h, f) for h, f in grams.items() if f > limit)
+    return np.array([h for h, _ in kept], np.uint64), np.array([f for _, f in kept], np.int64)
+
+
 def test_every_near_pair_has_a_list_in_common():
     rng = random.Random(2)
-    words = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 12))) for _ in range(900)}
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(1, 12))) for _ in range(700)})
     for limit in (0, 3, 40):
-        grams = Counter(f"<{w}>"[a : a + q] for w in words for q in range(2, 7) for a in range(len(w) + 3 - q))
-        frequent = {g: f for g, f in grams.items() if f > limit}
-        keys = {w: spelling.keys_of(w, frequent) for w in words}
-        for a in words:
-            for b in words:
-                if a < b and abs(len(a) - len(b)) <= 1 and one_edit(a, b):
-                    assert keys[a] & keys[b], (a, b, limit)
+        keys = spelling.keys_of(words, dictionary_by_hand(words, limit))
+        for a in range(len(words)):
+            for b in range(a):
+                if abs(len(words[a]) - len(words[b])) <= 1 and one_edit(words[a], words[b]):
+                    assert keys[a] & keys[b], (words[a], words[b], limit)
+
+
+def test_grams_are_as_long_as_their_lists_ask_for():
+    words = ["abcdefg", "abcdefh", "abcxyzz", "qqqqqqq"]
+    grams = Counter(f"<{w}>"[a : a + q] for w in words for q in range(2, 7) for a in range(len(w) + 3 - q))
+    sizes, lengths, _, numbers = spelling._grams(words, dictionary_by_hand(words, 1))
+    at = 0
+    for word, size in zip(words, sizes.tolist()):
+        marked = f"<{word}>"
+        for a in range(size - 1):
+            gram = marked[a : a + lengths[at + a]]
+            shorter = [marked[a : a + q] for q in range(2, len(gram))]
+            assert all(grams[g] > 1 for g in shorter)
+            assert grams[gram] <= 1 or len(gram) == spelling.LONGEST or gram.endswith(">")
+            assert numbers[at + a] == (grams[gram] if grams[gram] > 1 else 0)
+        at += size
 
 
 def test_a_word_looks_into_short_lists():
-    """Gram lists do the work: words of frequent grams merge all lists, others look into a few short ones."""
-    assert {k[0] for k in spelling.keys_of("variable", {})} <= {"l", "r"}
-    assert len(spelling.keys_of("variable", {})) <= 4
-    long = "ab" * 20_000
-    assert len(spelling.keys_of(long, {g: 99 for g in ("<a", "ab", "ba", "b>")})) <= 5
+    """Words of rare grams look into a few of their lists; only those of frequent grams merge all of them."""
+    rare = spelling.keys_of(["variable", "variabel"], dictionary_by_hand(["variable"], 5))
+    assert all(len(k) <= 4 for k in rare)
+    often = spelling.keys_of(["variable"], dictionary_by_hand(["variable"], 0))
+    assert len(often[0]) == 17  # a list for each place
+    assert len(spelling.keys_of(["ab" * 20_000], dictionary_by_hand(["variable"], 0))[0]) <= 8
 
 
 def test_chains_of_forms_end_at_the_root(spark):
