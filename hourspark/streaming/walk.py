@@ -1,21 +1,38 @@
-"""Live walk tracking: walked metres and confirmed arrival per session as keyed state."""
+"""Live walk tracking: walked metres and confirmed arrival per session as keyed state with event-time timers.
+
+A session's state is one row.  When its timer fires (six idle hours), the state is given out as a closed part and
+dropped; a session that comes back starts a new part.  Parts carry what it takes to join them: their ends, and the
+hits at their beginning.  ``totals`` joins the parts, so that nothing a session walked is lost.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from hourspark.functions.geo import EARTH_M
+from hourspark.functions.geo import EARTH_M, haversine_m
+from hourspark.operators.ordered import latest, neighbour
 from hourspark.operators.tracks import ARRIVAL_KM, ARRIVAL_UPDATES, MAX_SPEED_M_S, MIN_MOVE_M
+from hourspark.session import cut
 
-STATE = "lon double, lat double, ts timestamp, walked_m double, fixes bigint, remaining_km double, streak int, arrived_at timestamp"
-OUTPUT = "session_id bigint, ts timestamp, walked_m double, fixes bigint, arrived_at timestamp"
+# A part of a session.  Instants are microseconds.  ``lead`` counts the hits before the first miss, the first of
+# them came at lead1, lead2 and lead3; ``streak`` counts those after the last miss; without a miss ``all_hit`` holds.
+PART = """first_us long, first_lon double, first_lat double, first_left double, last_us long, last_lon double, last_lat double,
+ last_left double, walked_m double, fixes long, lead int, lead1 long, lead2 long, lead3 long, streak int, all_hit boolean, arrived_us long"""
+NAMES = [c.split()[0] for c in PART.replace("\n", " ").split(", ")]
+STATE = f"{PART}, timer_ms long"
+OUTPUT = f"session_id long, {PART}, closed boolean"
 IDLE = "6 hours"
 IDLE_MS = 6 * 3600 * 1000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _metres(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
@@ -31,45 +48,125 @@ def _streaks(hit: np.ndarray, before: int) -> np.ndarray:
     return np.where(hit, place - last_miss, 0)
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    lon, lat, ts, walked, fixes, remaining, streak, arrived = (
-        state.get if state.exists else (None, None, None, 0.0, 0, None, 0, None)
-    )
-    batch = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-    seen = pd.DataFrame({"lon": [lon], "lat": [lat], "ts": [ts]}) if ts is not None else None
-    whole = batch[["lon", "lat", "ts"]] if seen is None else pd.concat([seen, batch[["lon", "lat", "ts"]]])
-    x, y, t = whole["lon"].to_numpy(float), whole["lat"].to_numpy(float), pd.to_datetime(whole["ts"])
+def advanced(part: dict[str, Any] | None, batch: pd.DataFrame) -> dict[str, Any]:
+    """``part`` (None at its beginning) after the fixes of ``batch``: event_id, at_us, lon, lat, remaining_km."""
+    batch = batch.sort_values(["at_us", "event_id"])
+    x, y, t = (batch[c].to_numpy() for c in ("lon", "lat", "at_us"))
+    left = batch["remaining_km"].fillna(np.inf).to_numpy()  # unknown is no hit, and no news after unknown
+    if part is None:
+        part = dict.fromkeys(NAMES) | {"first_us": int(t[0]), "first_lon": float(x[0]), "first_lat": float(y[0]), "first_left": float(left[0])}
+        part |= {"walked_m": 0.0, "fixes": 0, "lead": 0, "streak": 0, "all_hit": True}
+        before = np.nan
+    else:
+        x, y, t = np.append(part["last_lon"], x), np.append(part["last_lat"], y), np.append(part["last_us"], t)
+        before = part["last_left"]
     moved = _metres(x[:-1], y[:-1], x[1:], y[1:])
-    seconds = np.maximum(0.001, t.diff().dt.total_seconds().to_numpy()[1:])
-    counted = np.where(moved >= MIN_MOVE_M, np.minimum(moved, MAX_SPEED_M_S * seconds), 0.0)
-    walked, fixes = walked + float(counted.sum()), fixes + len(batch)
-    lon, lat, ts = float(x[-1]), float(y[-1]), t.iloc[-1].to_pydatetime()
-
-    left = batch["remaining_km"]
-    fresh = batch[left.ne(left.shift(fill_value=np.nan if remaining is None else remaining)).to_numpy()]
-    if len(fresh):
-        runs = _streaks((fresh["remaining_km"] <= ARRIVAL_KM).to_numpy(), streak)
+    counted = np.where(moved >= MIN_MOVE_M, np.minimum(moved, MAX_SPEED_M_S * np.maximum(0.001, np.diff(t) / 1e6)), 0.0)
+    fresh = left != np.append(before, left[:-1])
+    hits, at = left[fresh] <= ARRIVAL_KM, batch["at_us"].to_numpy()[fresh]
+    part = part | {"walked_m": part["walked_m"] + float(counted.sum()), "fixes": part["fixes"] + len(batch)}
+    part |= {"last_us": int(t[-1]), "last_lon": float(x[-1]), "last_lat": float(y[-1]), "last_left": float(left[-1])}
+    if len(hits):
+        if part["all_hit"]:
+            leading = len(hits) if hits.all() else int(np.argmin(hits))
+            for k in range(part["lead"], min(part["lead"] + leading, 3)):
+                part[f"lead{k + 1}"] = int(at[k - part["lead"]])
+            part |= {"lead": part["lead"] + leading, "all_hit": bool(hits.all())}
+        runs = _streaks(hits, part["streak"])
         reached = np.flatnonzero(runs >= ARRIVAL_UPDATES)
-        if arrived is None and len(reached):
-            arrived = pd.Timestamp(fresh["ts"].iloc[reached[0]]).to_pydatetime()
-        streak = int(runs[-1])
-    state.update((lon, lat, ts, walked, fixes, float(left.iloc[-1]), streak, arrived))
-    # A session is forgotten once the event time has moved six hours past its last fix.
-    state.setTimeoutTimestamp(max(int(pd.Timestamp(ts).timestamp() * 1000) + IDLE_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([(key[0], ts, walked, fixes, arrived)], columns=["session_id", "ts", "walked_m", "fixes", "arrived_at"])
+        if part["arrived_us"] is None and len(reached):
+            part["arrived_us"] = int(at[reached[0]])
+        part["streak"] = int(runs[-1])
+    return part
+
+
+class WalkTracker(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.part = handle.getValueState("part", STATE)
+
+    def _known(self) -> tuple[dict[str, Any] | None, int | None]:
+        if not self.part.exists():
+            return None, None
+        *values, timer = self.part.get()
+        return dict(zip(NAMES, values)), timer
+
+    def _told(self, key: Any, part: dict[str, Any], closed: bool) -> pd.DataFrame:
+        row = pd.DataFrame([(key[0], *(part[c] for c in NAMES), closed)], columns=["session_id", *NAMES, "closed"])
+        return row.astype({c: "Int64" for c in ("lead1", "lead2", "lead3", "arrived_us")})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        part, timer = self._known()
+        part = advanced(part, pd.concat(list(rows), ignore_index=True))
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = max(part["last_us"] // 1000 + IDLE_MS, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(timer)
+        self.part.update((*(part[c] for c in NAMES), timer))
+        yield self._told(key, part, False)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        part, _ = self._known()
+        if part is not None:
+            self.part.clear()
+            yield self._told(key, part, True)
+
+    def close(self) -> None:
+        pass
 
 
 def track(fixes: DataFrame) -> DataFrame:
-    """Running totals per session after every micro-batch.
+    """The parts of sessions that each micro-batch changes or closes.
 
     ``fixes`` streams session_id, event_id, ts, lon, lat and remaining_km.  Fixes must arrive in time order
     between batches; inside a batch they are sorted, so a session's share of one micro-batch is held at a
-    time (bound it with ``files_per_batch``).  State is one fixed-size row per session and is dropped after
-    six idle hours.
+    time (bound it with ``files_per_batch``).  Fixes more than six hours behind the newest are left out and
+    counted by the query's progress.
     """
-    return fixes.withWatermark("ts", IDLE).groupBy("session_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
+    fixes.sparkSession.conf.set(STATE_STORE, ROCKS_DB)
+    timed = fixes.withWatermark("ts", IDLE).withColumn("at_us", F.unix_micros("ts"))
+    return timed.groupBy("session_id").transformWithStateInPandas(WalkTracker(), OUTPUT, "update", "eventTime")
+
+
+def run(fixes: DataFrame, home: str) -> DataFrame:
+    """Track all input that is available into the ledger of parts in ``home`` and return the parts so far.
+
+    ``home`` is the job's own folder: a second run goes on from the state and the files it has read.  A batch
+    that is repeated after a failure replaces its own rows.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(home, "parts", f"batch={number}"))
+
+    started = track(fixes).writeStream.outputMode("update").foreachBatch(keep)
+    started.option("checkpointLocation", os.path.join(home, "state")).trigger(availableNow=True).start().awaitTermination()
+    spark = fixes.sparkSession
+    rows = spark.read.schema(f"{OUTPUT}, batch long").parquet(os.path.join(home, "parts"))
+    return latest(rows, ["session_id", "first_us"], ["batch", "closed"]).drop("batch")
+
+
+def _joined(arrived: Column, part: Column) -> Column:
+    """Streak, last remaining distance and arrival after one more part."""
+    repeats = F.when(part["first_left"].eqNullSafe(arrived["left"]) & (part["lead"] > 0), 1).otherwise(0)
+    missing = F.lit(ARRIVAL_UPDATES) - arrived["streak"] + repeats
+    leads = F.array(part["lead1"], part["lead2"], part["lead3"])
+    early = F.when((part["lead"] >= missing) & missing.between(1, 3), F.get(leads, missing - 1))
+    return F.struct(
+        F.when(part["all_hit"], arrived["streak"] + part["lead"] - repeats).otherwise(part["streak"]).alias("streak"),
+        part["last_left"].alias("left"), F.coalesce(arrived["at"], early, part["arrived_us"]).alias("at"),
     )
+
+
+def totals(parts: DataFrame) -> DataFrame:
+    """session_id, walked_m, fixes, arrived_at: a session's parts and the ways between them."""
+    month = 30 * 86_400_000_000
+    ends = neighbour(parts, ["session_id"], ["first_us"], F.floor(F.col("first_us") / F.lit(month)), ["last_us", "last_lon", "last_lat"], "p")
+    moved = haversine_m(F.col("p.last_lon"), F.col("p.last_lat"), F.col("first_lon"), F.col("first_lat"))
+    seconds = F.greatest(F.lit(0.001), (F.col("first_us") - F.col("p.last_us")) / 1_000_000)
+    between = F.when(moved >= MIN_MOVE_M, F.least(moved, F.lit(MAX_SPEED_M_S) * seconds))
+    ends = cut(ends.withColumn("between", F.coalesce(between, F.lit(0.0))).drop("p"))
+    told = F.struct("first_us", "first_left", "last_left", "lead", "lead1", "lead2", "lead3", "streak", "arrived_us", "all_hit")
+    start = F.struct(F.lit(0).alias("streak"), F.lit(None).cast("double").alias("left"), F.lit(None).cast("long").alias("at"))
+    return ends.groupBy("session_id").agg(
+        F.sum(F.col("walked_m") + F.col("between")).alias("walked_m"), F.sum("fixes").alias("fixes"), F.array_sort(F.collect_list(told)).alias("told")
+    ).select("session_id", "walked_m", "fixes", F.timestamp_micros(F.aggregate("told", start, _joined)["at"]).alias("arrived_at"))
