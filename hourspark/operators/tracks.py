@@ -9,7 +9,7 @@ from hourspark.functions.numbers import half_even
 from hourspark.functions.geo import angle_difference, bearing_deg, haversine_m
 from hourspark.functions.timestamps import epoch_micros
 from hourspark.operators.ordered import DAY_MICROS, first_n, neighbour, running, shifted, slice_of
-from hourspark.operators.spatial import nearest
+from hourspark.operators.space import nearest
 from hourspark.session import cut
 
 TURN_DEG = 30.0
@@ -52,7 +52,7 @@ def along(paths: DataFrame, route: str = "route_id") -> DataFrame:
 def progress(fixes: DataFrame, paths: DataFrame, route: str = "route_id") -> DataFrame:
     """Nearest vertex of its own path for each position fix, and the metres still to go."""
     measured = along(paths, route)
-    met = nearest(fixes, paths, "seq", by=[route], finest_m=50.0, widen=4.0)
+    met = nearest(fixes, paths, "seq", by=[route])
     return met.join(measured.select(route, "seq", "remaining_m"), [route, "seq"], "left").withColumn(
         "remaining_m", F.col("distance_m") + F.col("remaining_m")
     ).select(*fixes.columns, "seq", "remaining_m")

@@ -10,7 +10,8 @@ from hourspark.functions.geo import WALKING_M_PER_MIN
 from hourspark.functions.labels import heat_context
 from hourspark.operators import candidates as cand
 from hourspark.operators.graph import arrivals, path_shade, path_steps, shortest_paths
-from hourspark.operators.spatial import nearest, node_penalties
+from hourspark.operators.space import nearest
+from hourspark.operators.spatial import node_penalties
 from hourspark.operators.tracks import samples
 from hourspark.session import cut
 
@@ -39,7 +40,7 @@ def route_crowd(steps: DataFrame, nodes: DataFrame, lengths: DataFrame, sites: D
     """Mean flow over the distinct sites nearest to the sampled points of each route."""
     placed = steps.join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node").join(lengths, KEY)
     points = samples(placed, "metres", KEY)
-    met = nearest(points.select(*KEY, "lon", "lat"), sites, "site_id", finest_m=200.0, widen=4.0).select(*KEY, "site_id").distinct()
+    met = nearest(points.select(*KEY, "lon", "lat"), sites, "site_id").select(*KEY, "site_id").distinct()
     return met.join(flows.filter(F.col("flow").isNotNull()), "site_id").groupBy(*KEY).agg(F.avg("flow").alias("crowd"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourspark.operators import spatial
+from hourspark.operators import space, spatial
 from hourspark.queries import Tables, query, rounded
 
 BOX = (144.90, -37.90, 145.10, -37.75)
@@ -47,21 +47,21 @@ AT_SQL = f"""c AS (SELECT c_custkey, {', '.join(f'{spread_sql("c_custkey", *a)}
 @query(f"""WITH {AT_SQL} SELECT c_custkey, site_id, round(m, 4) AS distance_m,
   CASE WHEN m / 1000 > 0.5 THEN 'nearest_sensor_distance_km_' || round(m / 1000, 2) || '_exceeds_proxy_radius' END AS warning FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY m, site_id) = 1""")
 def nearest_site(t: Tables) -> DataFrame:
-    met = spatial.nearest(customers(t), suppliers(t), "site_id", finest_m=200.0, widen=4.0)
+    met = space.nearest(customers(t), suppliers(t), "site_id")
     return rounded(met.select("c_custkey", "site_id", "distance_m", spatial.far_site_warning(F.col("distance_m")).alias("warning")), "distance_m", digits=4)
 
 
 @query(f"""WITH {AT_SQL}, n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY m, site_id) = 1)
   SELECT c_custkey, CASE WHEN m <= 400 THEN site_id END AS site_id, round(CASE WHEN m <= 400 THEN m END, 4) AS distance_m FROM n""")
 def grid_snap(t: Tables) -> DataFrame:
-    met = spatial.nearest(customers(t), suppliers(t), "site_id", radius_m=400.0, finest_m=100.0)
+    met = space.nearest(customers(t), suppliers(t), "site_id", radius_m=400.0)
     return rounded(met.select("c_custkey", "site_id", "distance_m"), "distance_m", digits=4)
 
 
 @query(f"WITH {AT_SQL} SELECT c_custkey, site_id, round(m, 4) AS distance_m FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY m, site_id) = 1")
 def nearest_site_by_grid(t: Tables) -> DataFrame:
-    """The widening grid search without a limit, for site lists that are too long to ship."""
-    met = spatial.nearest(customers(t), suppliers(t), "site_id", finest_m=600.0, widen=3.0)
+    """The same search with coarser cubes."""
+    met = space.nearest(customers(t), suppliers(t), "site_id", edge_m=600.0)
     return rounded(met.select("c_custkey", "site_id", "distance_m"), "distance_m", digits=4)
 
 

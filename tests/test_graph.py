@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hourspark.operators import graph, spatial
+from hourspark.operators import graph, space, spatial
 from hourspark.plans import routing
 
 
@@ -148,26 +148,57 @@ def test_nearest_equals_brute_force(spark):
     p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "i int, lon double, lat double")
     s = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)], "site int, lon double, lat double")
     want = {i: min((metres(x, y), j) for j, y in enumerate(sites)) for i, x in enumerate(points)}
-    free = {r.i: r.site for r in spatial.nearest(p, s, "site").collect()}
-    few = {r.i: r.site for r in spatial.nearest(p, s, "site", finest_m=200.0, widen=4.0).collect()}
+    free = {r.i: r.site for r in space.nearest(p, s, "site").collect()}
+    few = {r.i: r.site for r in space.nearest(p, s, "site", edge_m=200.0).collect()}
     assert free == few == {i: j for i, (d, j) in want.items()}
-    near = {r.i: r.site for r in spatial.nearest(p, s, "site", radius_m=400.0).collect()}
+    near = {r.i: r.site for r in space.nearest(p, s, "site", radius_m=400.0).collect()}
     assert near == {i: (j if d <= 400 else None) for i, (d, j) in want.items()}
 
 
 def test_nearest_far_north_over_the_date_line_and_without_a_place(spark):
     p = spark.createDataFrame([(0, 20.0, 69.0), (1, 179.999, 10.0), (2, None, 10.0), (3, -179.999, -69.0)], "i int, lon double, lat double")
     s = spark.createDataFrame([(7, 20.0095, 69.0), (8, -179.9985, 10.0), (9, 179.9915, -69.0)], "site int, lon double, lat double")
-    got = {r.i: r.site for r in spatial.nearest(p, s, "site", radius_m=400.0).collect()}
+    got = {r.i: r.site for r in space.nearest(p, s, "site", radius_m=400.0).collect()}
     assert got == {0: 7, 1: 8, 2: None, 3: 9}
-    free = {r.i: r.site for r in spatial.nearest(p, s, "site", finest_m=200.0, widen=4.0).collect()}
+    free = {r.i: r.site for r in space.nearest(p, s, "site", edge_m=200.0).collect()}
     assert free == got
 
 
+def test_nearest_with_far_points_and_crowded_sites(spark, monkeypatch):
+    """Sites in two crowded towns; points in them, between them, far away and at the poles: few tables are written."""
+    rng = random.Random(4)
+    town = lambda lon, lat, n, w: [(lon + rng.random() * w, lat + rng.random() * w) for _ in range(n)]
+    sites = town(144.9, -37.8, 300, 0.02) + town(145.0, -37.8, 200, 0.3) + [(10.0, 89.9), (-170.0, 89.95), (0.0, -90.0)] + [(144.95, -37.81)] * 2
+    points = town(144.9, -37.8, 60, 0.05) + town(146.0, -39.0, 20, 2.0) + town(10.0, 50.0, 30, 1.0) + [(20.0, 89.99), (-20.0, 90.0), (77.0, -89.999), (144.95, -37.81), (-35.0, 37.8)]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "i int, lon double, lat double")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)], "site int, lon double, lat double")
+    written, cut = [], space.cut
+    monkeypatch.setattr(space, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = {r.i: (r.site, r.distance_m) for r in space.nearest(p, s, "site").collect()}
+    for i, x in enumerate(points):
+        d, j = min((metres(x, y), j) for j, y in enumerate(sites))
+        assert got[i][1] == pytest.approx(d, abs=1e-6) and (got[i][0] == j or metres(x, sites[got[i][0]]) - d < 1e-6), i
+    assert len(written) <= 7
+    # No look meets more than a few cubes a point, though 500 sites lie within two kilometres of each other.
+    for front in written[3:]:
+        assert front.groupBy("lon", "lat").count().agg({"count": "max"}).first()[0] <= 120
+
+
+def test_nearest_within_groups(spark):
+    rng = random.Random(6)
+    rows = lambda n: [(i, rng.randrange(4), 144.9 + rng.random() * 0.1, -37.8 + rng.random() * 0.1) for i in range(n)]
+    points, sites = rows(80), [r for r in rows(40) if r[1] != 3]
+    p, s = (spark.createDataFrame(r, f"{n} int, g int, lon double, lat double") for r, n in ((points, "i"), (sites, "site")))
+    got = {r.i: r.site for r in space.nearest(p, s, "site", by=["g"]).collect()}
+    for i, g, *x in points:
+        assert got[i] == min(((metres(x, y), j) for j, h, *y in sites if h == g), default=(0, None))[1]
+    assert {r.site for r in space.nearest(p, s.limit(0), "site").collect()} == {None}
+
+
 def test_snap_distance_and_limit(spark, square):
     nodes, _ = square
     asked = spark.createDataFrame([(1, 144.9601, -37.8101), (2, 151.2, -33.87)], "q int, lon double, lat double")
-    got = {r.q: (r.id, r.distance_m) for r in spatial.nearest(asked, nodes, "id", radius_m=400.0).collect()}
+    got = {r.q: (r.id, r.distance_m) for r in space.nearest(asked, nodes, "id", radius_m=400.0).collect()}
     assert got[1][0] == 0 and got[1][1] < 50 and got[2] == (None, None)
 
 
