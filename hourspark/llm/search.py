@@ -21,6 +21,7 @@ from hourspark.llm.common import give_back, raw_text, small_batches, written
 SHARD_BYTES = 8 << 20
 TOP = 20
 BLOCK_ITEMS, BLOCK_TERMS = 1_024, 1 << 20  # items searched at a time, and their terms, about
+BLOCK_BYTES = 8 << 20  # of distinct terms that are broadcast
 LONG_SHARE = 16  # a list of over 1/16 of the shard's documents is long
 WALKED = 512  # documents scored at a step
 
@@ -189,6 +190,8 @@ def _block(indexed: DataFrame, items: list[Row], documents: int, terms: int, top
     spark = indexed.sparkSession
     names = {name: t for t, name in enumerate(dict.fromkeys(bytes(x) for i in items for x in i.terms))}
     known = spark.createDataFrame([(bytearray(n), t) for n, t in names.items()], "term binary, t int")
+    if sum(map(len, names)) <= BLOCK_BYTES:  # else the index is dealt by term
+        known = F.broadcast(known)
     whole = indexed.where("term IS NULL").withColumn("t", F.lit(None).cast("int"))
     met = written(indexed.join(known, "term").unionByName(whole).drop("term"), "met")
     counted = met.where("t IS NOT NULL").groupBy("t").agg(F.sum(F.size("docs").cast("long")).alias("df")).collect()  # bounded by the block
