@@ -1,4 +1,4 @@
-"""Street-graph jobs: snapping, edges, components and batch shortest paths.
+"""Street-graph jobs: snapping, edges, components and the shade of paths.
 
 The iterative jobs write every round to the reliable checkpoint folder, so a lost executor costs
 one round and the plan stays short.
@@ -6,13 +6,17 @@ one round and the plan stays short.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from itertools import product
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourspark.functions.numbers import half_even
-from hourspark.functions.geo import haversine_m
+from hourspark.functions.geo import EARTH_M, haversine_m
 from hourspark.operators.ordered import numbered
-from hourspark.operators.spatial import neighbour_cells, with_cell
+from hourspark.operators.space import AXES, around, cubes
 from hourspark.session import cut
 
 SNAP_M = 20.0
@@ -27,50 +31,85 @@ def first_seen(vertices: DataFrame) -> DataFrame:
     ).select("key_lon", "key_lat", "ordinal", "p.lon", "p.lat")
 
 
+TILE_M, TILE_VERTICES = 8_192.0, 50_000  # tiles are halved until none has more vertices, down to LEAST_TILE_M
+LEAST_TILE_M = 256.0
+
+
 def leaders(vertices: DataFrame, tolerance_m: float = SNAP_M) -> DataFrame:
     """Adds ``leader``: the ordinal of the vertex each vertex snaps onto, its own if none.
 
-    Taken in ordinal order, a vertex snaps onto the nearest earlier leader closer than the
-    tolerance, else it leads itself.  A round settles every cell whose first open vertex is also
-    the first of the eight cells around it, then drops the vertices that this leader covers.  Open
-    vertices meet only new leaders, of which a cell block holds a handful by their spacing, so
-    crowded cells never produce pairs of open vertices.
+    Taken in ordinal order, a vertex snaps onto the nearest earlier leader closer than the tolerance, else it
+    leads itself.  A vertex is settled as soon as an earlier leader is that close, or no earlier vertex that
+    close is open.  A round settles what it can in tiles of many vertices, each a task that follows the order
+    as far as nothing beyond the tile is in question; the next round's tiles lie half a tile further.
     """
-    placed = cut(with_cell(vertices, "lon", "lat", tolerance_m * 1.01))
-    open_rows, all_leaders = placed, None
+    placed = cut(cubes(vertices.select("ordinal", "lon", "lat"), "lon", "lat", tolerance_m * 1.01))
+    edge, shift = _tile_edge(placed), 0.0
+    open_rows, found = placed.withColumn("leads", F.lit(False)), None
     while True:
-        firsts = open_rows.groupBy("row", "col").agg(F.min("ordinal").alias("ordinal"))
-        block = firsts.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(
-            "j", F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        ).groupBy((F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).agg(
-            F.min("ordinal").alias("block_first")
-        )
-        settled = firsts.join(block, ["row", "col"]).filter("ordinal = block_first").select("ordinal")
-        fresh = cut(open_rows.join(settled, "ordinal").select("ordinal", "lon", "lat"))
-        all_leaders = fresh if all_leaders is None else all_leaders.unionByName(fresh)
-        covered = _near_leaders(open_rows, fresh, tolerance_m).select("ordinal").distinct()
-        open_rows = cut(
-            open_rows.join(covered, "ordinal", "left_anti").join(fresh.select("ordinal"), "ordinal", "left_anti")
-        )
+        rows = open_rows
+        if found is not None:
+            beside = around(open_rows.select(*AXES).distinct()).distinct()
+            rows = rows.unionByName(found.join(beside, list(AXES), "left_semi").withColumn("leads", F.lit(True)))
+        judged = cut(_tiled(rows, edge, shift, tolerance_m).groupBy("tx", "ty", "tz").applyInPandas(_judge(tolerance_m), "ordinal long, leads boolean"))
+        fresh = cut(placed.join(judged.filter("leads").select("ordinal"), "ordinal"))
+        found = fresh if found is None else cut(found.unionByName(fresh))
+        open_rows = cut(open_rows.join(judged, "ordinal", "left_anti"))
         if open_rows.isEmpty():
             break
-    all_leaders = cut(all_leaders)
-    rest = placed.join(all_leaders.select("ordinal"), "ordinal", "left_anti")
-    snapped = _near_leaders(rest, all_leaders, tolerance_m).groupBy("ordinal").agg(
-        F.min_by("l_ordinal", F.struct("d", "l_ordinal")).alias("leader")
-    )
-    return vertices.join(snapped, "ordinal", "left").select(
-        *vertices.columns, F.coalesce("leader", "ordinal").alias("leader")
-    )
-
-
-def _near_leaders(rows: DataFrame, found: DataFrame, tolerance_m: float) -> DataFrame:
-    around = neighbour_cells(
-        found.withColumnsRenamed({"ordinal": "l_ordinal", "lon": "l_lon", "lat": "l_lat"}), "l_lon", "l_lat", tolerance_m * 1.01
-    )
-    return rows.join(around, ["row", "col"]).withColumn(
-        "d", haversine_m(F.col("lon"), F.col("lat"), F.col("l_lon"), F.col("l_lat"))
-    ).filter((F.col("d") < tolerance_m) & (F.col("l_ordinal") < F.col("ordinal")))
+        shift = edge / 2 - shift
+    rest = placed.join(found.select("ordinal"), "ordinal", "left_anti")
+    near = around(found.withColumnsRenamed({"ordinal": "l_ordinal", "lon": "l_lon", "lat": "l_lat"}).select("l_ordinal", "l_lon", "l_lat", *AXES))
+    met = rest.join(near, list(AXES)).withColumn("d", haversine_m(F.col("lon"), F.col("lat"), F.col("l_lon"), F.col("l_lat")))
+    close = met.filter((F.col("d") < tolerance_m) & (F.col("l_ordinal") < F.col("ordinal")))
+    snapped = close.groupBy("ordinal").agg(F.min_by("l_ordinal", F.struct("d", "l_ordinal")).alias("leader"))
+    return vertices.join(snapped, "ordinal", "left").select(*vertices.columns, F.coalesce("leader", "ordinal").alias("leader"))
+
+
+def _tile_edge(placed: DataFrame) -> float:
+    edge = TILE_M
+    while edge > LEAST_TILE_M:
+        tiles = placed.groupBy(*[F.floor(F.col(c) / edge).alias(c) for c in "xyz"]).count()
+        if (tiles.agg(F.max("count")).first()[0] or 0) <= TILE_VERTICES:
+            break
+        edge /= 2
+    return edge
+
+
+def _tiled(rows: DataFrame, edge: float, shift: float, tolerance_m: float) -> DataFrame:
+    """Rows in their tile (``home``) and in those that lie within the tolerance."""
+    tile = lambda c, by: F.floor((F.col(c) + F.lit(shift + by)) / F.lit(edge))
+    home = F.lit(True)
+    for c in "xyz":
+        rows = rows.withColumn(f"t{c}", F.explode(F.array_distinct(F.array(tile(c, -tolerance_m * 1.01), tile(c, tolerance_m * 1.01)))))
+        home &= F.col(f"t{c}") == tile(c, 0.0)
+    return rows.withColumn("home", home)
+
+
+def _judge(tolerance_m: float):  # type: ignore[no-untyped-def]
+    """The settled vertices of a tile, in ordinal order."""
+    far = 2 * math.sin(tolerance_m / (2 * EARTH_M)) * EARTH_M
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ordinal")
+        spots, cells = rows[["x", "y", "z"]].to_numpy(), rows[list(AXES)].to_numpy()
+        leads, home, ordinals = rows["leads"].to_numpy(), rows["home"].to_numpy(), rows["ordinal"].to_numpy()
+        held: dict[tuple, list[tuple[int, bool]]] = {}  # leaders and open vertices by cube
+        out = []
+        for k in range(len(rows)):
+            cell, covered, open_before = tuple(cells[k]), False, False
+            if not leads[k]:
+                for near in product(*((c - 1, c, c + 1) for c in cell)):
+                    for j, leader in held.get(near, ()):
+                        if (leader or not open_before) and math.dist(spots[k], spots[j]) < far:
+                            covered, open_before = covered or leader, open_before or not leader
+                if home[k] and (covered or not open_before):
+                    out.append((ordinals[k], not covered))
+            if not covered:
+                held.setdefault(cell, []).append((k, bool(leads[k] or (home[k] and not open_before))))
+        return pd.DataFrame(out, columns=["ordinal", "leads"])
+
+    return judge
 
 
 def build_graph(segments: DataFrame, tolerance_m: float = SNAP_M) -> tuple[DataFrame, DataFrame]:
@@ -185,90 +224,6 @@ def largest_component(nodes: DataFrame, edges: DataFrame, labelled: DataFrame) -
     return renumbered.select(F.col("n").alias("id"), *[c for c in nodes.columns if c != "id"]), moved
 
 
-# Shortest paths -----------------------------------------------------------------------------------
-
-
-def shortest_paths(
-    searches: DataFrame,
-    edges: DataFrame,
-    key: list[str] = ("request_id",),
-    shade_bias: Column | float = 0.0,
-    penalties: DataFrame | None = None,
-    penalty_weight: Column | float = 0.0,
-) -> DataFrame:
-    """Cheapest routes of many searches at once, as the settled state of all visited nodes.
-
-    ``searches`` has the columns of ``key``, start_node and end_node (and what ``shade_bias`` and
-    ``penalty_weight`` refer to); ``edges`` are directed with src, dst, weight_m and shade; ``penalties`` has
-    the columns it shares with ``searches``, node and penalty.  Cost of a step is
-    ``weight * (1 + bias * (1 - shade)) + penalty_weight * penalty(dst)``; metres add up unbiased.  Only nodes
-    improved in the last round step on, and only while cheaper than the best known arrival of their search.
-    Returns the key columns, node, cost, metres, prev.
-    """
-    key = list(key)
-    number = lambda v: (F.lit(float(v)) if isinstance(v, (int, float)) else v).cast("double")
-    asked = cut(searches.filter(F.col("start_node").isNotNull() & F.col("end_node").isNotNull()).select(
-        *key, F.col("start_node").cast("bigint").alias("start_node"), F.col("end_node").cast("bigint").alias("end_node"),
-        number(shade_bias).alias("bias"), number(penalty_weight).alias("pull"),
-    ))
-    shade = F.coalesce("shade", F.lit(0.0)) if "shade" in edges.columns else F.lit(0.0)
-    roads = cut(edges.select("src", "dst", "weight_m", shade.alias("shade")))
-    state = cut(asked.select(
-        *key, F.col("start_node").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("metres"),
-        F.lit(None).cast("bigint").alias("prev"), F.lit(True).alias("fresh"),
-    ))
-    while True:
-        arrived = asked.select(*key, F.col("end_node").alias("node")).join(state, [*key, "node"]).select(
-            *key, F.col("cost").alias("bound")
-        )
-        front = state.filter("fresh").join(asked, key).join(arrived, key, "left").filter(
-            "(bound is null or cost < bound) and node <> end_node"
-        ).withColumnRenamed("node", "from_node")
-        steps = front.join(roads, F.col("from_node") == F.col("src")).withColumnRenamed("dst", "node")
-        extra = F.lit(0.0)
-        if penalties is not None:
-            shared = [k for k in key if k in penalties.columns]
-            steps = steps.join(penalties.select(*shared, "node", "penalty"), [*shared, "node"], "left")
-            extra = F.col("pull") * F.coalesce("penalty", F.lit(0.0))
-        offer = F.col("cost") + F.col("weight_m") * (1.0 + F.col("bias") * (1.0 - F.col("shade"))) + extra
-        offers = steps.withColumn("offer", offer).filter("bound is null or offer < bound").groupBy(*key, "node").agg(
-            F.min(F.struct("offer", (F.col("metres") + F.col("weight_m")).alias("metres"), "from_node")).alias("o")
-        )
-        better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.offer") < F.col("cost")))
-        pick = lambda new, old: F.when(better, F.col(f"o.{new}")).otherwise(F.col(old)).alias(old)
-        state = cut(state.join(offers, [*key, "node"], "full").select(
-            *key, "node", pick("offer", "cost"), pick("metres", "metres"), pick("from_node", "prev"), better.alias("fresh"),
-        ))
-        if state.filter("fresh").isEmpty():
-            return state.drop("fresh")
-
-
-def arrivals(searches: DataFrame, state: DataFrame, key: list[str] = ("request_id",)) -> DataFrame:
-    """Cost and metres of every search; null where the ends are not connected."""
-    ends = searches.select(*key, F.col("end_node").alias("node"))
-    return ends.join(state, [*key, "node"], "left").select(*key, "cost", "metres")
-
-
-def path_steps(searches: DataFrame, state: DataFrame, key: list[str] = ("request_id",)) -> DataFrame:
-    """(key, seq, node) of each found route, from start (0) to end.
-
-    The backward pointers are followed by doubling: a route of h steps takes about log2(h) rounds.
-    """
-    ends = searches.select(*key, F.col("end_node").alias("node"))
-    on_path = ends.join(state, [*key, "node"], "left_semi").withColumn("back", F.lit(0).cast("bigint"))
-    jump, hop = state.filter("prev is not null").select(*key, "node", F.col("prev").alias("to")), 1
-    while True:
-        further = on_path.join(jump, [*key, "node"]).select(*key, F.col("to").alias("node"), (F.col("back") + hop).alias("back"))
-        onward = jump.select(*key, F.col("node").alias("to"), F.col("to").alias("next"))
-        on_path = cut(on_path.unionByName(further))
-        jump = cut(jump.join(onward, [*key, "to"]).select(*key, "node", F.col("next").alias("to")))
-        hop *= 2
-        if jump.isEmpty():
-            break
-    length = on_path.groupBy(*key).agg(F.max("back").alias("last"))
-    return on_path.join(length, list(key)).select(*key, (F.col("last") - F.col("back")).alias("seq"), "node")
-
-
 def path_shade(steps: DataFrame, edges: DataFrame, key: list[str] = ("request_id",)) -> DataFrame:
     """Length-weighted mean shade along each route; null if a step has none or the route has no length."""
     ahead = steps.select(*key, (F.col("seq") - 1).alias("seq"), F.col("node").alias("dst"))

@@ -9,7 +9,8 @@ from hourspark.functions.numbers import half_even
 from hourspark.functions.geo import WALKING_M_PER_MIN
 from hourspark.functions.labels import heat_context
 from hourspark.operators import candidates as cand
-from hourspark.operators.graph import arrivals, path_shade, path_steps, shortest_paths
+from hourspark.operators.graph import path_shade
+from hourspark.operators.paths import arrivals, path_steps, shortest_paths
 from hourspark.operators.space import nearest
 from hourspark.operators.spatial import node_penalties
 from hourspark.operators.tracks import samples
@@ -51,9 +52,9 @@ def searched(
 
     All searches run in the same rounds; only their bias and their pull differ.
     """
-    state = shortest_paths(searches, edges, KEY, F.col("bias"), penalties, F.col("pull"))
-    ends = cut(arrivals(searches, state, KEY))
-    steps = cut(path_steps(searches, state, KEY))
+    found = shortest_paths(searches, edges, KEY, F.col("bias"), penalties, F.col("pull"))
+    ends = cut(arrivals(searches, found))
+    steps = cut(path_steps(searches, found))
     shade = path_shade(steps, edges, KEY)
     crowd = route_crowd(steps, nodes, ends.select(*KEY, "metres"), sites, flows)
     rows = ends.join(searches.select(*KEY, "seq"), KEY).join(shade, KEY, "left").join(crowd, KEY, "left").select(

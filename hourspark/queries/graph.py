@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourspark.functions.timestamps import epoch_micros
-from hourspark.operators import graph, ordered
+from hourspark.operators import graph, ordered, paths
 from hourspark.plans import routing
 from hourspark.queries import Tables, query, rounded
 from hourspark.queries.spatial import metres_sql, spread, spread_sql, suppliers
@@ -67,7 +67,16 @@ def largest_component_edges(t: Tables) -> DataFrame:
     return graph.largest_component(nodes, edges, graph.components(nodes, edges))[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE seq AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  line AS (SELECT user_id, rn, (user_id << 20) + rn AS ordinal, 144.95::DOUBLE + (event_id * 7919 % 61) / 6200.0::DOUBLE AS lon, -37.82::DOUBLE + (event_id * 104729 % 59) / 7900.0::DOUBLE AS lat FROM seq),
+  used AS (SELECT a.* FROM line a WHERE EXISTS (SELECT 1 FROM line b WHERE b.user_id = a.user_id AND abs(b.rn - a.rn) = 1)),
+  v AS (SELECT lon, lat, row_number() OVER (ORDER BY min(ordinal)) AS i FROM used GROUP BY lon, lat),
+  near AS (SELECT a.i, b.i AS j, {metres_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM v a JOIN v b ON b.i < a.i AND abs(b.lat - a.lat) < 0.0003 AND abs(b.lon - a.lon) < 0.0003 WHERE d < 20),
+  lead(i, leads) USING KEY (i) AS (SELECT 1::BIGINT, TRUE UNION SELECT l.i + 1, NOT EXISTS (SELECT 1 FROM near JOIN recurring.lead r ON r.i = near.j WHERE near.i = l.i + 1 AND r.leads) FROM lead l WHERE l.i < (SELECT max(i) FROM v)),
+  snap AS (SELECT v.i, coalesce((SELECT arg_min(j, (d, j)) FROM near JOIN lead r ON r.i = j AND r.leads WHERE near.i = v.i), v.i) AS leader FROM v),
+  step AS (SELECT DISTINCT least(x.leader, y.leader) AS src, greatest(x.leader, y.leader) AS dst FROM used a JOIN used b ON b.user_id = a.user_id AND b.rn = a.rn + 1
+    JOIN v p ON p.lon = a.lon AND p.lat = a.lat JOIN v q ON q.lon = b.lon AND q.lat = b.lat JOIN snap x ON x.i = p.i JOIN snap y ON y.i = q.i WHERE x.leader <> y.leader)
+  SELECT count(*) AS edges, round(sum({metres_sql('s.lon', 's.lat', 't.lon', 't.lat')}), 2) AS metres, (SELECT count(*) FROM lead WHERE leads) AS nodes FROM step JOIN v s ON s.i = src JOIN v t ON t.i = dst""")
 def street_graph(t: Tables) -> DataFrame:
     """Each user's events as one line on a coarse grid of points: snapped nodes and weighted edges."""
     part = ordered.slice_of(epoch_micros(F.col("ts")), ordered.DAY_MICROS)
@@ -121,7 +130,7 @@ def nation_requests(t: Tables) -> DataFrame:
 def biased_paths(t: Tables) -> DataFrame:
     """Shade-biased cheapest routes between all pairs of nations."""
     requests = cut(nation_requests(t))
-    ends = graph.arrivals(requests, graph.shortest_paths(requests, trade(t), shade_bias=1.4))
+    ends = paths.arrivals(requests, paths.shortest_paths(requests, trade(t), shade_bias=1.4))
     return rounded(requests.join(ends, "request_id").select("start_node", "end_node", "cost"), "cost")
 
 
@@ -129,11 +138,11 @@ def biased_paths(t: Tables) -> DataFrame:
 def route_paths(t: Tables) -> DataFrame:
     """The node sequences of the same routes with their length and mean shade."""
     requests, edges = cut(nation_requests(t)), trade(t)
-    state = graph.shortest_paths(requests, edges, shade_bias=1.4)
-    steps = cut(graph.path_steps(requests, state))
+    found = paths.shortest_paths(requests, edges, shade_bias=1.4)
+    steps = cut(paths.path_steps(requests, found))
     nodes = steps.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "node"))), lambda x: x["node"].cast("string")), "-").alias("path"))
     shade = graph.path_shade(steps, edges)
-    return rounded(nodes.join(graph.arrivals(requests, state), "request_id").join(shade, "request_id", "left"), "cost", "metres", "shade_avg")
+    return rounded(nodes.join(paths.arrivals(requests, found), "request_id").join(shade, "request_id", "left"), "cost", "metres", "shade_avg")
 
 
 @query()
@@ -154,3 +163,37 @@ def planned_routes(t: Tables) -> DataFrame:
     flows = t.supplier.select(F.col("s_suppkey").alias("site_id"), F.greatest("s_acctbal", F.lit(0.0)).alias("flow"))
     found, _ = routing.plan_routes(cut(trips), nodes, trade(t), suppliers(t), flows)
     return rounded(found.withColumns({"tags": F.array_join("tags", ";"), "warnings": F.array_join("warnings", ";")}), "distance_km", "minutes", "shade", "crowd")
+
+
+# Roads of thousands of hops ------------------------------------------------------------------------
+
+
+def order_ring(t: Tables) -> DataFrame:
+    """Directed edges both ways along all orders, from the last back to the first, and a dead end at every seventh."""
+    o = t.orders.select("o_orderkey", (F.pmod("o_custkey", F.lit(97)) + 3).cast("double").alias("weight_m"), (F.pmod("o_orderkey", F.lit(10)) / 10.0).alias("shade"))
+    linked = ordered.neighbour(o, [], ["o_orderkey"], F.floor(F.col("o_orderkey") / F.lit(2**16)), ["o_orderkey", "weight_m", "shade"])
+    road = linked.filter("prev IS NOT NULL").select(F.col("prev.o_orderkey").alias("src"), F.col("o_orderkey").alias("dst"), "prev.weight_m", "prev.shade")
+    whole = o.agg(F.max("o_orderkey").alias("src"), F.min("o_orderkey").alias("dst")).select("src", "dst", F.lit(5.0).alias("weight_m"), F.lit(0.0).alias("shade"))
+    spurs = o.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("src"), (-F.col("o_orderkey")).alias("dst"), "weight_m", "shade")
+    return cut(graph.mirrored(road.unionByName(whole).unionByName(spurs)))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, o_custkey % 97 + 3 AS w, (o_orderkey % 10) / 10.0::DOUBLE AS shade, n_regionkey::BIGINT AS request_id
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+  p AS (SELECT *, w * (1 + 1.4::DOUBLE * (1 - shade)) AS c, row_number() OVER (ORDER BY o_orderkey) AS k FROM o),
+  q AS (SELECT *, sum(c) OVER (ORDER BY k) - c AS pos, sum(w) OVER (ORDER BY k) - w AS m FROM p),
+  ring AS (SELECT max(pos) + 5 * 2.4::DOUBLE AS cost, max(m) + 5 AS metres, max(k) AS hops FROM q),
+  e AS (SELECT request_id, arg_min((pos, m, k), o_orderkey) AS a, arg_max((pos, m, k), (o_totalprice, o_orderkey)) AS b FROM q GROUP BY 1),
+  d AS (SELECT request_id, abs(a[1] - b[1]) AS cost, abs(a[2] - b[2]) AS metres, abs(a[3] - b[3]) AS hops FROM e)
+  SELECT request_id, round(least(d.cost, ring.cost - d.cost), 4) AS cost, CASE WHEN d.cost <= ring.cost - d.cost THEN d.metres ELSE ring.metres - d.metres END::DOUBLE AS metres,
+    CASE WHEN d.cost <= ring.cost - d.cost THEN d.hops ELSE ring.hops - d.hops END::BIGINT AS hops FROM d, ring""")
+def long_routes(t: Tables) -> DataFrame:
+    """Shade-biased routes along the ring of all orders, a trip per region: thousands of hops and few junctions."""
+    placed = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    trips = placed.groupBy(F.col("n_regionkey").cast("bigint").alias("request_id")).agg(
+        F.min("o_orderkey").alias("start_node"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("end_node")
+    )
+    trips = cut(trips)
+    found = paths.shortest_paths(trips, order_ring(t), shade_bias=1.4)
+    steps = paths.path_steps(trips, found).groupBy("request_id").agg(F.max("seq").alias("hops"))
+    return rounded(paths.arrivals(trips, found).join(steps, "request_id"), "cost", digits=4)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hourspark.operators import graph, space, spatial
+from hourspark.operators import graph, paths, space, spatial
 from hourspark.plans import routing
 
 
@@ -28,17 +28,17 @@ def square(spark):
 def test_paths_on_the_square(spark, square):
     nodes, edges = square
     asked = spark.createDataFrame([(1, 0, 1), (2, 0, 2), (3, 2, 2), (4, 0, 4)], "request_id long, start_node long, end_node long")
-    state = graph.shortest_paths(asked, edges)
-    got = {r.request_id: r.metres for r in graph.arrivals(asked, state).collect()}
+    state = paths.shortest_paths(asked, edges)
+    got = {r.request_id: r.metres for r in paths.arrivals(asked, state).collect()}
     assert got[1] == pytest.approx(metres(SQUARE[0], SQUARE[1])) and got[3] == 0.0 and got[4] is None
     # Both ways round are equal to about a millimetre.
     assert got[2] == pytest.approx(metres(SQUARE[0], SQUARE[1]) + metres(SQUARE[1], SQUARE[2]), abs=0.01)
-    steps = graph.path_steps(asked, state)
+    steps = paths.path_steps(asked, state)
     assert [r.node for r in steps.filter("request_id = 1").orderBy("seq").collect()] == [0, 1]
     assert [r.node for r in steps.filter("request_id = 3").collect()] == [2]
-    shaded = graph.shortest_paths(asked, edges, shade_bias=1.4)
-    assert [r.node for r in graph.path_steps(asked, shaded).filter("request_id = 2").orderBy("seq").collect()] == [0, 1, 2]
-    assert graph.path_shade(graph.path_steps(asked, shaded), edges).filter("request_id = 2").first().shade_avg == pytest.approx(1.0)
+    shaded = paths.shortest_paths(asked, edges, shade_bias=1.4)
+    assert [r.node for r in paths.path_steps(asked, shaded).filter("request_id = 2").orderBy("seq").collect()] == [0, 1, 2]
+    assert graph.path_shade(paths.path_steps(asked, shaded), edges).filter("request_id = 2").first().shade_avg == pytest.approx(1.0)
 
 
 def dijkstra(adj, start, bias, penalty, weight):
@@ -67,14 +67,14 @@ def test_paths_equal_a_priority_queue_search(spark):
     edges = spark.createDataFrame(data, "src long, dst long, weight_m double, shade double")
     asked = spark.createDataFrame([(i, random.randrange(n), random.randrange(n)) for i in range(30)], "request_id long, start_node long, end_node long")
     fines = asked.select("request_id").crossJoin(spark.createDataFrame(list(penalty.items()), "node long, penalty double"))
-    state = graph.shortest_paths(asked, edges, shade_bias=1.4, penalties=fines, penalty_weight=0.6)
-    got = {r.request_id: r.cost for r in graph.arrivals(asked, state).collect()}
+    state = paths.shortest_paths(asked, edges, shade_bias=1.4, penalties=fines, penalty_weight=0.6)
+    got = {r.request_id: r.cost for r in paths.arrivals(asked, state).collect()}
     length = {(a, b): [] for a, b, _, _ in data}
     for r in asked.collect():
         want = dijkstra(adj, r.start_node, 1.4, penalty, 0.6).get(r.end_node)
         assert got[r.request_id] == (want if want is None else pytest.approx(want))
     steps = {}
-    for r in graph.path_steps(asked, state).collect():
+    for r in paths.path_steps(asked, state).collect():
         steps.setdefault(r.request_id, {})[r.seq] = r.node
     for r in asked.collect():
         if got[r.request_id] is not None:
@@ -82,6 +82,59 @@ def test_paths_equal_a_priority_queue_search(spark):
             assert path[0] == r.start_node and path[-1] == r.end_node and all(p in length for p in zip(path, path[1:]))
 
 
+def test_paths_over_long_roads_dead_ends_and_rings(spark):
+    """Junctions joined by roads of many vertices, trees that hang on, a ring apart, penalties along the roads."""
+    rng, pairs, fresh = random.Random(8), [], iter(range(100, 10**6))
+    road = lambda a, b, n: pairs.extend(zip([a, *(m := [next(fresh) for _ in range(n)])], [*m, b]))
+    for _ in range(16):
+        road(*rng.sample(range(10), 2), rng.randrange(0, 30))
+    for _ in range(5):  # dead ends that fork
+        tip, at = next(fresh), rng.randrange(10)
+        road(at, tip, rng.randrange(0, 6))
+        road(tip, next(fresh), 3)
+        road(tip, next(fresh), 0)
+    ring = next(fresh)
+    road(ring, ring, 7)
+    data, adj = [], {}
+    for a, b in {(min(p), max(p)) for p in pairs if p[0] != p[1]}:
+        w, s = rng.uniform(1, 100), rng.random()
+        for x, y in ((a, b), (b, a)):
+            data.append((x, y, w, s))
+            adj.setdefault(x, []).append((y, w, s))
+    nodes = sorted(adj)
+    edges = spark.createDataFrame(data, "src long, dst long, weight_m double, shade double")
+    trips = [(i, rng.choice(nodes), rng.choice(nodes)) for i in range(6)] + [(7, 0, 0), (8, 0, ring), (9, 1, 99_999_999)]
+    asked = spark.createDataFrame(trips, "request_id long, start_node long, end_node long")
+    penalty = {i: {n: rng.uniform(0, 80) for n in rng.sample(nodes, len(nodes) // 4)} for i, *_ in trips}
+    fines = spark.createDataFrame([(i, n, p) for i, some in penalty.items() for n, p in some.items()], "request_id long, node long, penalty double")
+    found = paths.shortest_paths(asked, edges, shade_bias=1.4, penalties=fines, penalty_weight=0.6)
+    assert found.network.roads.count() < len(data) // 3
+    got = {r.request_id: (r.cost, r.metres) for r in paths.arrivals(asked, found).collect()}
+    steps = {}
+    for r in paths.path_steps(asked, found).collect():
+        assert r.seq not in steps.setdefault(r.request_id, {})
+        steps[r.request_id][r.seq] = r.node
+    length = {(a, b): (w, s) for a, b, w, s in data}
+    for i, a, b in trips:
+        want = dijkstra(adj, a, 1.4, penalty[i], 0.6).get(b)
+        if want is None:
+            assert got[i] == (None, None) and i not in steps
+            continue
+        path = [steps[i][k] for k in range(len(steps[i]))]
+        assert path[0] == a and path[-1] == b
+        walked = [length[p] for p in zip(path, path[1:])]
+        assert got[i][0] == pytest.approx(want) and got[i][1] == pytest.approx(sum(w for w, _ in walked))
+        assert want == pytest.approx(sum(w * (1 + 1.4 * (1 - s)) for w, s in walked) + 0.6 * sum(penalty[i].get(n, 0.0) for n in path[1:]))
+
+
+def test_the_log_keeps_the_least_and_few_tables(spark):
+    log = paths.Log(["node"])
+    for k in range(9):
+        log.add(spark.createDataFrame([(n, float(10 - k), k) for n in range(k, 5 + k)], "node int, cost double, hop int").coalesce(1))
+    assert len(log.tables) <= 4
+    assert {(r.node, r.cost) for r in log.best().collect()} == {(n, 10.0 - min(n, 8)) for n in range(13)}
+
+
 def greedy(points, tolerance):
     leaders, out = [], {}
     high, wide = tolerance / 111320.0, tolerance / (111320.0 * math.cos(math.radians(-37.81)))
@@ -104,6 +157,26 @@ def test_snapping_equals_the_sequential_rule(spark, seed):
     assert got == greedy(points, 20.0)
 
 
+def test_a_long_line_settles_in_few_rounds(spark, monkeypatch):
+    """Vertices 14 m apart, each in question until the one before is settled: tiles follow the order."""
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    line = spark.range(10_000).select(F.col("id").alias("ordinal"), (140.0 + F.col("id") * 0.00016).alias("lon"), F.lit(-37.81).alias("lat"))
+    got = {r.ordinal: r.leader for r in graph.leaders(line, 20.0).collect()}
+    assert got == {i: i - i % 2 for i in range(10_000)}
+    assert len(written) <= 3 * 40
+
+
+def test_tiles_halve_until_they_are_small(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE_VERTICES", 12)
+    monkeypatch.setattr(graph, "LEAST_TILE_M", 64.0)
+    random.seed(3)
+    points = [(144.96 + random.random() * 0.003, -37.81 + random.random() * 0.002) for _ in range(200)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "ordinal long, lon double, lat double")
+    assert graph._tile_edge(graph.cubes(df, "lon", "lat", 20.2)) == 64.0
+    assert {r.ordinal: r.leader for r in graph.leaders(df, 20.0).collect()} == greedy(points, 20.0)
+
+
 def test_graph_from_segments(spark):
     lines = [[(144.96, -37.81), (144.961, -37.81), (144.961, -37.811)], [(144.96100001, -37.81000001), (144.96, -37.81)], [(144.96, -37.81005), (144.96, -37.811)]]
     data = [((f << 20) + i, *a, (f << 20) + i + 1, *b) for f, line in enumerate(lines) for i, (a, b) in enumerate(zip(line, line[1:]))]
