@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from hourspark import queries as registry
@@ -19,6 +20,7 @@ HEADLINE = [
     "metrics_by_scope", "baseline_metrics", "winner_per_group", "stratified_preview", "hash_sample", "empirical_cdf",
     "nearest_site", "grid_snap", "cell_density", "point_density", "edge_dedup", "components", "turns", "path_progress",
     "walked_distance", "arrival_runs", "community_totals", "recent_per_user", "candidate_tags", "stream_hourly",
+    "nearest_site_by_grid", "node_penalties", "next_turns", "street_graph", "biased_paths", "long_routes", "stream_walk",
 ]
 
 
@@ -27,7 +29,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     conf = {
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
     }
     spark = build_session("bench", f"local[{cpus}]", **conf)
     spark.sparkContext.setLogLevel("ERROR")

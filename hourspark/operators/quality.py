@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -310,9 +311,20 @@ def enforce_features(df: DataFrame, names: list[str], diagnostics: list[str] = (
     return names
 
 
-def resolve_role(df: DataFrame, aliases: list[str], role: str, required: bool = True) -> str | None:
-    """The first alias that is a column of ``df``."""
-    found = next((a for a in aliases if a in df.columns), None)
+def resolve_role(df: DataFrame, aliases: list[str], role: str, required: bool = True, loose: bool = False) -> str | None:
+    """The first alias that is a column of ``df``; ``loose`` compares letters and digits only."""
+    plain = lambda name: re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_") if loose else name
+    have = {plain(c): c for c in df.columns}
+    found = next((have[plain(a)] for a in aliases if plain(a) in have), None)
     if found is None and required:
         raise ContractError(f"no column for role {role!r}, tried {aliases}")
     return found
+
+
+def with_local_date(df: DataFrame, aliases: list[str], name: str = "role_date", stated: str | None = None) -> DataFrame:
+    """Adds the date of the time role: the stated column, the first alias present, or year, month and day."""
+    found = stated or resolve_role(df, aliases, "time", required=False)
+    if found:
+        return require_columns(df, [found], "time role").withColumn(name, F.to_date(found))
+    require_columns(df, ["year", "month", "day"], "time role")
+    return df.withColumn(name, F.make_date("year", "month", "day"))

@@ -46,5 +46,5 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 def load() -> None:
     """Import every module that registers queries."""
     from hourspark.queries import (  # noqa: F401
-        app, canonical, evaluation, expressions, graph, quality, spatial, streams, time, timeseries, tracks,
+        app, canonical, evaluation, expressions, graph, quality, sources, spatial, streams, time, timeseries, tracks,
     )

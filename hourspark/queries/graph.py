@@ -68,7 +68,7 @@ def largest_component_edges(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE seq AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-  line AS (SELECT user_id, rn, (user_id << 20) + rn AS ordinal, 144.95::DOUBLE + (event_id * 7919 % 61) / 6200.0::DOUBLE AS lon, -37.82::DOUBLE + (event_id * 104729 % 59) / 7900.0::DOUBLE AS lat FROM seq),
+  line AS (SELECT user_id, rn, row_number() OVER (ORDER BY user_id, rn) AS ordinal, 144.95::DOUBLE + (event_id * 7919 % 61) / 6200.0::DOUBLE AS lon, -37.82::DOUBLE + (event_id * 104729 % 59) / 7900.0::DOUBLE AS lat FROM seq),
   used AS (SELECT a.* FROM line a WHERE EXISTS (SELECT 1 FROM line b WHERE b.user_id = a.user_id AND abs(b.rn - a.rn) = 1)),
   v AS (SELECT lon, lat, row_number() OVER (ORDER BY min(ordinal)) AS i FROM used GROUP BY lon, lat),
   near AS (SELECT a.i, b.i AS j, {metres_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM v a JOIN v b ON b.i < a.i AND abs(b.lat - a.lat) < 0.0003 AND abs(b.lon - a.lon) < 0.0003 WHERE d < 20),
@@ -83,8 +83,11 @@ def street_graph(t: Tables) -> DataFrame:
     seq = ordered.numbered(t.events.select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"], part)
     # Positions repeat and crowd: 61 x 59 spots, about 14 m apart, so that snapping has work to do.
     spot = lambda c, n, step: F.floor(F.pmod(F.col(c) * step, F.lit(n)))
-    line = seq.select(
-        "user_id", (F.shiftleft(F.col("user_id"), 20) + F.col("rn")).alias("ordinal"), "rn",
+    # A user's vertices follow those of all users before, however many there are.
+    counts = seq.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    upto = ordered.running(counts, [], ["user_id"], F.floor(F.col("user_id") / F.lit(2**16)), {"upto": ("sum", F.col("n"))})
+    line = seq.join(upto, "user_id").select(
+        "user_id", (F.col("upto") - F.col("n") + F.col("rn")).alias("ordinal"), "rn",
         (144.95 + spot("event_id", 61, 7919) / 6200.0).alias("lon"), (-37.82 + spot("event_id", 59, 104729) / 7900.0).alias("lat"),
     )
     after = line.select("user_id", (F.col("rn") - 1).alias("rn"), *[F.col(c).alias(f"{c}_b") for c in ("ordinal", "lon", "lat")])

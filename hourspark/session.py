@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,24 +33,11 @@ def build_session(app: str = "hourspark", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session without that
-    setting gets a temporary folder of its own; a cluster session without it is refused.
+    The cluster names it in ``spark.checkpoint.dir``.  A session without that setting gets a folder beside its
+    warehouse tables, which all its executors see as well.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        folder = _local_dir()
-    return folder
-
-
-_LOCAL_DIR: list[str] = []
-
-
-def _local_dir() -> str:
-    if not _LOCAL_DIR:
-        _LOCAL_DIR.append(tempfile.mkdtemp(prefix="hourspark-"))
-    return _LOCAL_DIR[0]
+    return folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "steps")
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

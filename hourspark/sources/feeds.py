@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourspark.functions.numbers import sentinel_to_null
+from hourspark.operators.ordered import running
 from hourspark.operators.quality import ContractError
 
 SERIES_SCHEMA = (
@@ -72,39 +73,48 @@ def hourly_series(
     return wide.select("stamp", *parameters).orderBy("stamp")
 
 
-def segments_of(lines: DataFrame, feature: str, coordinates: str) -> DataFrame:
+LINES = ["document", "feature"]
+
+
+def segments_of(lines: DataFrame, coordinates: str = "coordinates") -> DataFrame:
     """Consecutive coordinate pairs of line strings with the ordinals of both vertices.
 
-    ``feature`` is the long position of the line; a line holds fewer than 2^20 vertices.
+    ``lines`` has document and feature, which name a line and order it.  Vertices are numbered through all lines
+    in that order, so neither the number of documents nor the length of a line is limited.
     """
-    base = F.shiftleft(F.col(feature).cast("bigint"), 20)
+    sized = lines.filter(F.size(coordinates) >= 2).select(*LINES, coordinates, F.size(coordinates).cast("bigint").alias("_n"))
+    # A slice is a run of features of one document; documents are numbered in steps of 2^24 slices.
+    part = F.shiftleft(F.col("document").cast("bigint"), 24) + F.floor(F.col("feature") / F.lit(4_096))
+    counted = running(sized.select(*LINES, "_n"), [], LINES, part, {"_upto": ("sum", F.col("_n"))})
+    based = sized.join(counted.select(*LINES, (F.col("_upto") - F.col("_n")).alias("_base")), LINES)
+    line = F.col(coordinates)
     pairs = F.transform(
-        F.sequence(F.lit(0), F.size(coordinates) - 2),
+        F.sequence(F.lit(0), F.size(line) - 2),
         lambda i: F.struct(
-            (base + i).alias("ordinal_a"), F.get(F.col(coordinates), i)[0].alias("lon_a"), F.get(F.col(coordinates), i)[1].alias("lat_a"),
-            (base + i + 1).alias("ordinal_b"), F.get(F.col(coordinates), i + 1)[0].alias("lon_b"), F.get(F.col(coordinates), i + 1)[1].alias("lat_b"),
+            (F.col("_base") + i).alias("ordinal_a"), F.get(line, i)[0].alias("lon_a"), F.get(line, i)[1].alias("lat_a"),
+            (F.col("_base") + i + 1).alias("ordinal_b"), F.get(line, i + 1)[0].alias("lon_b"), F.get(line, i + 1)[1].alias("lat_b"),
         ),
     )
-    return lines.filter(F.size(coordinates) >= 2).select(feature, F.explode(pairs).alias("s")).select(feature, "s.*")
+    return based.select(*LINES, F.explode(pairs).alias("s")).select(*LINES, "s.*")
 
 
-def line_features(documents: DataFrame, json: str = "payload", offset: int = 0) -> DataFrame:
-    """(feature, coordinates) of the line strings of feature collections; ``offset`` ranks the source."""
-    parsed = documents.select(F.posexplode(F.from_json(json, LINE_SCHEMA)["features"]).alias("pos", "f"))
+def line_features(documents: DataFrame, json: str = "payload", document: str = "document") -> DataFrame:
+    """(document, feature, coordinates) of the line strings of feature collections; ``document`` ranks them."""
+    parsed = documents.select(F.col(document).cast("bigint").alias("document"), F.posexplode(F.from_json(json, LINE_SCHEMA)["features"]).alias("pos", "f"))
     return parsed.filter(F.col("f.geometry.type") == "LineString").select(
-        (F.col("pos").cast("bigint") + F.lit(offset)).alias("feature"), F.col("f.geometry.coordinates").alias("coordinates")
+        "document", F.col("pos").cast("bigint").alias("feature"), F.col("f.geometry.coordinates").alias("coordinates")
     )
 
 
-def walkable_ways(documents: DataFrame, json: str = "payload", offset: int = 0) -> DataFrame:
-    """(feature, way_id, highway, coordinates) of open walkable ways with two points or more."""
-    parsed = documents.select(F.posexplode(F.from_json(json, WAY_SCHEMA)["elements"]).alias("pos", "e"))
+def walkable_ways(documents: DataFrame, json: str = "payload", document: str = "document") -> DataFrame:
+    """(document, feature, way_id, highway, coordinates) of open walkable ways with two points or more."""
+    parsed = documents.select(F.col(document).cast("bigint").alias("document"), F.posexplode(F.from_json(json, WAY_SCHEMA)["elements"]).alias("pos", "e"))
     tag = lambda name: F.try_element_at(F.col("e.tags"), F.lit(name))
     open_way = tag("highway").isin(WALKABLE) & F.coalesce(tag("foot") != "no", F.lit(True)) & F.coalesce(
         ~tag("access").isin(CLOSED_ACCESS), F.lit(True)
     )
     return parsed.filter((F.col("e.type") == "way") & (F.size("e.geometry") >= 2) & open_way).select(
-        (F.col("pos").cast("bigint") + F.lit(offset)).alias("feature"), F.col("e.id").alias("way_id"), tag("highway").alias("highway"),
+        "document", F.col("pos").cast("bigint").alias("feature"), F.col("e.id").alias("way_id"), tag("highway").alias("highway"),
         F.transform("e.geometry", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"),
     )
 

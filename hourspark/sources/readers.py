@@ -16,8 +16,8 @@ def text_schema(names: list[str]) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, sep: str = ",") -> DataFrame:
-    """Headed delimited files; a header that differs from ``schema`` fails."""
-    return spark.read.csv(paths, schema=schema, header=True, sep=sep, enforceSchema=False, mode="FAILFAST")
+    """Headed delimited files, quotes doubled inside quotes; a header that differs from ``schema`` fails."""
+    return spark.read.csv(paths, schema=schema, header=True, sep=sep, escape='"', enforceSchema=False, mode="FAILFAST")
 
 
 def read_parquet(spark: SparkSession, paths: list[str], columns: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:

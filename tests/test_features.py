@@ -98,6 +98,8 @@ def test_feature_roles_leave_out_diagnostics():
     assert "vehicle_count_lag_1h" in lists["numeric_features"] and "hour_sin" in lists["numeric_features"]
     assert not set(lists["feature_columns"]) & {"vehicle_count", "label_quality", "ta_derived_zero", "label_source"}
     assert not {n.lower() for n in lists["feature_columns"]} & {n.lower() for n in quality.AUDIT_COLUMNS}
+    assert {"label_source", "label_quality", "vehicle_count_lag_1h"} <= set(lists["available_columns"]) and "vehicle_count" not in lists["available_columns"]
+    assert "public_holiday_name" in feature_lists(["public_holiday_name"])["categorical_features"]
 
 
 def test_roles_resolve_to_the_first_alias(spark):
@@ -105,6 +107,15 @@ def test_roles_resolve_to_the_first_alias(spark):
     assert quality.resolve_role(df, ROLE_ALIASES["lag_1h"], "lag_1h") == "traffic_lag_1h"
     with pytest.raises(ContractError):
         quality.resolve_role(df, ROLE_ALIASES["split"], "split")
+    odd = df.withColumnRenamed("lag_1h", "Vehicle Lag-24h")
+    assert quality.resolve_role(odd, ROLE_ALIASES["lag_24h"], "lag_24h", required=False) is None
+    assert quality.resolve_role(odd, ROLE_ALIASES["lag_24h"], "lag_24h", loose=True) == "Vehicle Lag-24h"
+    rows = spark.sql("SELECT 2024 AS year, 2 AS month, 29 AS day, timestamp_ntz'2025-01-01 23:00:00' AS hour_start_utc")
+    by = lambda *a, **k: str(quality.with_local_date(*a, ROLE_ALIASES["time"], **k).first().role_date)
+    assert (by(rows), by(rows.drop("hour_start_utc")), by(rows, stated="hour_start_utc")) == ("2025-01-01", "2024-02-29", "2025-01-01")
+    for bad in (rows.drop("hour_start_utc", "day"), rows):
+        with pytest.raises(ContractError):
+            by(bad, **({"stated": "absent"} if bad is rows else {}))
 
 
 def test_requests_see_history_only(spark):

@@ -36,6 +36,28 @@ def test_members_of_nested_archives_are_landed(spark, archives, tmp_path):
     assert table.filter("member = 'top.csv'").first().x == "9"
 
 
+def test_members_are_streamed_in_partitions(spark, tmp_path, monkeypatch):
+    """Stored inner archives are read in place, a partition a member; quotes, line feeds and empty fields hold."""
+    text = "a,b,c\r\n" + "".join(f'{k},"x ""{k}""\n,y",{k if k % 3 else ""}\r\n' for k in range(40_000))
+    inner = {f"m{k}.csv": text for k in range(3)} | {"none.csv": "c,b,a\n"}
+    stored, tight = packed(inner), io.BytesIO()
+    with zipfile.ZipFile(tight, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("tight.zip", stored)
+    (tmp_path / "one.zip").write_bytes(packed({"plain.zip": stored}))
+    (tmp_path / "two.zip").write_bytes(tight.getvalue())
+    members = landing.list_members(spark, str(tmp_path))
+    assert {(r.nested, r.in_place) for r in members.collect()} == {("plain.zip", True), ("tight.zip", False)}
+    rows = landing.scan(spark, members, ["c", "b"])
+    assert rows.rdd.getNumPartitions() == 5  # four members in place, and one compressed archive
+    facts = rows.agg(F.count("*").alias("n"), F.count("c").alias("c"), F.max("row_number").alias("last"), F.count_distinct("path", "member").alias("members")).first()
+    assert (facts.n, facts.c, facts.last, facts.members) == (240_000, 6 * 26_666, 40_000, 6)
+    assert rows.filter("row_number = 8 AND member = 'plain.zip::m1.csv'").first().b == 'x "7"\n,y'
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.zip").write_bytes(packed({"b.csv": "a,b\n1,2\n3\n"}))
+    with pytest.raises(Exception):
+        landing.scan(spark, landing.list_members(spark, str(tmp_path / "bad")), ["a", "b"]).count()
+
+
 def test_missing_columns_and_sources_fail(spark, archives, tmp_path):
     with pytest.raises(Exception, match="lacks columns"):
         landing.land(spark, landing.list_members(spark, str(archives)), ["x", "absent"], str(tmp_path / "bad"))
@@ -85,17 +107,34 @@ def doc(spark, value):
     return spark.createDataFrame([(json.dumps(value),)], "payload string")
 
 
+def doc_at(spark, *documents):
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in documents], "document long, payload string")
+
+
 def test_line_features_and_ways(spark):
-    lines = doc(spark, {"features": [{"geometry": {"type": "Point", "coordinates": []}}, {"geometry": {"type": "LineString", "coordinates": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]}}]})
-    segments = feeds.segments_of(feeds.line_features(lines), "feature", "coordinates").drop("feature")
-    assert [tuple(r) for r in segments.orderBy("ordinal_a").collect()] == [((1 << 20), 1.0, 2.0, (1 << 20) + 1, 3.0, 4.0), ((1 << 20) + 1, 3.0, 4.0, (1 << 20) + 2, 5.0, 6.0)]
+    line = lambda *p: {"geometry": {"type": "LineString", "coordinates": [list(x) for x in p]}}
+    lines = doc_at(spark, (7, {"features": [{"geometry": {"type": "Point", "coordinates": []}}, line((1.0, 2.0), (3.0, 4.0), (5.0, 6.0)), line((0.0, 0.0))]}),
+                   (2, {"features": [line((9.0, 9.0), (8.0, 8.0)), line((7.0, 7.0), (6.0, 6.0))]}))
+    segments = feeds.segments_of(feeds.line_features(lines))
+    assert [tuple(r) for r in segments.orderBy("ordinal_a").collect()] == [
+        (2, 0, 0, 9.0, 9.0, 1, 8.0, 8.0), (2, 1, 2, 7.0, 7.0, 3, 6.0, 6.0), (7, 1, 4, 1.0, 2.0, 5, 3.0, 4.0), (7, 1, 5, 3.0, 4.0, 6, 5.0, 6.0),
+    ]
     geometry = [{"lat": 1.0, "lon": 2.0}, {"lat": 3.0, "lon": 4.0}]
     way = lambda i, tags, g=geometry, kind="way": {"type": kind, "id": i, "tags": tags, "geometry": g}
-    ways = doc(spark, {"elements": [way(1, {"highway": "footway"}), way(2, {"highway": "motorway"}), way(3, {"highway": "path", "foot": "no"}), way(4, {"highway": "path", "access": "private"}),
-                                    way(5, {"highway": "path"}, geometry[:1]), way(6, {"highway": "path"}, kind="node")]})
+    ways = doc_at(spark, (0, {"elements": [way(1, {"highway": "footway"}), way(2, {"highway": "motorway"}), way(3, {"highway": "path", "foot": "no"}), way(4, {"highway": "path", "access": "private"}),
+                                           way(5, {"highway": "path"}, geometry[:1]), way(6, {"highway": "path"}, kind="node")]}))
     assert [(r.way_id, r.coordinates) for r in feeds.walkable_ways(ways).collect()] == [(1, [[2.0, 1.0], [4.0, 3.0]])]
 
 
+def test_a_line_of_more_than_a_million_vertices(spark):
+    n = 2**20 + 5
+    long = spark.range(1).select(F.lit(0).alias("document"), F.lit(0).alias("feature"), F.expr(f"transform(sequence(1, {n}), i -> array(CAST(i AS double), 0D))").alias("coordinates"))
+    next_ = spark.sql("SELECT 0 AS document, 1 AS feature, array(array(1D, 1D), array(2D, 2D)) AS coordinates")
+    got = feeds.segments_of(long.unionByName(next_))
+    facts = got.agg(F.count("*").alias("n"), F.count_distinct("ordinal_a").alias("a"), F.max("ordinal_b").alias("b"), F.count_if(F.col("lon_b") != F.col("lon_a") + 1).alias("gaps")).first()
+    assert (facts.n, facts.a, facts.b, facts.gaps) == (n, n, n + 1, 0)
+
+
 def test_feature_points(spark):
     square = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]
     shapes = [{"type": "Point", "coordinates": [5.0, 6.0]}, {"type": "Polygon", "coordinates": [square, square]}, {"type": "MultiPolygon", "coordinates": [[square], [square]]}, {"type": "LineString", "coordinates": square}]
