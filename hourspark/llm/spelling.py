@@ -26,7 +26,7 @@ SHORTEST, LONGEST = 2, 6  # grams, marks included
 LIST_WORDS = 32  # a gram in more words is extended
 DICTIONARY = 1 << 20  # frequent grams at most: the limit of a list grows with the vocabulary beyond that
 HELD = 150_000  # counts a worker holds before it hands them on
-WORDS_AT_ONCE = 10_000
+WORDS_AT_ONCE, WORDS_A_TASK = 10_000, 50_000
 FEWEST_CHARS, FEWEST_COUNT, RATIO, EVERY = 7, 2, 10, 31
 START, END = "<", ">"
 _NONE = (1 << 62, 0, 0)  # no gram: not rare
@@ -177,7 +177,8 @@ def near_pairs(vocabulary: DataFrame, list_words: int = LIST_WORDS) -> DataFrame
             flat = np.array([k for some in keys for k in some], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("word").take(place), batch.column("n").take(place)], ["key", "word", "n"])
 
-    lists = written(vocabulary.mapInArrow(look, "key long, word string, n long"), "lists")
+    parts = -(-vocabulary.count() // WORDS_A_TASK) or 1  # a small table, but each word takes a while
+    lists = written(vocabulary.repartition(parts, "word").mapInArrow(look, "key long, word string, n long"), "lists")
     one, other = (lists.select("key", F.col("word").alias(x), F.col("n").alias(f"n{x}"), F.length("word").alias(f"l{x}")) for x in "ab")
     may = (F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= 1)
     met = one.join(other.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & may & (F.levenshtein("a", "b", 1) == 1))
