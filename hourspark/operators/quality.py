@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourspark.functions.timestamps import epoch_micros, floor_hour, utc_to_local
+from hourspark.functions.timestamps import epoch_micros, floor_hour, from_epoch_micros, utc_to_local
+from hourspark.session import cut
 
 
 class ContractError(ValueError):
@@ -311,6 +313,29 @@ def enforce_features(df: DataFrame, names: list[str], diagnostics: list[str] = (
     return names
 
 
+def leaks_on_data(
+    build: Callable[[DataFrame], DataFrame], rows: DataFrame, keys: list[str], instant: str, value: str, names: list[str], moments: list[int],
+) -> DataFrame:
+    """(name, changed): in how many rows a column of ``build(rows)`` depends on values it could not know.
+
+    The table is built again with every value from a moment (epoch microseconds) on replaced.  A row at or before
+    the moment then may not differ in any column that is known before its hour, whatever its mark says.  Each
+    moment checks the rows at it against their own value and all earlier rows against the future.  ``keys`` and
+    ``instant`` name a row.
+    """
+    base = cut(build(rows).select(*keys, instant, *names))
+    counts = None
+    for us in moments:
+        moment = from_epoch_micros(F.lit(us))
+        other = (F.col(value) * 7 + 3).cast(rows.schema[value].dataType)
+        changed = rows.withColumn(value, F.when(F.col(instant) >= moment, other).otherwise(F.col(value)))
+        after = build(changed).filter(F.col(instant) <= moment).select(*keys, instant, *[F.col(c).alias(f"_{c}") for c in names])
+        met = base.join(after, [*keys, instant]).agg(*[F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(c) for c in names])
+        counts = met if counts is None else counts.unionByName(met)
+    summed = counts.agg(*[F.sum(c).alias(c) for c in names])
+    return summed.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("changed")) for c in names])).alias("c")).select("c.*")
+
+
 def resolve_role(df: DataFrame, aliases: list[str], role: str, required: bool = True, loose: bool = False) -> str | None:
     """The first alias that is a column of ``df``; ``loose`` compares letters and digits only."""
     plain = lambda name: re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_") if loose else name

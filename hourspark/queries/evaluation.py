@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourspark.functions.timestamps import MICROS_PER_HOUR, epoch_micros, floor_hour
 from hourspark.operators import metrics, quality, sampling
+from hourspark.operators.ordered import past_windows
 from hourspark.plans import features as feats
 from hourspark.plans import forecasting
 from hourspark.queries import Tables, query, rounded
 from hourspark.queries.timeseries import LAGGED, SPLIT_SQL, SPLITS, lagged_events
+from hourspark.session import cut
 
 SCORES = ["target_mean", "mae", "rmse", "poisson_deviance"]
 
@@ -157,17 +160,35 @@ def modelled(t: Tables) -> DataFrame:
     )
 
 
-@query("""WITH c AS (SELECT unnest(['user_id', 'hour', 'split', 'n', 'n_lag_1h', 'n_lag_24h', 'n_lag_168h', 'n_rolling_past_24h_mean', 'n_rolling_past_168h_mean', 'hour_sin', 'hour_cos', 'n_twice']) AS name),
-  p AS (SELECT count(*) AS rows FROM (SELECT DISTINCT user_id, date_trunc('hour', ts) FROM events))
-  SELECT name, name IN ('user_id', 'hour', 'split', 'n', 'n_twice') AS leaks, rows FROM c, p""")
+@query("""WITH p AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
+  m AS (SELECT hour AS moment FROM p GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 3),
+  x AS (SELECT m.moment, p.*, EXISTS (SELECT 1 FROM p b WHERE b.user_id = p.user_id AND b.hour = p.hour - INTERVAL 1 HOUR) AS lagged,
+      EXISTS (SELECT 1 FROM p b WHERE b.user_id = p.user_id AND b.hour >= m.moment AND b.hour <= p.hour + INTERVAL 1 HOUR AND b.hour >= p.hour - INTERVAL 1 HOUR) AS near,
+      EXISTS (SELECT 1 FROM p b WHERE b.user_id = p.user_id AND b.hour >= m.moment AND b.hour::DATE = p.hour::DATE) AS today FROM m JOIN p ON p.hour <= m.moment),
+  c AS (SELECT count(*) FILTER (WHERE hour = moment) AS n, count(*) FILTER (WHERE hour = moment AND lagged) AS n_twice, count(*) FILTER (WHERE near) AS n_around, count(*) FILTER (WHERE today) AS day_total,
+      0 AS n_lag_1h, 0 AS n_lag_24h, 0 AS n_lag_168h, 0 AS n_rolling_past_24h_mean, 0 AS n_rolling_past_168h_mean, 0 AS hour_sin, 0 AS hour_cos FROM x)
+  SELECT name, name NOT IN ('n', 'n_twice') AS marked, changed::BIGINT AS changed, name IN ('n', 'n_twice') OR changed > 0 AS leaks FROM (UNPIVOT c ON COLUMNS(*) INTO NAME name VALUE changed)""")
 def leakage_report(t: Tables) -> DataFrame:
-    """Which columns of the modelled hours may not be features, next to the number of hours."""
-    rows = modelled(t).withColumn("n_twice", F.col("n_lag_1h") + F.col("n"))
-    names = ["user_id", "hour", "split", "n", *FEATURES, "n_twice"]
-    leaks = F.array(*[F.lit(x) for x in quality.leaking_features(rows, names)])
-    count = rows.agg(F.count(F.lit(1)).alias("rows"))
-    named = count.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"), "rows")
-    return named.select("name", F.array_contains(leaks, F.col("name")).alias("leaks"), "rows")
+    """Which columns of the modelled hours may not be features: those without a mark, and those whose mark is wrong.
+
+    ``n_around`` and the joined ``day_total`` are marked as known in time and are not; only the data shows it.
+    """
+    rows = t.events.groupBy("user_id", floor_hour(F.col("ts").cast("timestamp_ntz")).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(rows)
+
+    def build(hours: DataFrame) -> DataFrame:
+        lagged = past_windows(hours, ["user_id"], "hour", "n").withColumns(feats.calendar_features(F.to_date("hour"), F.hour("hour"), "sunday"))
+        around = Window.partitionBy("user_id").orderBy(epoch_micros(F.col("hour"))).rangeBetween(-MICROS_PER_HOUR, MICROS_PER_HOUR)
+        total = hours.groupBy("user_id", F.to_date("hour").alias("day")).agg(F.sum("n").alias("day_total"))
+        out = lagged.withColumns({"n_twice": F.col("n_lag_1h") + F.col("n"), "day": F.to_date("hour")}).withColumn("n_around", F.avg("n").over(around))
+        return quality.mark_known(out.join(total, ["user_id", "day"]), ["n_around", "day_total"])
+
+    names = ["n", *FEATURES, "n_twice", "n_around", "day_total"]
+    busy = rows.groupBy("hour").count().orderBy(F.col("count").desc(), "hour").limit(3).select(epoch_micros(F.col("hour")).alias("us"))
+    unmarked = quality.leaking_features(build(rows), names)
+    found = quality.leaks_on_data(build, rows, ["user_id"], "hour", "n", names, [r.us for r in busy.collect()])
+    marked = ~F.col("name").isin(unmarked)
+    return found.select("name", marked.alias("marked"), "changed", (~marked | (F.col("changed") > 0)).alias("leaks"))
 
 
 @query()

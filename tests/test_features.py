@@ -150,3 +150,20 @@ def test_a_year_is_excused_only_when_all_its_dates_are(spark):
     quality.refuse_partial(whole)
     with pytest.raises(ContractError):
         quality.refuse_partial(part)
+
+
+def test_a_wrong_mark_shows_on_the_data(spark):
+    hours = stamped(spark, "u int, t string, n long", *[(u, f"2024-01-0{d} {h:02d}:00:00", 5 * u + h + d) for u in (1, 2) for d in (1, 2, 3) for h in range(0, 24, 1 + u)])
+    rows = hours.select("u", F.col("t").cast("timestamp_ntz").alias("h"), "n")
+
+    def build(x):
+        feed = x.groupBy("h").agg(F.sum("n").alias("feed"))  # of the same hour, not of the one before
+        early = x.groupBy((F.col("h") + F.expr("INTERVAL 1 HOUR")).alias("h")).agg(F.sum("n").alias("early"))
+        out = past_windows(x, ["u"], "h", "n").join(feed, "h").join(early, "h", "left")
+        return quality.mark_known(out.withColumn("twice", F.col("n") * 2), ["feed", "early"])
+
+    names = ["n_lag_1h", "n_rolling_past_24h_mean", "feed", "early", "twice"]
+    moments = [1704186000000000, 1704240000000000]  # 2024-01-02 09:00 and 2024-01-03 00:00
+    got = {r.name: r.changed for r in quality.leaks_on_data(build, rows, ["u"], "h", "n", names, moments).collect()}
+    assert quality.leaking_features(build(rows), names) == ["twice"]  # the marks alone name one of the two
+    assert got == {"n_lag_1h": 0, "n_rolling_past_24h_mean": 0, "feed": 3, "early": 0, "twice": 3}
