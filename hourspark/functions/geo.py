@@ -53,12 +53,6 @@ def cell_degrees(cell_m: float, reference_lat: float = REFERENCE_LAT) -> tuple[f
     return cell_m / METRES_PER_DEGREE, cell_m / (METRES_PER_DEGREE * math.cos(math.radians(reference_lat)))
 
 
-def floor_cell(lon: Column, lat: Column, cell_m: float, reference_lat: float = REFERENCE_LAT) -> tuple[Column, Column]:
-    """(row, col) of the square cell that holds a point."""
-    high, wide = cell_degrees(cell_m, reference_lat)
-    return F.floor(lat / F.lit(high)).cast("bigint"), F.floor(lon / F.lit(wide)).cast("bigint")
-
-
 def valid_coordinate(lat: Column, lon: Column) -> Column:
     """Finite and within range; false for null."""
     inside = lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)

@@ -268,6 +268,29 @@ def test_nearest_within_groups(spark):
     assert {r.site for r in space.nearest(p, s.limit(0), "site").collect()} == {None}
 
 
+def test_sites_in_boxes_equal_brute_force(spark, monkeypatch):
+    """A street, a town, a continent and empty boxes; 3,000 sites in towns: no box looks at all of its cells."""
+    rng = random.Random(12)
+    towns = [(rng.uniform(110, 155), rng.uniform(-44, -12)) for _ in range(12)]
+    sites = [(x + rng.gauss(0, 0.2), y + rng.gauss(0, 0.2)) for x, y in towns for _ in range(250)]
+    boxes = [(110.0, -45.0, 156.0, -10.0), (-180.0, -90.0, 180.0, 90.0), (0.0, 0.0, 1.0, 1.0)]
+    for x, y in towns:
+        w = rng.choice([0.02, 0.3, 3.0])
+        boxes.append((x - w, y - w / 2, x + w / 3, y + w))
+    told = spark.createDataFrame([(i, s, n, w, e, (s + n) / 2, (w + e) / 2) for i, (w, s, e, n) in enumerate(boxes)], "request_id int, south double, north double, west double, east double, mid_lat double, mid_lon double")
+    placed = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)] + [(9_999, None, 1.0)], "site int, lon double, lat double")
+    looked, cut = [], space.cut
+    monkeypatch.setattr(space, "cut", lambda df: looked.append(cut(df)) or looked[-1])
+    got = {}
+    for r in space.nearest_in_box(told, placed, "site", 12).collect():
+        got.setdefault(r.request_id, {})[r.rank] = r.site
+    for i, (w, s, e, n) in enumerate(boxes):
+        held = sorted((metres(((w + e) / 2, (s + n) / 2), p), j) for j, p in enumerate(sites) if w <= p[0] <= e and s <= p[1] <= n)[:12]
+        assert [got.get(i, {}).get(k + 1) for k in range(len(held))] == [j for _, j in held] and len(got.get(i, {})) == len(held)
+    assert len(looked) <= 2 + space.LEVELS
+    assert max(f.groupBy("request_id").count().agg({"count": "max"}).first()[0] for f in looked[2:]) < 300
+
+
 def test_snap_distance_and_limit(spark, square):
     nodes, _ = square
     asked = spark.createDataFrame([(1, 144.9601, -37.8101), (2, 151.2, -33.87)], "q int, lon double, lat double")
