@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from hourspark.functions.timestamps import floor_hour, iso_text
 from hourspark.operators import hourly
-from hourspark.operators.quality import Expectation, conform, duplicate_keys, violations
+from hourspark.operators.quality import Expectation, conform, duplicate_keys, enforce, violations
 from hourspark.plans import crowd, traffic
 from hourspark.queries import Tables, query, rounded
-from hourspark.schemas import CROWD_DDL, CROWD_KEY, struct_of
+from hourspark.queries.spatial import SUPPLIER_AT, spread_sql, suppliers
+from hourspark.schemas import CROWD_DDL, CROWD_KEY, SLOT_COLUMNS, struct_of
+from hourspark.session import cut
 
 # Order dates moved by this many days span all three source windows.
 SHIFT_DAYS = 8583
@@ -238,13 +240,67 @@ def wide_to_long(t: Tables) -> DataFrame:
     return rounded(long.groupBy("l_orderkey", "l_linenumber", "slot").agg(F.count(F.lit(1)).alias("rows"), F.max("reading").alias("reading")), "reading")
 
 
-@query("""SELECT s_suppkey AS site, count(*) AS rows FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal >= 0 GROUP BY 1""")
+@query(f"""WITH {DAYS_SQL}, v AS (SELECT site, unnest([s0, s1, s2, s3, s4, s5, s6, s7]) AS x FROM days JOIN supplier ON s_suppkey = site WHERE s_acctbal >= 0)
+  SELECT site, count(*) AS rows, count(*) FILTER (WHERE x >= 0) AS readings, sum(x)::BIGINT AS total FROM v GROUP BY 1""")
 def early_site_filter(t: Tables) -> DataFrame:
     """Ineligible sites are dropped by a semi join before the slots are expanded."""
     eligible = t.supplier.filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("scats_site"))
     kept = detector_days(t).join(eligible, "scats_site", "left_semi")
     long = hourly.slots_long(kept, ["scats_site"], SLOTS)
-    return long.filter("slot = 0").groupBy(F.col("scats_site").alias("site")).agg(F.count(F.lit(1)).alias("rows"))
+    return long.groupBy(F.col("scats_site").alias("site")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("reading") >= 0).alias("readings"), F.sum("reading").cast("bigint").alias("total")
+    )
+
+
+# The whole vehicle table ---------------------------------------------------------------------------
+
+_WEST, _SOUTH, _EAST, _NORTH = traffic.CITY_BOX
+
+
+def detector_feed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(raw days of 96 slots as text, signal places): shipped quantities of a supplier's odd and even lines."""
+    days = t.lineitem.groupBy("l_suppkey", F.to_date("l_shipdate").alias("day"), F.pmod("l_linenumber", F.lit(2)).alias("line")).agg(
+        F.sum("l_quantity").cast("bigint").alias("q"), F.count(F.lit(1)).alias("c")
+    )
+    slot = lambda i: (F.col("q") + F.lit(i) * (F.col("l_suppkey") % 7 + 1)) % 23 - 1
+    alarm = F.when(F.col("q") % 5 == 0, "1").when(F.col("q") % 11 == 0, "").otherwise("0")
+    raw = days.select(
+        F.concat(F.col("l_suppkey").cast("string"), F.lit(".0")).alias("NB_SCATS_SITE"), F.col("day").cast("string").alias("QT_INTERVAL_COUNT"),
+        F.col("line").cast("string").alias("NB_DETECTOR"), F.lit("R").alias("NM_REGION"), F.when(F.col("c") > 1, "95").otherwise("96").alias("CT_RECORDS"),
+        F.col("q").cast("string").alias("QT_VOLUME_24HOUR"), alarm.alias("CT_ALARM_24HOUR"), *[slot(i).cast("string").alias(c) for i, c in enumerate(SLOT_COLUMNS)],
+        F.lit("vic_scats").alias("source_dataset_id"), F.lit("days.csv").alias("member"),
+    )
+    places = suppliers(t).select(
+        F.col("site_id").cast("string").alias("SITE_NO"), F.lit("s").alias("SITE_NAME"), F.lit("x").alias("TYPE"), F.lit("m").alias("MUNICIPALITY"),
+        F.col("lat").cast("string").alias("LATITUDE"), F.col("lon").cast("string").alias("LONGITUDE"),
+    )
+    return raw, places
+
+
+@query(f"""WITH {COUNTLINE_SQL},
+  s AS (SELECT s_suppkey AS site, round({spread_sql("s_suppkey", *SUPPLIER_AT["lon"])}, 7) AS lon, round({spread_sql("s_suppkey", *SUPPLIER_AT["lat"])}, 7) AS lat FROM supplier),
+  d AS (SELECT l_suppkey AS site, l_shipdate::DATE AS day, l_linenumber % 2 AS line, sum(l_quantity)::BIGINT AS q, count(*) AS c FROM lineitem JOIN s ON s.site = l_suppkey
+    WHERE lon BETWEEN {_WEST} AND {_EAST} AND lat BETWEEN {_SOUTH} AND {_NORTH} GROUP BY 1, 2, 3),
+  h AS (SELECT *, unnest(range(96)) AS slot FROM d), r AS (SELECT *, slot // 4 AS hour, (q + slot * (site % 7 + 1)) % 23 - 1 AS x FROM h),
+  a AS (SELECT site, day, hour, sum(x) FILTER (WHERE x >= 0)::BIGINT AS v, count(*) FILTER (WHERE x < 0) AS missing, bool_or(c > 1) AS odd, bool_or(q % 5 = 0) AS alarm, bool_or(q % 5 <> 0 AND q % 11 = 0) AS unknown FROM r GROUP BY 1, 2, 3),
+  u AS (SELECT 'scats' AS label_source, 'scats:' || site AS observation_unit_id, day + to_hours(hour::BIGINT) - INTERVAL 10 HOUR AS at_utc, v, missing > 0 OR odd AS partial, alarm, missing, NOT alarm AND unknown AS alarm_unknown, FALSE AS derived FROM a WHERE v IS NOT NULL
+    UNION ALL SELECT 'transport_activity', 'ta:' || site, hour, CASE WHEN motor_rows = 0 THEN 0 ELSE motor_count END, FALSE, FALSE, 0, FALSE, motor_rows = 0 FROM hours)
+  SELECT label_source, observation_unit_id, count(*) AS hours, sum(v)::BIGINT AS vehicles, round(sum(ln(v + 1.0::DOUBLE)), 4) AS log_vehicles, count(*) FILTER (WHERE partial) AS partial_hours, count(*) FILTER (WHERE alarm) AS alarm_hours,
+    count(*) FILTER (WHERE alarm_unknown) AS unknown_alarms, sum(missing)::BIGINT AS missing_intervals, count(*) FILTER (WHERE derived) AS derived_hours, min(at_utc) AS first_hour, max(at_utc) AS last_hour FROM u GROUP BY 1, 2""")
+def traffic_canonical(t: Tables) -> DataFrame:
+    """The whole vehicle build: 96-slot detector days and five-minute countlines parsed, united, checked, and summed by unit."""
+    raw, lines = countline_feed(t)
+    feed, places = detector_feed(t)
+    detectors = traffic.detector_hours(traffic.detector_days(feed), traffic.signals(places))
+    table = cut(traffic.canonical([detectors, traffic.countline_hours(traffic.countline_rows(raw, lines))]))
+    checked = enforce(traffic.validated(table), traffic.source_rules(dt.date(1990, 1, 1), dt.date(2030, 12, 31)))
+    counted = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rounded(checked.groupBy("label_source", "observation_unit_id").agg(
+        F.count(F.lit(1)).alias("hours"), F.sum("vehicle_count").alias("vehicles"), F.sum("log1p_vehicle_count").alias("log_vehicles"),
+        counted(F.col("quality_partial_flag")).alias("partial_hours"), counted(F.col("quality_alarm_flag")).alias("alarm_hours"),
+        F.count_if(F.col("quality_alarm_flag").isNull()).alias("unknown_alarms"), F.sum("quality_missing_interval_count").alias("missing_intervals"),
+        counted(F.col("ta_derived_zero")).alias("derived_hours"), F.min("hour_start_utc").alias("first_hour"), F.max("hour_start_utc").alias("last_hour"),
+    ), "log_vehicles", digits=4)
 
 
 @query("""SELECT o_orderpriority AS source, count(*) AS rows, count(*) FILTER (WHERE o_orderdate::DATE <> DATE '1998-01-01' AND o_orderstatus IS DISTINCT FROM 'F') AS source_semantics,

@@ -208,3 +208,35 @@ def tree_fit_predict(t: Tables) -> DataFrame:
     scores = metrics.score(forecasting.predict(model, rows.filter("split = 'test'"), FEATURES), "n", "prediction")
     ranked = F.lit(" > ".join(name for name, _ in forecasting.ranking(model, FEATURES)))
     return rounded(scores.withColumn("ranking", ranked), *SCORES)
+
+
+# Models whose answers are known: a feature with two values splits the training rows into two groups, and both
+# models must return what the group says: its mean, or the mean of its logarithms.
+GROUP_SQL = f"""WITH p AS ({PREDICTED}), g AS (SELECT *, (dayofweek(hour) IN (0, 6))::INTEGER AS is_weekend FROM p)"""
+
+
+def grouped(t: Tables) -> DataFrame:
+    rows = predicted_events(t).drop("prediction")
+    return quality.mark_known(rows.withColumn("is_weekend", F.dayofweek("hour").isin(1, 7).cast("int")), ["is_weekend"], quality.ALWAYS)
+
+
+@query(f"""{GROUP_SQL}, m AS (SELECT is_weekend, avg(n) AS mean FROM g WHERE split = 'train' GROUP BY 1)
+  SELECT split, is_weekend, count(*) AS rows, round(max(mean), 4) AS prediction FROM g JOIN m USING (is_weekend) GROUP BY 1, 2""")
+def poisson_group_means(t: Tables) -> DataFrame:
+    """Poisson regression on one indicator, without a ridge: predictions are the training means of its groups."""
+    rows = grouped(t)
+    model = forecasting.fit_poisson(rows.filter("split = 'train'"), ["is_weekend"], "n", ridge=0.0)
+    done = forecasting.predict(model, rows, ["is_weekend"])
+    return rounded(done.groupBy("split", "is_weekend").agg(F.count(F.lit(1)).alias("rows"), F.max("prediction").alias("prediction")), "prediction", digits=4)
+
+
+@query(f"""{GROUP_SQL}, m AS (SELECT is_weekend, exp(avg(ln(n + 1.0::DOUBLE))) - 1 AS mean FROM g WHERE split = 'train' GROUP BY 1)
+  SELECT split, is_weekend, count(*) AS rows, round(max(mean), 4) AS prediction, 'is_weekend' AS ranking FROM g JOIN m USING (is_weekend) GROUP BY 1, 2""")
+def tree_group_means(t: Tables) -> DataFrame:
+    """One tree of one split on the same indicator, and its ranking."""
+    rows = grouped(t)
+    model = forecasting.fit_trees(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), ["is_weekend"], "n", rounds=1, depth=1)
+    done = forecasting.predict(model, rows, ["is_weekend"])
+    ranked = F.lit(" > ".join(name for name, _ in forecasting.ranking(model, ["is_weekend"])))
+    out = done.groupBy("split", "is_weekend").agg(F.count(F.lit(1)).alias("rows"), F.max("prediction").alias("prediction"))
+    return rounded(out.withColumn("ranking", ranked), "prediction", digits=4)

@@ -137,7 +137,14 @@ def biased_paths(t: Tables) -> DataFrame:
     return rounded(requests.join(ends, "request_id").select("start_node", "end_node", "cost"), "cost")
 
 
-@query()
+_COST = "p.cost + e.w * (1 + 1.4::DOUBLE * (1 - e.shade))"
+
+
+@query(f"""WITH RECURSIVE {TRADE_SQL}, sp(s, n, cost, metres, lit, path) USING KEY (s, n) AS (
+    SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, n_nationkey::VARCHAR FROM nation
+    UNION SELECT p.s, e.dst, min({_COST}), arg_min(p.metres + e.w, {_COST}), arg_min(p.lit + e.w * e.shade, {_COST}), arg_min(p.path || '-' || e.dst, {_COST})
+      FROM sp p JOIN e ON e.src = p.n LEFT JOIN recurring.sp r ON r.s = p.s AND r.n = e.dst WHERE r.cost IS NULL OR {_COST} < r.cost GROUP BY 1, 2)
+  SELECT s * 1000 + n AS request_id, path, round(cost, 6) AS cost, round(metres, 6) AS metres, round(lit / nullif(metres, 0), 6) AS shade_avg FROM sp""")
 def route_paths(t: Tables) -> DataFrame:
     """The node sequences of the same routes with their length and mean shade."""
     requests, edges = cut(nation_requests(t)), trade(t)
