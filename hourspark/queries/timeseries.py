@@ -11,8 +11,10 @@ from hourspark.functions.holidays import holiday_calendar
 from hourspark.functions.labels import mode_of
 from hourspark.functions.timestamps import epoch_micros, floor_hour, plus
 from hourspark.operators import hourly, ordered
+from hourspark.operators.quality import conform
 from hourspark.plans import features as feats
 from hourspark.queries import Tables, query, rounded
+from hourspark.schemas import CROWD_DDL, struct_of
 
 HOURLY = "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2"
 SPLITS = [("train", None, dt.date(2024, 1, 18)), ("validation", None, dt.date(2024, 1, 24)), ("test", None, dt.date(2024, 1, 31))]
@@ -274,3 +276,47 @@ def empirical_cdf(t: Tables) -> DataFrame:
     asked = ordered.latest(t.events.select("event_type", "user_id", "value", "ts", "event_id"), ["event_type", "user_id"], ["ts", "event_id"])
     found = ordered.step_lookup(reference, asked.select("event_type", "user_id", "value"), ["event_type"], "value", "score", 10.0)
     return found.select("event_type", "user_id", "value", F.round(F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
+
+
+CROWD_FEATURES_SQL = f"""
+  w AS (SELECT date_trunc('hour', ts) + INTERVAL 11 HOUR AS hour, avg(CASE WHEN event_type <> 'error' THEN value END) AS warm, avg(CASE WHEN event_type <> 'error' THEN value / 2 END) AS dew,
+    avg(sin(radians(value))) AS wind_sin, avg(cos(radians(value))) AS wind_cos, count(*) AS observations FROM events GROUP BY 1),
+  c AS (SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour, median(value) AS micro, median(value * 2) AS noise, count(DISTINCT user_id) AS devices, count(*) AS readings,
+    sum(CASE WHEN event_type = 'click' THEN value END) AS vehicles, sum(CASE WHEN event_type = 'view' THEN value END) AS cyclists FROM events GROUP BY 1)"""
+
+
+@query(f"""WITH {CROWD_FEATURES_SQL.lstrip()}, h AS ({LAGGED})
+  SELECT user_id::INTEGER AS sensor_id, h.hour AS observed_at_local, n AS pedestrian_flow, h.hour - INTERVAL 1 HOUR AS feature_asof_local, 'train' AS split, isodow(h.hour) >= 6 AS is_weekend,
+    CASE h.hour::DATE WHEN DATE '2024-01-01' THEN 'New Year''s Day' WHEN DATE '2024-01-26' THEN 'Australia Day' END AS public_holiday_name,
+    n_lag_1h AS flow_lag_1h, n_lag_168h AS flow_lag_168h, round(n_rolling_past_24h_mean, 6) AS flow_rolling_past_24h_mean, round(n_rolling_past_168h_stddev, 6) AS flow_rolling_past_168h_std,
+    coalesce(n_rolling_past_168h_count, 0) AS flow_rolling_past_168h_count, round(warm, 6) AS nasa_temperature_c, round(dew, 6) AS nasa_dewpoint_c, round(wind_sin, 6) AS nasa_wind_direction_sin,
+    round(wind_cos, 6) AS nasa_wind_direction_cos, observations AS nasa_weather_observation_count, round(micro, 6) AS micro_temperature_c_lag_1h, round(noise, 6) AS micro_noise_db_lag_1h,
+    NULL::DOUBLE AS micro_pm25_ug_m3_lag_1h, devices AS micro_active_device_count_lag_1h, readings AS micro_reading_count_lag_1h, round(vehicles, 4) AS transport_vehicle_count_lag_1h,
+    round(cyclists, 4) AS transport_cyclist_count_lag_1h
+  FROM h LEFT JOIN w USING (hour) LEFT JOIN c USING (hour)""")
+def crowd_features(t: Tables) -> DataFrame:
+    """The whole pedestrian feature build: lags, calendar, holidays, weather, and the late micro-climate and class feeds."""
+    hours = hourly_events(t).withColumnRenamed("hour", "observed_at_local")
+    table = conform(hours.select(
+        F.concat_ws(":", "user_id", "observed_at_local").alias("observation_key"), F.lit("events").alias("source_dataset_id"), F.col("user_id").cast("int").alias("sensor_id"),
+        F.to_date("observed_at_local").alias("local_date"), F.hour("observed_at_local").alias("local_hour"), "observed_at_local", F.col("n").alias("pedestrian_flow"),
+    ), struct_of(CROWD_DDL))
+    stamp = F.concat(F.substring(F.col("ts").cast("timestamp_ntz").cast("string"), 1, 19), F.lit("Z"))
+    reading = F.when(F.col("event_type") == "error", F.lit(-999.0)).otherwise(F.col("value"))
+    weather = t.events.select(
+        stamp.alias("timestamp_utc"), F.col("value").alias("WD10M"), reading.alias("T2M"), F.when(reading == -999.0, reading).otherwise(reading / 2).alias("T2MDEW"),
+        *[F.lit(None).cast("double").alias(c) for c in feats.WEATHER_FEATURES if not c.startswith("T2M")],
+    )
+    climate = t.events.select(F.col("ts").cast("timestamp_ntz").alias("timestamp_local"), F.col("user_id").cast("string").alias("device_id"), F.col("value").alias("airtemperature"), (F.col("value") * 2).alias("noise"))
+    kinds = F.when(F.col("event_type") == "click", "Car").when(F.col("event_type") == "view", "cyclist").otherwise("thing")
+    classes = t.events.select(stamp.alias("from"), kinds.alias("class"), F.col("value").cast("string").alias("count"), F.col("user_id").alias("countLocationId"))
+    bounds = t.events.agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
+    whole = feats.crowd_table(table, holiday_calendar(bounds, "lo", "hi"), feats.weather_feed(weather))
+    out = feats.recent_table(whole, [feats.microclimate_feed(climate), feats.transport_feed(classes)])
+    six = ["flow_rolling_past_24h_mean", "flow_rolling_past_168h_std", "nasa_temperature_c", "nasa_dewpoint_c", "nasa_wind_direction_sin", "nasa_wind_direction_cos", "micro_temperature_c_lag_1h", "micro_noise_db_lag_1h"]
+    four = ["transport_vehicle_count_lag_1h", "transport_cyclist_count_lag_1h"]
+    kept = out.select(
+        "sensor_id", "observed_at_local", "pedestrian_flow", "feature_asof_local", "split", "is_weekend", "public_holiday_name", "flow_lag_1h", "flow_lag_168h", "flow_rolling_past_168h_count",
+        "nasa_weather_observation_count", "micro_pm25_ug_m3_lag_1h", "micro_active_device_count_lag_1h", "micro_reading_count_lag_1h", *six, *four,
+    )
+    return rounded(rounded(kept, *six), *four, digits=4)
