@@ -38,12 +38,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = run_dir(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path  # for ``done_with``
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def done_with(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose readers have all been written themselves."""
+    for table in tables:
+        jvm, context = table.sparkSession._jvm, table.sparkSession._jsc
+        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(columns: list[str], wish: str) -> str:
     """``wish``, with underscores until it clashes with none of ``columns`` (case aside)."""
     taken = {c.lower() for c in columns}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import raw_text, row_order, small_batches, written
+from hourspark.llm.common import done_with, raw_text, row_order, small_batches, written
 
 WINDOW = 20
 SEED_WORDS = 8
@@ -221,16 +221,20 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with_key = keyed.withColumn("key", F.unhex(F.md5(F.coalesce("raw", F.lit(b"")))))
     texts = written(with_key.mapInArrow(lambda b: _digests(b, window), "o long, k long, key binary, n_words long, sha binary, seeds array<struct<h: long, pos: int, sum: long>>"), "texts")
     firsts = written(texts.groupBy("key").agg(F.min("o").alias("first")), "firsts")
-    marked = texts.join(firsts, "key")
-    leads = marked.where("o = first")
+    leads = texts.join(firsts, "key").where("o = first")
     repeated = written(leads.select(F.explode("seeds.h").alias("h")).groupBy("h").count().where("count > 1").select("h"), "repeated")
     seeds = written(leads.select("o", "k", F.explode("seeds").alias("s")).select("o", "k", "s.*").join(repeated, "h"), "seeds")
+    marked = written(texts.join(firsts, "key").select("o", "k", "n_words", "sha", (F.col("o") > F.col("first")).alias("copy")), "marked")
+    done_with(texts, firsts, repeated)
     place = F.struct(F.col("o").alias("ro"), F.col("k").alias("rk"), F.col("pos").alias("rpos"), F.col("sum").alias("rsum"))
-    blocks = seeds.groupBy("h").agg(F.min(place).alias("ref"))
+    # First places are a table of their own, so that the join of a very common seed's rows can be split.
+    blocks = written(seeds.groupBy("h").agg(F.min(place).alias("ref")), "first-places")
     looked = seeds.join(blocks, "h").select("o", "k", F.struct("pos", "sum", "ref.ro", "ref.rk", "ref.rpos", "ref.rsum").alias("s"))
-    looked = looked.groupBy("o", "k").agg(F.collect_list("s").alias("seeds"))
-    parsed = keyed.join(written(looked, "looked"), ["o", "k"]).mapInArrow(lambda b: _parse(b, window), f"o long, k long, factors {_FACTORS}, windows array<struct<pos: int, h1: long, h2: long>>")
+    looked = written(looked.groupBy("o", "k").agg(F.collect_list("s").alias("seeds")), "looked")
+    done_with(seeds, blocks)
+    parsed = keyed.join(looked, ["o", "k"]).mapInArrow(lambda b: _parse(b, window), f"o long, k long, factors {_FACTORS}, windows array<struct<pos: int, h1: long, h2: long>>")
     parsed = written(parsed, "parsed")
+    done_with(looked)
     alone = parsed.select("o", "k", F.explode("windows").alias("w")).select("o", "k", "w.*")
     place = F.struct(F.col("o").alias("ro"), F.col("k").alias("rk"), F.col("pos").alias("rstart"))
     met = written(alone.groupBy("h1", "h2").agg(F.min(place).alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "ref.*"), "met")
@@ -238,7 +242,9 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     single = F.struct(F.col("pos").alias("start"), "ro", "rk", "rstart") if references else F.col("pos")
     singles = later.groupBy("o", "k").agg(F.collect_list(single).alias("singles"))
     spans = parsed.select("o", "k", "factors").join(singles, ["o", "k"], "left").where("size(factors) > 0 OR singles IS NOT NULL")
-    return marked.select("o", "k", "n_words", "sha", (F.col("o") > F.col("first")).alias("copy")), written(spans, "spans")
+    spans = written(spans, "spans")
+    done_with(parsed, met)
+    return marked, spans
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
