@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourspark.llm import chat, decontaminate, exact_copies, mixing, quality, search, sharding, simhash, spelling, substring, token_counts, token_files, toxicity
-from hourspark.llm.common import row_order, written
+from hourspark.llm.common import written
 from hourspark.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,20 +87,30 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals kept up to date by deltas: all documents are counted, recounted by a newer tokenizer version,
     counted by a second tokenizer, and copies and empty documents deleted; one batch is delivered twice."""
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
+    return rolled_up(table(spark, sf_dir, "documents"))
+
+
+def rolled_up(docs: DataFrame) -> DataFrame:
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     feeds = F.length(text) - F.length(F.translate(text, "\n", ""))
-    counted = docs.select(row_order().alias("o"), "doc_id", "source", "lang", mixing.word_count().alias("words"), F.length(text).alias("chars"), feeds.alias("feeds"), F.md5(text).alias("key"))
+    rows = docs.select("doc_id", "source", "lang", mixing.word_count().alias("words"), F.length(text).alias("chars"), feeds.alias("feeds"), F.md5(text).alias("text_key"))
+    told = F.max(F.struct("source", "lang", "words", "chars", "feeds")).alias("t")
+    counted = rows.groupBy("doc_id", "text_key").agg(told, F.count(F.lit(1)).alias("copies")).select("doc_id", "text_key", "t.*", "copies")
     counted = written(counted, "counted")
-    firsts = counted.groupBy("key").agg(F.min("o").alias("first"))
-    dropped = written(counted.join(firsts, "key").where("o > first OR words = 0").select("doc_id", "source", "lang"), "dropped")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")  # null ids come last
+    firsts = written(counted.groupBy("text_key").agg(F.min(place).alias("first")), "firsts")
+    ranked = written(counted.join(firsts, "text_key").withColumn("leads", place == F.col("first")), "ranked")
+    dropped = ranked.where("NOT leads OR words = 0")
+    single = ranked.where("leads AND words > 0 AND copies > 1").withColumn("copies", F.lit(1).cast("long"))
     old, new, other = "words-1", "words-2", "chars-1"
-    recounted = token_counts.puts(counted, old, F.lit(0), "delete").unionByName(token_counts.puts(counted, new, F.col("words") + F.col("feeds")))
+    words_2, chars_1 = F.col("words") + F.col("feeds"), F.floor((F.col("chars") + 3) / 4)
+    recounted = token_counts.puts(counted, old, F.lit(0), "delete").unionByName(token_counts.puts(counted, new, words_2))
     gone = token_counts.puts(dropped, new, F.lit(0), "delete").unionByName(token_counts.puts(dropped, other, F.lit(0), "delete"))
+    gone = gone.unionByName(token_counts.puts(single, new, words_2)).unionByName(token_counts.puts(single, other, chars_1))
     folder = run_dir(spark, "token-counts")
     batches = [
         ("1-load", token_counts.puts(counted, old, F.col("words"))), ("2-recount", recounted),
-        ("3-second", token_counts.puts(counted, other, F.floor((F.col("chars") + 3) / 4))), ("2-recount", recounted), ("4-drop", gone),
+        ("3-second", token_counts.puts(counted, other, chars_1)), ("2-recount", recounted), ("4-drop", gone),
     ]
     for batch, changes in batches:
         token_counts.commit(spark, folder, batch, changes)
