@@ -20,6 +20,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5  # words to take, as a multiple of all words
 MOST = 2  # copies of a document at most
 SLICE_ROWS = 20_000
+MOST_PARTS = 1_000  # ranges of a step towards the end of the budget
 SEED = 20_240_501
 
 
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def _last_taken(queue: DataFrame, sources: DataFrame, slices: int):  # type: ignore[no-untyped-def]
     """The last row of the global order that the total budget holds, None if it holds all.
 
-    Only the slice of finish times in which the budget ends is ordered row by row.
+    Only about SLICE_ROWS rows around the end of the budget are ordered row by row.
     """
     budget = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0] + 0.5
     cut = queue.withColumn("slice", F.floor(F.col("finish") * slices))
@@ -121,11 +122,24 @@ def _last_taken(queue: DataFrame, sources: DataFrame, slices: int):  # type: ign
     if over is None:
         return None
     order = ["finish", "s", "turn", "o", "key", "size"]
-    ordered = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = cut.where((F.col("slice") <= over["slice"]) & (F.col("slice") >= over["slice"] - 1))
+    inside = cut.where((F.col("slice") <= over["slice"]) & (F.col("slice") >= over["slice"] - 1)).select(*order)
     start = over["upto"] - over["words"] - (sums.where(F.col("slice") == over["slice"] - 1).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
-    held = inside.withColumn("upto", F.sum("size").over(ordered) + F.lit(start)).where(F.col("upto") <= budget)
-    return held.orderBy(*(F.col(c).desc() for c in order)).first() or {"finish": -1.0, "s": "", "turn": 0, "o": 0, "key": "", "size": 0}
+    last = None
+    while True:  # many sources may end at the same time: cut by the whole order until few rows are left
+        inside = written(inside, "edge")
+        rows = inside.count()
+        if rows <= SLICE_ROWS:
+            break
+        parts = min(MOST_PARTS, -(-2 * rows // SLICE_ROWS))
+        dealt = written(inside.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "edge-parts")
+        for part in dealt.groupBy("part").agg(F.sum("size").alias("words"), F.max(F.struct(*order)).alias("last")).orderBy("part").collect():
+            if start + part["words"] > budget:
+                break
+            start, last = start + part["words"], part["last"]
+        inside = dealt.where(F.col("part") == part["part"]).drop("part")
+    upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(start)
+    held = inside.withColumn("upto", upto).where(F.col("upto") <= budget).drop("upto")
+    return held.orderBy(*(F.col(c).desc() for c in order)).first() or last or {"finish": -1.0, "s": "", "turn": 0, "o": 0, "key": "", "size": 0}
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
