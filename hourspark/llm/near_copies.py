@@ -1,28 +1,32 @@
 """Near copies by word shingles: all pairs of Jaccard similarity SIMILARITY or more, found exactly by prefixes.
 
 Two sets that are so similar share an element of their prefixes, the first elements in any one order of all
-shingles.  The order only decides the cost: shingles that a sample of texts shares come last.
+shingles.  The order only decides the cost.  A first order puts shingles that a sample of texts shares last; texts
+that meet in very full blocks all the same are dealt again in the order of the exact counts among them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import free_name, raw_text, row_order, small_batches, written
+from hourspark.llm.common import done_with, free_name, raw_text, row_order, small_batches, written
 from hourspark.llm.components import rooted
 
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # as a fraction, so that limits are exact
-SAMPLE = 4_000  # texts whose shared shingles are put last, about
-SHARED = 200_000  # such shingles, at most; the others keep their places by hash
-# In a block with more texts, those that one link to the block's first text joins are not paired with each other.
+SAMPLE = 20_000  # texts whose shared shingles are put last, about
+SHARED = 400_000  # such shingles, at most; the others keep their places by hash
+TRIED = 3  # texts that a text is compared with first
+# In a block of more texts, pairs that are not joined yet meet by size.
 PAIRED_BLOCK = 64
+DEALT_BLOCK = 4_096  # the texts of a block fuller than this are dealt again by exact counts
+BANDS = 16  # size classes to a doubling of the size, in full blocks
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -39,15 +43,46 @@ def prefix_size(n: int) -> int:
     return n - -(-part * n // whole) + 1 if n else 0
 
 
-def _marked(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """``docs`` with the hash ``name`` of each text's shingle set."""
+def sketch(items: np.ndarray) -> np.ndarray:
+    """A bit for each of a power of two of classes (one for each item, about): whether an odd number falls in it."""
+    longs = 1 << max(0, (len(items) - 1).bit_length() - 6)
+    odd = np.bincount(items & (64 * longs - 1), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-    @F.pandas_udf("long")
-    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _shared(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts hold, ascending, and how many hold them."""
+    every = max(1, -(-docs.count() // SAMPLE))
+    raws = docs.select(raw_text(text).alias("raw")).where(F.pmod(F.xxhash64("raw"), F.lit(every)) == 0).distinct()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"item": np.concatenate([np.zeros(0, np.int64), *map(shingles, batch["raw"])])})
+
+    seen = raws.mapInPandas(cut, "item long").groupBy("item").count().where("count > 1")
+    rows = seen.orderBy(F.col("count").desc(), "item").limit(SHARED).toPandas().sort_values("item")
+    return rows["item"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+
+
+def _marked(docs: DataFrame, text: str, own: str) -> DataFrame:
+    """``docs`` with a struct ``own`` of the hash ``node`` of each text's shingle set, its size, prefix and sketch."""
+    shared = docs.sparkSession.sparkContext.broadcast(_shared(docs, text))  # bounded by SHARED
+
+    @F.pandas_udf("node long, n int, prefix array<long>, bits array<long>")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names, counts = shared.value
         for batch in batches:
-            yield pd.Series(np.array([xxhash.xxh64_intdigest(shingles(x).tobytes()) for x in batch], np.uint64).view(np.int64))
+            rows = []
+            for items in map(shingles, batch):
+                late = np.zeros(len(items), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, items), len(names) - 1)
+                    late = np.where(names[at] == items, counts[at], 0)
+                first = items[np.lexsort((items, late))[: prefix_size(len(items))]]
+                rows.append((np.array([xxhash.xxh64_intdigest(items.tobytes())], np.uint64).view(np.int64)[0], len(items), first, sketch(items)))
+            yield pd.DataFrame(rows, columns=["node", "n", "prefix", "bits"])
 
-    return docs.withColumn(name, marks(raw_text(text)))
+    return docs.withColumn(own, marks(raw_text(text)))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -61,42 +96,66 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(cut, "node long, n int, items array<long>")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(item, node, n, at): the prefix of each set, with places from 0."""
-    spark = sets.sparkSession
-    every = max(1, -(-sets.count() // SAMPLE))
-    seen = sets.where(F.pmod("node", F.lit(every)) == 0).select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1")
-    rows = seen.orderBy(F.col("count").desc(), "item").limit(SHARED).toPandas().sort_values("item")
-    shared = spark.sparkContext.broadcast((rows["item"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)))  # bounded by SHARED
+def _met(dealt: DataFrame) -> DataFrame:
+    """The rows of ``dealt`` (item, node, n, at) whose item several of them have, with their ``count``."""
+    return dealt.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("item"))).where("count > 1")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, counts = shared.value
-        for batch in batches:
-            parts = []
-            for node, items in zip(batch["node"], batch["items"]):
-                at = np.minimum(np.searchsorted(names, items), max(0, len(names) - 1))
-                late = np.where(names[at] == items, counts[at], 0) if len(names) else np.zeros(len(items), np.int64)
-                first = items[np.lexsort((items, late))[: prefix_size(len(items))]]
-                parts.append((first, np.full(len(first), node), np.full(len(first), len(items)), np.arange(len(first))))
-            columns = (np.concatenate(c) if parts else np.zeros(0, np.int64) for c in zip(*parts))
-            yield pd.DataFrame(dict(zip(("item", "node", "n", "at"), columns)), columns=["item", "node", "n", "at"])
 
-    return sets.select("node", "items").mapInPandas(cut, "item long, node long, n int, at int")
+def _exact_prefixes(sets: DataFrame) -> DataFrame:
+    """(item, node, n, at) of the prefixes of ``sets`` in the order of how many of them hold an item.
 
+    Items of one set alone come first and meet nobody, so only the others are ranked, behind their number.
+    """
+    part, whole = SIMILARITY
+    held = sets.select("node", "n", F.explode("items").alias("item"))
+    held = _met(held)
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    at = alone + F.row_number().over(Window.partitionBy("node").orderBy("count", "item")) - 1
+    size = F.col("n") - F.ceil(F.lit(part) * F.col("n") / F.lit(whole)) + 1
+    return held.withColumn("at", at.cast("int")).where(F.col("at") < size).select("item", "node", "n", "at")
 
-def _may_be_similar():  # type: ignore[no-untyped-def]
+
+def _may_be_similar(l: str = "l", r: str = "r") -> Column:
     """Of rows l and r that meet at their first common item: whether the sizes and the items left can suffice."""
     part, whole = SIMILARITY
-    left = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")).cast("long")
-    sizes = part * F.greatest("l.n", "r.n").cast("long") <= whole * F.least("l.n", "r.n").cast("long")
-    return sizes & ((part + whole) * left >= part * (F.col("l.n").cast("long") + F.col("r.n")))
+    n, m = (F.col(f"{x}.n").cast("long") for x in (l, r))
+    left = F.least(n - F.col(f"{l}.at"), m - F.col(f"{r}.at"))
+    return (part * F.greatest(n, m) <= whole * F.least(n, m)) & ((part + whole) * left >= part * (n + m))
+
 
+def _first_tries(met: DataFrame) -> DataFrame:
+    """For each text up to TRIED pairs, with the first texts of its blocks."""
+    rows = met.select("item", F.struct("node", "n", "at").alias("r"))
+    rows = rows.withColumn("l", F.min("r").over(Window.partitionBy("item"))).where((F.col("l.node") != F.col("r.node")) & _may_be_similar())
+    pairs = rows.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    return pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("k") <= TRIED).drop("k")
 
-def _pairs(left: DataFrame, right: DataFrame, condition) -> DataFrame:  # type: ignore[no-untyped-def]
-    met = left.alias("l").join(right.alias("r"), (F.col("l.item") == F.col("r.item")) & condition & _may_be_similar())
+
+def _named(met: DataFrame) -> DataFrame:
     return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
+def _pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    return _named(left.alias("l").join(right.alias("r"), (F.col("l.item") == F.col("r.item")) & condition & _may_be_similar()))
+
+
+def _by_size(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows of full blocks that are not joined yet, met by size: the larger text looks for the smaller.
+
+    A row with ``n - at`` items left can only be similar to texts of at least part/whole of its size and at most
+    ``most``, so rows late in their prefix look into few size classes or none.
+    """
+    part, whole = SIMILARITY
+    band = lambda n: F.floor(F.log2(n.cast("double")) * BANDS)
+    most = F.floor((part + whole) * (F.col("n") - F.col("at")) / part) - F.col("n")
+    least = F.ceil(F.lit(part) * F.col("n") / F.lit(whole))
+    asks = left.withColumn("most", F.least(most, F.col("n"))).withColumn("least", least).where("most >= least")
+    asks = asks.withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.col("most")))))
+    held = right.where(most >= F.col("n")).withColumn("band", band(F.col("n")))
+    meets = (F.col("l.item") == F.col("r.item")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.n") >= F.col("r.n")) & (F.col("l.root") != F.col("r.root"))
+    return _named(asks.alias("l").join(held.alias("r"), meets & _may_be_similar()))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     part, whole = SIMILARITY
     a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
@@ -104,31 +163,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where((part + whole) * both >= part * (F.col("na").cast("long") + F.col("nb"))).select("a", "b")
 
 
-def similar_links(sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that join all of ``sets`` (node, n, items; distinct) which similar pairs join.
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose sketches do not rule them out: each differing bit is an item of one set alone.
 
-    Every link is a similar pair.  In a block of texts that share a prefix item, at most PAIRED_BLOCK are paired
-    all with all.  In a fuller one each goes to the first alone; after that only texts that are not yet joined
-    are paired, the ones outside a block's largest component with all others.
+    Sizes of similar sets differ by a quarter at most, so their sketches by one doubling; the longer one is folded.
     """
-    dealt = written(_prefixes(sets), "prefixes")
-    sizes = written(dealt.groupBy("item").count().where("count > 1"), "blocks")
-    met = written(dealt.join(sizes, "item"), "met")
-    few, many = met.where(F.col("count") <= PAIRED_BLOCK), met.where(F.col("count") > PAIRED_BLOCK)
-    pairs = _pairs(few, few, F.col("l.node") < F.col("r.node"))
-    first = many.groupBy("item").agg(F.min(F.struct("node", "n", "at")).alias("f")).select("item", "f.*")
-    pairs = written(pairs.unionByName(_pairs(first, many, F.col("l.node") < F.col("r.node"))).distinct(), "pairs")
-    links = written(_verified(pairs, sets), "similar")
-    if not many.limit(1).count():
-        return links
+    part, whole = SIMILARITY
+    a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}")) for x in "ab")
+    least = F.least(F.size("sa"), F.size("sb"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda s: F.when(F.size(s) > least, F.zip_with(F.slice(s, 1, least), F.slice(s, least + 1, least), xor)).otherwise(F.col(s))
+    apart = F.aggregate(F.zip_with(fold("sa"), fold("sb"), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+    may = (part + whole) * apart.cast("long") <= (whole - part) * (F.col("na").cast("long") + F.col("nb"))
+    return pairs.join(a, "a").join(b, "b").where(may).select("a", "b")
+
+
+def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` that join all of ``classes`` (node, n, prefix, bits; distinct) which similar pairs join.
+
+    ``sets_of`` gives (node, n, items) for a table of nodes; only texts that meet others are asked for.  Every link
+    is a similar pair.  Texts meet in blocks of a common prefix item; those of blocks beyond DEALT_BLOCK are dealt
+    into new blocks first.  A text is compared with the first texts of some of its blocks; after that only pairs
+    that are not joined yet are: all of a block of at most PAIRED_BLOCK, and in a fuller one the texts outside its
+    largest component with others of a fitting size.
+    """
+    few, fullest = F.col("count") <= PAIRED_BLOCK, F.col("count") > DEALT_BLOCK
+    met = written(_met(classes.select("node", "n", F.posexplode("prefix").alias("at", "item"))), "met")
+    crowd = written(met.where(fullest).select("node").distinct(), "crowd")
+    blocks, spent = met, [met, crowd]
+    if not crowd.isEmpty():
+        again = written(_met(_exact_prefixes(sets_of(crowd))).withColumn("again", F.lit(True)), "again")
+        # an item may name an old block and a new one
+        blocks = met.where(~fullest).withColumn("again", F.lit(False)).unionByName(again).withColumn("item", F.xxhash64("item", "again")).drop("again")
+        spent.append(again)
+    links = _checked(written(_first_tries(blocks), "tries"), classes, sets_of)
     roots = written(rooted(links), "joined")
-    many = many.join(roots, "node", "left").select("item", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    held = written(many.groupBy("item", "root").count(), "held")
-    most = held.groupBy("item").agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    many = written(many.join(most.select("item", F.col("m.root").alias("most")), "item"), "open")
-    apart = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.most")) | (F.col("l.node") < F.col("r.node")))
-    left = written(_pairs(many.where("root <> most"), many, apart), "apart")
-    return links.unionByName(_verified(left, sets))
+    named = blocks.join(roots, "node", "left").select("item", "node", "n", "at", "count", F.coalesce("root", "node").alias("root"))
+    held = named.groupBy("item", "root").agg(F.count(F.lit(1)).alias("own"))
+    most = held.groupBy("item").agg(F.max(F.struct("own", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rest = written(named.join(most.select("item", F.col("m.root").alias("most_of")), "item"), "open")
+    apart = (F.col("l.root") != F.col("r.root")) & (F.col("l.node") < F.col("r.node"))
+    full = rest.where(~few)
+    inside, outside = full.where("root = most_of"), full.where("root <> most_of")
+    pairs = _pairs(rest.where(few), rest.where(few), apart).unionByName(_by_size(outside, full)).unionByName(_by_size(inside, outside))
+    pairs = written(pairs.distinct(), "apart")
+    done_with(*spent, roots, rest)
+    return links.unionByName(_checked(pairs, classes, sets_of))
+
+
+def _checked(pairs: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The similar ones of written ``pairs``: by sketches first, so that few whole sets are dealt."""
+    likely = written(_sketched(pairs, classes), "likely")
+    sets = written(sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    links = written(_verified(likely, sets), "similar")
+    done_with(pairs, likely, sets)
+    return links
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,10 +228,18 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     order, own = (free_name(docs.columns, x) for x in ("order", "own"))
     marked = written(_marked(docs, text, own).withColumn(order, row_order(doc_id)), "marked")
-    classes = marked.groupBy(F.col(own).alias("node")).agg(F.min(order).alias("least"), F.first(raw_text(text)).alias("raw"))
+    mark = F.col(own)
+    classes = marked.groupBy(mark["node"].alias("node")).agg(F.min(order).alias("least"), F.first(mark["n"]).alias("n"), F.first(mark["prefix"]).alias("prefix"), F.first(mark["bits"]).alias("bits"))
     classes = written(classes, "classes")
-    sets = written(_sets(classes.select("node", "raw")), "sets")
-    roots = written(rooted(similar_links(sets)), "roots")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        leads = classes.join(nodes, "node", "left_semi").select("node", "least")
+        texts = marked.select(mark["node"].alias("node"), F.col(order).alias("least"), raw_text(text).alias("raw"))
+        return _sets(texts.join(leads, ["node", "least"], "left_semi").groupBy("node").agg(F.first("raw").alias("raw")))
+
+    roots = written(rooted(similar_links(classes, sets_of)), "roots")
     named = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("w"))
-    winners = written(named.select(F.col("w.least").alias(order), F.col("w.node").alias(own)), "winners")
-    return marked.join(winners, [order, own]).dropDuplicates([order, own]).select(docs.columns)
+    winners = written(named.select(F.col("w.least").alias(order), F.col("w.node").alias("node")), "winners")
+    done_with(classes)
+    won = marked.withColumn(own, mark["node"]).join(winners.withColumnRenamed("node", own), [order, own])
+    return won.dropDuplicates([order, own]).select(docs.columns)

@@ -260,6 +260,45 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 70 for s in taken)
 
 
+def taken_by_hand(docs, got):
+    """Copies of each row: finish times of every source's shuffled documents, ranked and cut at the budget."""
+    told = docs.select("doc_id", mixing.row_order("doc_id").alias("o"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("key"), mixing.source_key("source").alias("s"), mixing.word_count("text").alias("size"))
+    rows = told.withColumn("turn", F.xxhash64(F.lit(mixing.SEED), "o", "key")).collect()
+    target = {r.doc_id: (r.source_size, r.target) for r in got}
+    queue, upto = [], {}
+    for r in sorted(rows, key=lambda r: (r.s, r.turn, r.o, r.key, r.size)):
+        upto[r.s] = upto.get(r.s, 0) + r["size"]
+        size, goal = target[r.doc_id]
+        queue += [((upto[r.s] + size * k) / goal if goal else 0.0, r.s, r.turn, r.o, r.key, r["size"]) for k in range(2)]
+    budget, total, last = sum({r.s: target[r.doc_id][1] for r in rows}.values()) + 0.5, 0, (-1.0,)
+    for place in sorted(q for q in queue if q[-1] > 0):
+        total += place[-1]
+        if total > budget:
+            break
+        last = place
+    counts = {}
+    for place in queue:
+        counts[place[1:]] = counts.get(place[1:], 0) + (place <= last)
+    return sorted((r.doc_id, r["size"], counts[r.s, r.turn, r.o, r.key, r["size"]]) for r in rows)
+
+
+def test_the_taken_rows_are_the_head_of_the_queue(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 40)
+    rng = random.Random(21)
+    rows = [(k, " ".join(words(rng, rng.randrange(0, 50))), "en", rng.choice(["a", "b", "c", None, f"rare{k}"])) for k in range(900)]
+    docs = docs_of(spark, rows)
+    got = mixing.mix(docs).collect()
+    assert sorted((r.doc_id, r.size, r.copies) for r in got) == taken_by_hand(docs, got)
+
+
+def test_many_sources_that_end_together(spark, monkeypatch):
+    """A document a source: finish times are equal, and the end of the budget is found by the rest of the order."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    docs = docs_of(spark, [(k, "w " * (1 + k % 7), "en", f"s{k}") for k in range(1_500)])
+    got = mixing.mix(docs).collect()
+    assert sorted((r.doc_id, r.size, r.copies) for r in got) == taken_by_hand(docs, got)
+
+
 def test_schedule_is_longest_first():
     import pandas as pd
 
@@ -314,8 +353,10 @@ def similar_by_hand(texts):
     return [find(k) for k in range(len(sets))]
 
 
-def test_one_of_each_leaves_no_similar_pair(spark, odd, none, monkeypatch):
+@pytest.mark.parametrize("dealt", [8, 4_096])
+def test_one_of_each_leaves_no_similar_pair(spark, odd, none, monkeypatch, dealt):
     monkeypatch.setattr(near_copies, "PAIRED_BLOCK", 6)
+    monkeypatch.setattr(near_copies, "DEALT_BLOCK", dealt)
     rng = random.Random(12)
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in odd.collect()]
     line = words(rng, 14, 5000)
@@ -338,6 +379,23 @@ def test_one_of_each_leaves_no_similar_pair(spark, odd, none, monkeypatch):
     assert near_copies.one_of_each(none).count() == 0
 
 
+def test_sketches_rule_out_no_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, sets = [], []
+    for size in (3, 40, 64, 65, 130, 500, 520, 3_000):
+        base = rng.integers(-(2**62), 2**62, size)
+        for changed in (0, size // 9, size // 5, size // 2):
+            kept = base[: size - changed]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(-(2**62), 2**62, changed // 3)])))
+    rows = [(k, len(x), near_copies.sketch(x).tolist()) for k, x in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "node long, n int, bits array<long>")
+    ratio = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 0.8 * len(sets[a]) <= len(sets[b]) <= 1.25 * len(sets[a])]
+    left = {tuple(r) for r in near_copies._sketched(spark.createDataFrame(pairs, "a long, b long"), classes).collect()}
+    similar = {p for p in pairs if ratio(sets[p[0]], sets[p[1]]) >= 0.8}
+    assert similar and similar <= left and len(left - similar) < len(pairs) // 3
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 def test_pipeline_drops_similar_texts(spark):
     import corpus_pipeline
@@ -562,6 +620,46 @@ def test_totals_follow_inserts_deletes_and_revisions(spark, tmp_path):
         assert got == want
 
 
+def test_rows_without_ids_and_of_one_id_are_counted_apart(spark, tmp_path, odd, none):
+    """The query's batches over null, repeated and copied rows, against its SQL and by hand."""
+    rows = odd.select("doc_id", "text", "lang", "source").collect()
+    got = {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in queries.rolled_up(odd).collect()}
+    firsts, want = {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.source is not None, r.source or "", r.lang is not None, r.lang or ""), reverse=True):
+        firsts[r.text or ""] = r
+    for text, r in firsts.items():
+        n = len(text.split())
+        if n:
+            for version, tokens in (("words-2", n + text.count("\n")), ("chars-1", (len(text) + 3) // 4)):
+                d, t = want.get((r.source, r.lang, version), (0, 0))
+                want[r.source, r.lang, version] = (d + 1, t + tokens)
+    assert {k[2]: sum(v[0] for x, v in got.items() if x[2] == k[2]) for k in got} == {k[2]: sum(v[0] for x, v in want.items() if x[2] == k[2]) for k in want}
+    assert {k[2]: sum(v[1] for x, v in got.items() if x[2] == k[2]) for k in got} == {k[2]: sum(v[1] for x, v in want.items() if x[2] == k[2]) for k in want}
+    con = duckdb.connect()
+    con.register("documents", odd.select("doc_id", "text", "lang", "source").toArrow())
+    told = con.execute(queries.ORACLES["op6_token_counts"]).fetchall()
+    for version in ("words-2", "chars-1"):
+        assert (sum(r[3] for r in told if r[2] == version), sum(r[4] for r in told if r[2] == version)) == tuple(map(sum, zip(*(v for k, v in got.items() if k[2] == version))))
+    assert queries.rolled_up(none).count() == 0
+
+
+def test_copies_states_and_compaction(spark, tmp_path):
+    folder = str(tmp_path / "counts")
+    change = lambda *rows: spark.createDataFrame(rows, "doc_id long, text_key string, version string, source string, lang string, tokens long, copies long, op string")
+    row = lambda i, k, n, c, op="put": (i, k, "v", "s", "en", n, c, op)
+    total = lambda: [(r.documents, r.tokens) for r in token_counts.totals(spark, folder).collect()]
+    token_counts.commit(spark, folder, "a", change(row(None, "x", 5, 3), row(None, "y", 7, 1), row(1, "x", 5, 1), row(1, "z", 2, 2)))
+    assert total() == [(7, 31)]
+    token_counts.compact(spark, folder)
+    token_counts.commit(spark, folder, "b", change(row(None, "x", 5, 1), row(1, "z", 0, 0, "delete"), row(2, "q", 0, 0, "delete")))
+    token_counts.commit(spark, folder, "c", change())
+    assert total() == [(3, 17)]
+    token_counts.compact(spark, folder)
+    token_counts.commit(spark, folder, "d", change(row(None, "x", 6, 2), row(1, "z", 2, 1)))
+    assert total() == [(5, 26)] and not token_counts.commit(spark, folder, "b", change())
+    assert token_counts._claimed(spark, folder, 1) == 5  # four commits hold the first ordinals
+
+
 # Queries and the pipeline -----------------------------------------------------------------------
 
 
