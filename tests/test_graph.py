@@ -257,6 +257,19 @@ def test_nearest_with_far_points_and_crowded_sites(spark, monkeypatch):
         assert front.groupBy("lon", "lat").count().agg({"count": "max"}).first()[0] <= 120
 
 
+def test_nearest_never_broadcasts_cubes(spark, monkeypatch):
+    """Written cubes look small to the optimizer, which would send them through the driver."""
+    rng = random.Random(3)
+    rows = lambda n: [(i, i % 3, 144.9 + rng.random() * 0.1, -37.8 + rng.random() * 0.1) for i in range(n)]
+    p, s = (spark.createDataFrame(rows(n), f"{name} int, g int, lon double, lat double") for n, name in ((60, "i"), (90, "site")))
+    plans, cut = [], space.cut
+    monkeypatch.setattr(space, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    found = space.nearest(p, s, "site", by=["g"])
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "level" in line]
+    assert joins and not [x for x in joins if "BroadcastHashJoin [level" not in x and "Broadcast" in x]
+
+
 def test_nearest_within_groups(spark):
     rng = random.Random(6)
     rows = lambda n: [(i, rng.randrange(4), 144.9 + rng.random() * 0.1, -37.8 + rng.random() * 0.1) for i in range(n)]
