@@ -270,6 +270,20 @@ def test_nearest_never_broadcasts_cubes(spark, monkeypatch):
     assert joins and not [x for x in joins if "BroadcastHashJoin [level" not in x and "Broadcast" in x]
 
 
+def test_wide_cubes_are_cut_where_sites_crowd(spark, monkeypatch):
+    """With 600 m cubes and 400 sites in two of them, a point meets the sites of small cubes only."""
+    rng = random.Random(5)
+    spots = lambda n: [(i, 144.9 + rng.random() * 0.008, -37.8 + rng.random() * 0.004) for i in range(n)]
+    points, sites = spots(40), spots(400)
+    p, s = (spark.createDataFrame(rows, f"{name} int, lon double, lat double") for rows, name in ((points, "i"), (sites, "site")))
+    written, cut = [], space.cut
+    monkeypatch.setattr(space, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = {r.i: r.site for r in space.nearest(p, s, "site", edge_m=600.0).collect()}
+    for i, *x in points:
+        assert got[i] == min((metres(x, y), j) for j, *y in sites)[1]
+    assert max(f.filter("small").agg({"n": "max"}).first()[0] or 0 for f in written[3:]) <= space.LEAF_SITES
+
+
 def test_nearest_within_groups(spark):
     rng = random.Random(6)
     rows = lambda n: [(i, rng.randrange(4), 144.9 + rng.random() * 0.1, -37.8 + rng.random() * 0.1) for i in range(n)]
@@ -304,6 +318,25 @@ def test_sites_in_boxes_equal_brute_force(spark, monkeypatch):
     assert max(f.groupBy("request_id").count().agg({"count": "max"}).first()[0] for f in looked[2:]) < 300
 
 
+def test_crowded_sites_in_boxes(spark, monkeypatch):
+    """3,000 sites in a cell of 0.01 degrees, some of them at one place: no box meets all of them."""
+    rng = random.Random(13)
+    sites = [(144.91 + rng.random() * 0.01, -37.81 + rng.random() * 0.01) for _ in range(2_900)] + [(144.915, -37.805)] * 100
+    boxes = [(x - 0.006, y - 0.005, x + 0.006, y + 0.005) for x, y in rng.sample(sites, 12) + [(144.915, -37.805), (144.93, -37.805)]]
+    told = spark.createDataFrame([(i, s, n, w, e, (s + n) / 2, (w + e) / 2) for i, (w, s, e, n) in enumerate(boxes)], "request_id int, south double, north double, west double, east double, mid_lat double, mid_lon double")
+    placed = spark.createDataFrame([(i, *x) for i, x in enumerate(sites)], "site int, lon double, lat double")
+    looked, cut = [], space.cut
+    monkeypatch.setattr(space, "cut", lambda df: looked.append(cut(df)) or looked[-1])
+    got = {}
+    for r in space.nearest_in_box(told, placed, "site", 12).collect():
+        got.setdefault(r.request_id, {})[r.rank] = r.site
+    for i, (w, s, e, n) in enumerate(boxes):
+        held = sorted((metres(((w + e) / 2, (s + n) / 2), p), j) for j, p in enumerate(sites) if w <= p[0] <= e and s <= p[1] <= n)[:12]
+        assert [got.get(i, {}).get(k + 1) for k in range(len(held))] == [j for _, j in held], i
+    crowds = [f.filter("small").agg({"n": "max"}).first()[0] for f in looked if "small" in f.columns]
+    assert max([0, *(c for c in crowds if c)]) <= 100
+
+
 def test_snap_distance_and_limit(spark, square):
     nodes, _ = square
     asked = spark.createDataFrame([(1, 144.9601, -37.8101), (2, 151.2, -33.87)], "q int, lon double, lat double")
@@ -321,6 +354,40 @@ def test_density_uses_the_95_percent_cell(spark):
     assert [r.density for r in spatial.point_density(ask, cells, grid).collect()].count(None) == 1
 
 
+def test_node_penalties_equal_brute_force(spark):
+    """Twelve requests over crowded sites; ids of several places, rows that come twice and nodes without a place."""
+    rng = random.Random(14)
+    spots = lambda n: [(144.95 + rng.random() * 0.012, -37.81 + rng.random() * 0.009) for _ in range(n)]
+    ends = [(i, *a, *b) for i, (a, b) in enumerate(zip(spots(12), spots(12)))]
+    sites = [(i, *x) for i, x in enumerate(spots(60))]
+    nodes = [(i, *x) for i, x in enumerate(spots(300))]
+    flows = [(i, None if i % 9 == 0 else float(rng.randrange(1_000))) for i in range(60)]
+    trips = spark.createDataFrame(ends, "request_id int, from_lon double, from_lat double, to_lon double, to_lat double")
+    tables = spark.createDataFrame(sites, "site_id int, lon double, lat double"), spark.createDataFrame(flows, "site_id int, flow double")
+    of = lambda rows: spark.createDataFrame(rows, "id int, lon double, lat double")
+    chosen = {}
+    for r in spatial.corridor_sites(trips, tables[0], "site_id").collect():
+        if flows[r.site_id][1] is not None:
+            chosen.setdefault(r.request_id, []).append(r)
+
+    def by_hand(rows):
+        best = {}
+        for q, near in chosen.items():
+            for i, *x in rows:
+                for r in near:
+                    d = metres(x, (r.lon, r.lat)) if x[0] is not None else math.inf
+                    if d <= 180 and r.west <= x[0] <= r.east and r.south <= x[1] <= r.north:
+                        best[q, i] = min(best.get((q, i), (math.inf,)), (d, -r.rank, flows[r.site_id][1]))
+        return {k: v[2] for k, v in best.items()}
+
+    plain = spatial.node_penalties(trips, of(nodes), *tables)
+    assert "min_by" not in plain._jdf.queryExecution().optimizedPlan().toString()  # pairs of requests and nodes are not dealt again
+    assert {(r.request_id, r.node): r.penalty for r in plain.collect()} == by_hand(nodes)
+    odd = nodes + nodes[:40] + [(i, *x) for i, x in enumerate(spots(20))] + [(900, None, None)]
+    rows = spatial.node_penalties(trips, of(odd), *tables).collect()
+    assert {(r.request_id, r.node): r.penalty for r in rows} == by_hand(odd) and len(rows) == len(by_hand(odd))
+
+
 def test_planned_routes_on_the_square(spark, square):
     nodes, edges = square
     trips = spark.createDataFrame([(1, 144.9601, -37.8101, 144.9611, -37.8111, 30.0), (2, 144.96, -37.81, 151.2, -33.87, 20.0)],
