@@ -16,6 +16,8 @@ from hourspark.session import cut
 
 SKIP = 16  # hops between the nodes that skip pointers lead to
 BUCKET_ROADS = 8.0  # a round settles nodes up to so many mean roads beyond a search's cheapest one
+FEW = 2**17  # through nodes that are joined by doubling; more are thinned out first
+ROAD = ["road", "src", "dst", "metres", "glare", "hops"]
 
 
 # Network ------------------------------------------------------------------------------------------
@@ -35,9 +37,11 @@ class Network:
 
     def expanded(self, rows: DataFrame) -> DataFrame:
         """Rows with ``road`` and ``at`` (hops before it), once for each first edge in the road."""
-        for parts in self.parts:
+        for k, parts in enumerate(self.parts, 1):
             named = rows.join(parts, "road", "left")
             rows = named.withColumns({"road": F.coalesce("part", "road"), "at": F.col("at") + F.coalesce("before", F.lit(0))}).drop("part", "before")
+            if k % 4 == 0:
+                rows = cut(rows)
         return rows
 
 
@@ -53,6 +57,56 @@ def _ends(roads: DataFrame, anchors: DataFrame) -> DataFrame:
     return both.select("node", F.coalesce(through & free, F.lit(False)).alias("through"), F.coalesce(dead & free, F.lit(False)).alias("dead"))
 
 
+def _thinned(roads: DataFrame, through: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(roads, parts of each round): roads joined over most of the ``through`` nodes, until FEW are left.
+
+    A node is a row with its two roads in.  A round takes out the nodes whose hash is less than those of their through
+    neighbours, a third of them or more and never two in a row, and tells each neighbour by which road it is reached
+    now.  So the rows of all rounds together are a few times the roads.  Roads into other nodes are rows of their own.
+    """
+    ends = [through.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_free")) for c in ("src", "dst")]
+    flagged = roads.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    flagged = cut(flagged.select(*ROAD, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("src_free", "dst_free")]))
+    whole = [flagged.where("NOT src_free AND NOT dst_free").select(*ROAD)]
+    way = ["road", "metres", "glare", "hops"]
+    side = F.struct(F.col("src").alias("node"), F.col("src_free").alias("free"), *way)
+    nodes = cut(flagged.where("dst_free").groupBy(F.col("dst").alias("node")).agg(F.min(side).alias("a"), F.max(side).alias("b")))
+    exits = flagged.where("src_free AND NOT dst_free").select(F.col("dst").alias("node"), side.alias("a"))
+    of = lambda rows, s: rows.select(f"{s}.road", F.col(f"{s}.node").alias("src"), F.col("node").alias("dst"), *[f"{s}.{c}" for c in way[1:]])
+
+    def extended(s: str, by: Column) -> Column:
+        """Side ``s`` after the road ``by``, if any, and then which road this is a part of and the hops before it."""
+        now = [by["node"].alias("node"), by["free"].alias("free"), by["road"].alias("road"), *[(by[c] + F.col(s)[c]).alias(c) for c in way[1:]]]
+        same = [F.col(s)[c].alias(c) for c in ("node", "free", *way)]
+        part = F.struct(*now, F.col(s)["road"].alias("part"), by["hops"].alias("before"))
+        return F.when(by.isNotNull(), part).otherwise(F.struct(*same, F.lit(None).cast("long").alias("part"), F.lit(None).cast("long").alias("before"))).alias(s)
+
+    parts: list[DataFrame] = []
+    while nodes.where("a.node <> b.node").count() > FEW:
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(parts))), F.col(c))
+        lower = [~F.col(f"{s}.free") | (rank("node") < rank(f"{s}.node")) for s in "ab"]
+        least = (F.col("a.node") != F.col("b.node")) & lower[0] & lower[1]
+        told = [
+            nodes.where(least).select(F.col(f"{to}.node").alias("node"), F.col(f"{to}.free").alias("free"), F.col("node").alias("old"),
+                                      F.struct(*[F.col(f"{by}.{c}").alias(c) for c in ("node", "free", *way)]).alias("by"))
+            for to, by in ("ab", "ba")
+        ]
+        news = told[0].unionByName(told[1])
+        news_of = news.where("free").groupBy("node").agg(*[f(F.struct("old", "by")).alias(m) for f, m in ((F.min, "m1"), (F.max, "m2"))])  # two at most
+        by = lambda s: F.when(F.col("m1.old") == F.col(f"{s}.node"), F.col("m1.by")).when(F.col("m2.old") == F.col(f"{s}.node"), F.col("m2.by"))
+        nodes = cut(nodes.where(~least).join(news_of, "node", "left").select("node", extended("a", by("a")), extended("b", by("b"))))
+        led = exits.withColumn("old", F.col("a.node")).join(news.where("NOT free").select("node", "old", "by"), ["node", "old"], "left")
+        exits = cut(led.select("node", extended("a", F.col("by"))))
+        joined = [rows.where(f"{s}.part IS NOT NULL").select(f"{s}.road", f"{s}.part", f"{s}.before") for rows, s in ((nodes, "a"), (nodes, "b"), (exits, "a"))]
+        later = joined[0].unionByName(joined[1]).unionByName(joined[2])
+        parts.append(later.unionByName(later.select("road", F.col("road").alias("part"), F.lit(0).cast("long").alias("before"))))
+        whole.append(of(exits.where("NOT a.free"), "a"))
+        exits = exits.where("a.free")
+    for rows in (of(nodes, "a"), of(nodes, "b"), of(exits, "a"), *whole[1:]):
+        whole[0] = whole[0].unionByName(rows)
+    return cut(whole[0]), parts
+
+
 def _contracted(roads: DataFrame, through: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(roads, parts) with every run of roads over ``through`` nodes as one road, named as its first one."""
     inner = through.select(F.col("node").alias("dst"))
@@ -108,7 +162,10 @@ def contracted(edges: DataFrame, anchors: DataFrame) -> Network:
             through = kinds.filter("through").select("node")
         elif through.isEmpty():
             return Network(roads, parts[::-1], first)
-        if not through.isEmpty():
+        if through.count() > FEW:
+            roads, joined = _thinned(roads, cut(through))
+            parts += joined
+        elif not through.isEmpty():
             roads, joined = _contracted(roads, cut(through))
             parts.append(joined)
 

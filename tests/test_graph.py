@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hourspark.operators import graph, paths, space, spatial
 from hourspark.plans import routing
+from hourspark.session import cut
 
 
 def metres(a, b):
@@ -127,6 +128,31 @@ def test_paths_over_long_roads_dead_ends_and_rings(spark):
         assert want == pytest.approx(sum(w * (1 + 1.4 * (1 - s)) for w, s in walked) + 0.6 * sum(penalty[i].get(n, 0.0) for n in path[1:]))
 
 
+def test_paths_over_thinned_roads(spark, monkeypatch):
+    monkeypatch.setattr(paths, "FEW", 3)
+    test_paths_over_long_roads_dead_ends_and_rings(spark)
+
+
+def test_long_roads_are_contracted_in_a_few_times_their_rows(spark, monkeypatch):
+    """A road of 4,000 vertices and a ring apart; doubling writes all of its rows a dozen times over."""
+    n, written = 4_000, []
+    pairs = [(k, k + 1) for k in range(n)] + [(10**6 + k, 10**6 + (k + 1) % 50) for k in range(50)]
+    edges = spark.createDataFrame([(x, y, 1.0, 0.5) for a, b in pairs for x, y in ((a, b), (b, a))], "src long, dst long, weight_m double, shade double")
+
+    def counted(df):
+        written.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(paths, "cut", counted)
+    monkeypatch.setattr(paths, "FEW", 64, raising=False)
+    network = paths.contracted(edges, spark.createDataFrame([(0,), (n,)], "node long"))
+    assert {(r.src, r.dst, r.metres, r.hops) for r in network.roads.collect()} == {(0, n, float(n), n), (n, 0, float(n), n)}
+    assert sum(written) < 10 * 2 * len(pairs)
+    top = network.roads.select("road", F.lit(0).cast("long").alias("at"), F.col("src").alias("from"))
+    firsts = {(r["from"], r["at"], r.src, r.dst) for r in network.expanded(top).join(network.edges, "road").collect()}
+    assert firsts == {(0, k, k, k + 1) for k in range(n)} | {(n, k, n - k, n - k - 1) for k in range(n)}
+
+
 def test_the_log_keeps_the_least_and_few_tables(spark):
     log = paths.Log(["node"])
     for k in range(9):
