@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that pairs of five-word-shingle similarity 0.8 or more join."""
+    """The first document of each group that pairs of five-word-shingle similarity 0.8 or more join: SimHash, then prefixes."""
     return near_copies.one_of_each(docs)
 
 

@@ -1,8 +1,9 @@
-"""Near copies by word shingles: all pairs of Jaccard similarity SIMILARITY or more, found exactly by prefixes.
+"""Near copies by word shingles: all pairs of Jaccard similarity SIMILARITY or more.
 
-Two sets that are so similar share an element of their prefixes, the first elements in any one order of all
-shingles.  The order only decides the cost.  A first order puts shingles that a sample of texts shares last; texts
-that meet in very full blocks all the same are dealt again in the order of the exact counts among them.
+SimHash fingerprints of the shingles are compared first, and the pairs within a few bits are checked.  What they leave
+apart is found exactly by prefixes: two sets that are so similar share an element of their prefixes, the first elements
+in any one order of all shingles.  The order only decides the cost.  A first order puts shingles that a sample of texts
+shares last; texts that meet in very full blocks all the same are dealt again in the order of the exact counts among them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hourspark.llm.common import done_with, free_name, raw_text, row_order, small_batches, written
 from hourspark.llm.components import rooted
+from hourspark.llm.simhash import close_links, majority
 
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # as a fraction, so that limits are exact
@@ -65,10 +67,10 @@ def _shared(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame, text: str, own: str) -> DataFrame:
-    """``docs`` with a struct ``own`` of the hash ``node`` of each text's shingle set, its size, prefix and sketch."""
+    """``docs`` with a struct ``own`` of the hash ``node`` of each text's shingle set, its size, prefix, sketch and SimHash."""
     shared = docs.sparkSession.sparkContext.broadcast(_shared(docs, text))  # bounded by SHARED
 
-    @F.pandas_udf("node long, n int, prefix array<long>, bits array<long>")
+    @F.pandas_udf("node long, n int, prefix array<long>, bits array<long>, fp long")
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, counts = shared.value
         for batch in batches:
@@ -79,8 +81,8 @@ def _marked(docs: DataFrame, text: str, own: str) -> DataFrame:
                     at = np.minimum(np.searchsorted(names, items), len(names) - 1)
                     late = np.where(names[at] == items, counts[at], 0)
                 first = items[np.lexsort((items, late))[: prefix_size(len(items))]]
-                rows.append((np.array([xxhash.xxh64_intdigest(items.tobytes())], np.uint64).view(np.int64)[0], len(items), first, sketch(items)))
-            yield pd.DataFrame(rows, columns=["node", "n", "prefix", "bits"])
+                rows.append((np.array([xxhash.xxh64_intdigest(items.tobytes())], np.uint64).view(np.int64)[0], len(items), first, sketch(items), majority(items.view(np.uint64))))
+            yield pd.DataFrame(rows, columns=["node", "n", "prefix", "bits", "fp"])
 
     return docs.withColumn(own, marks(raw_text(text)))
 
@@ -131,6 +133,17 @@ def _first_tries(met: DataFrame) -> DataFrame:
     return pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("k") <= TRIED).drop("k")
 
 
+def _close_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs of ``classes`` by SimHash: those of one fingerprint with its least class, and the least ones of close fingerprints."""
+    least = written(classes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
+    same = classes.join(least, "fp").where("node <> lead").select("lead", "node")
+    a, b = (least.select(F.col("fp").alias(x), F.col("lead").alias(f"n{x}")) for x in "ab")
+    close = close_links(least.select("fp")).join(a, "a").join(b, "b").select("na", "nb")
+    pairs = written(same.union(close).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close")
+    done_with(least)
+    return pairs
+
+
 def _named(met: DataFrame) -> DataFrame:
     return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
@@ -179,11 +192,11 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links ``(a, b)`` that join all of ``classes`` (node, n, prefix, bits; distinct) which similar pairs join.
+    """Links ``(a, b)`` that join all of ``classes`` (node, n, prefix, bits, fp; distinct) which similar pairs join.
 
     ``sets_of`` gives (node, n, items) for a table of nodes; only texts that meet others are asked for.  Every link
-    is a similar pair.  Texts meet in blocks of a common prefix item; those of blocks beyond DEALT_BLOCK are dealt
-    into new blocks first.  A text is compared with the first texts of some of its blocks; after that only pairs
+    is a similar pair.  Pairs of close SimHash fingerprints come first.  Then texts meet in blocks of a common prefix
+    item; those of blocks beyond DEALT_BLOCK are dealt into new blocks first.  A text is compared with the first texts of some of its blocks; after that only pairs
     that are not joined yet are: all of a block of at most PAIRED_BLOCK, and in a fuller one the texts outside its
     largest component with others of a fitting size.
     """
@@ -196,7 +209,9 @@ def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
         # an item may name an old block and a new one
         blocks = met.where(~fullest).withColumn("again", F.lit(False)).unionByName(again).withColumn("item", F.xxhash64("item", "again")).drop("again")
         spent.append(again)
-    links = _checked(written(_first_tries(blocks), "tries"), classes, sets_of)
+    close = _checked(_close_pairs(classes), classes, sets_of)
+    tries = _first_tries(blocks).join(close, ["a", "b"], "left_anti")
+    links = close.unionByName(_checked(written(tries, "tries"), classes, sets_of))
     roots = written(rooted(links), "joined")
     named = blocks.join(roots, "node", "left").select("item", "node", "n", "at", "count", F.coalesce("root", "node").alias("root"))
     held = named.groupBy("item", "root").agg(F.count(F.lit(1)).alias("own"))
@@ -229,7 +244,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     order, own = (free_name(docs.columns, x) for x in ("order", "own"))
     marked = written(_marked(docs, text, own).withColumn(order, row_order(doc_id)), "marked")
     mark = F.col(own)
-    classes = marked.groupBy(mark["node"].alias("node")).agg(F.min(order).alias("least"), F.first(mark["n"]).alias("n"), F.first(mark["prefix"]).alias("prefix"), F.first(mark["bits"]).alias("bits"))
+    classes = marked.groupBy(mark["node"].alias("node")).agg(F.min(order).alias("least"), F.first(mark["n"]).alias("n"), F.first(mark["prefix"]).alias("prefix"), F.first(mark["bits"]).alias("bits"), F.first(mark["fp"]).alias("fp"))
     classes = written(classes, "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:

@@ -29,8 +29,12 @@ def fingerprint(raw: bytes | None, words_in: int = SHINGLE_WORDS, seed: int = SE
         return 0
     runs = [b" ".join(words)] if len(words) < words_in else map(b" ".join, zip(*(words[k:] for k in range(words_in))))
     n = max(1, len(words) - words_in + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), runs), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), runs), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64 bits that are set in over half of the unsigned ``hashes``; 0 without any."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for k in range(0, n, 4096):
         bits = np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)

@@ -379,6 +379,24 @@ def test_one_of_each_leaves_no_similar_pair(spark, odd, none, monkeypatch, dealt
     assert near_copies.one_of_each(none).count() == 0
 
 
+def test_near_copies_compare_fingerprints_first(spark, monkeypatch):
+    rng, seen = random.Random(5), []
+    base = words(rng, 600, 5000)
+    texts = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(6)] + [" ".join(words(rng, 300, 5000)) for _ in range(4)] + [""]
+    prints = {simhash.majority(near_copies.shingles(t.encode()).view(np.uint64)) for t in texts}
+
+    def links(found):
+        out = simhash.close_links(found)
+        seen.append(({r.fp for r in found.collect()}, {tuple(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(near_copies, "close_links", links)
+    kept = near_copies.one_of_each(docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 6, 7, 8, 9, 10]
+    close = {(a, b) for a in prints for b in prints if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert len(seen) == 1 and seen[0][0] == prints and {frozenset(x) for x in seen[0][1]} == {frozenset(x) for x in close}
+
+
 def test_sketches_rule_out_no_similar_sets(spark):
     rng = np.random.default_rng(3)
     rows, sets = [], []
