@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Items and a bounded sample of corpus passages make a TF-IDF matrix over the items' words (document frequencies
-over all documents).  The items' own directions and those of a distributed randomised SVD make the latent space,
+Items and all passages of all documents make a TF-IDF matrix over the items' words; how often two words share a
+passage is counted, so the matrix itself is never held.  The items' own directions and those of a distributed randomised SVD make the latent space,
 so that no item loses a part of its vector.  Every document is walked in half
 overlapping windows, one of which holds any passage as long as an item; windows whose latent cosine with an item
 is high are candidates, which a longest common subsequence of words confirms.  Items with an answer also catch looser paraphrases that hold it.
@@ -9,9 +9,9 @@ is high are candidates, which a longest common subsequence of words confirms.  I
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -31,21 +31,22 @@ RANK = 128  # directions of the SVD; those of the items come on top
 OVERSAMPLING = 10
 POWER_STEPS = 2
 ITEM_BLOCK = 256  # items of one index; more items are searched in so many rounds
-SAMPLE = 1_000  # corpus passages that the latent space is fitted on, about
-SAMPLE_WORDS = 48
-FIT_PARTS = 8
+PASSAGE_WORDS = 48  # the latent space is fitted on all texts, cut into passages of this length
+FIT_PARTS = 8  # more where a part would hold over CELLS numbers
+CELLS = 1 << 24  # numbers that a task counts pairs of words in
+PAIRS_AT_ONCE = 1 << 20
 FEWEST_WORDS = 8  # an item with fewer must be found whole
 CHUNK = 32_768
 BASE_STEP = 16  # words; longer steps double it
 FREQUENT = 0.2  # words in a larger part of all documents are left out of the latent space
 FEWEST_RARE = 4  # but not those of an item with fewer other words
 
-_WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
+_LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of letters, digits and any characters beyond ASCII."""
-    return _WORDS.findall((raw or b"").lower())
+    return (raw or b"").translate(_LETTERS).split()
 
 
 def common_words(masks: dict[int, int], size: int, ids: list[int]) -> int:
@@ -145,25 +146,27 @@ class Space:
         return [(doc, self.items[item][0], -at, share, kind) for (doc, item), (share, at, kind) in sorted(best.items())]
 
 
-def _fitted(rows: DataFrame, n_words: int) -> np.ndarray:
-    """Right singular vectors of the sparse rows (ids, weights), by a randomised range finder.
+def _fitted(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Right singular vectors of the TF-IDF matrix whose words share passages as ``rows`` (id, counts) tell.
 
-    Every pass is a Spark job: tasks multiply their rows and return one matrix each, FIT_PARTS of them, whose
-    size follows the vocabulary of one block of items and not the corpus.
+    A randomised range finder; every pass is a Spark job: tasks multiply their rows and return one matrix each,
+    FIT_PARTS of them or a few more, whose size follows the vocabulary of one block of items and not the corpus.
     """
+    n_words = len(idf) - 1
     width = min(RANK + OVERSAMPLING, n_words)
     basis = np.linalg.qr(np.random.default_rng(11).standard_normal((n_words, width)))[0]
     for last in [*[False] * POWER_STEPS, True]:
 
         def product(batches: Iterator[pa.RecordBatch], q: np.ndarray = basis, last: bool = last) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((width, width) if last else (n_words, width))
+            total, weighted = np.zeros((width, width) if last else (n_words, width)), q * idf[1:, None]
             for batch in batches:
-                for ids, weights in zip(batch.column("ids").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                    image = np.array(weights) @ q[ids]
-                    if last:
-                        total += np.outer(image, image)
-                    else:
-                        np.add.at(total, ids, np.outer(weights, image))
+                ids = batch.column("id").to_numpy()
+                counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i8").reshape(-1, n_words)
+                image = idf[ids, None] * (counts @ weighted)
+                if last:
+                    total += q[ids - 1].T @ image
+                else:
+                    total[ids - 1] += image
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
         shape = (width, width) if last else (n_words, width)
@@ -183,30 +186,83 @@ def _with_items(directions: np.ndarray, items: list[list[int]], idf: np.ndarray)
     return np.linalg.qr(np.concatenate([own / np.maximum(np.linalg.norm(own, axis=0), 1e-12), directions], axis=1))[0]
 
 
-def _passages(docs: DataFrame, text: str, vocabulary: dict[bytes, int], every: int) -> tuple[np.ndarray, DataFrame]:
-    """Document frequencies (place 0: documents) over all texts, and the sampled passages' word ids."""
+def _passages(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, DataFrame]:
+    """Document frequencies (place 0: documents) over all texts, and the word ids of all passages.
+
+    A row of the latter holds passages of several texts: their words of the vocabulary, and how many each has.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, taken = np.zeros(len(vocabulary) + 1, np.int64), []
+        seen, held = np.zeros(len(vocabulary) + 1, np.int64), np.zeros(len(vocabulary) + 1, bool)
         for batch in batches:
-            for raw, spread in zip(batch.column("raw").to_pylist(), batch.column("spread").to_pylist(), strict=True):
+            rows, sizes = [], []
+            for raw in batch.column("raw").to_pylist():
                 words = words_of(raw)
-                seen[[vocabulary[w] for w in {*words} & vocabulary.keys()]] += 1
-                if spread % every == 0 and words:
-                    at = spread // every % max(1, len(words) - SAMPLE_WORDS)
-                    taken.append([vocabulary[w] for w in words[at : at + SAMPLE_WORDS] if w in vocabulary])
+                ids = np.fromiter(map(vocabulary.get, words, repeat(0)), np.int32, len(words))
+                at = np.flatnonzero(ids)
+                rows.append(ids[at])
+                sizes.append(np.bincount(at // PASSAGE_WORDS))
+                held[rows[-1]] = True
+                seen += held
+                held[rows[-1]] = False
             seen[0] += batch.num_rows
+            row = [b"".join(x.astype("<i4").tobytes() for x in part) for part in (rows, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in row)], ["id", "n", "ids", "sizes"])
         used = np.nonzero(seen)[0]
-        rows = [(int(i), int(seen[i]), None) for i in used] + [(None, None, x) for x in taken if x]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["id", "n", "passage"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used]), *[pa.nulls(len(used), pa.binary())] * 2], ["id", "n", "ids", "sizes"])
 
-    raw = raw_text(text)
-    found = docs.select(raw.alias("raw"), F.xxhash64(raw).alias("spread")).mapInArrow(walk, "id long, n long, passage array<long>")
+    found = docs.select(raw_text(text).alias("raw")).mapInArrow(walk, "id long, n long, ids binary, sizes binary")
     found = written(found, "passages")
     counted = found.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(vocabulary) + 1)
     df[counted["id"]] = counted["n"]
-    return df, found.where("passage IS NOT NULL").select("passage")
+    return df, found.where("ids IS NOT NULL").select("ids", "sizes")
+
+
+def _together(passages: DataFrame, used: np.ndarray) -> DataFrame:
+    """(id, counts): how often the word ``id`` and each other one share a passage, repeats included, as 64-bit integers.
+
+    Only words marked in ``used`` count.  A task counts a band of at most CELLS pairs of words at a time.
+    """
+    n_words = len(used) - 1
+    height = max(1, CELLS // n_words)
+    parts = max(FIT_PARTS, -(-n_words // height))
+
+    def rows(ids: np.ndarray, totals: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(ids), 64):
+            some = [x.astype("<i8").tobytes() for x in totals[k : k + 64]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 64], pa.int64()), pa.array(some, pa.binary())], ["id", "counts"])
+
+    def counted(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((high - low, n_words), np.int64)
+        for batch in batches:
+            for raw, lengths in zip(batch.column("ids").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                ids, sizes = np.frombuffer(raw, "<i4").astype(np.int64), np.frombuffer(lengths, "<i4").astype(np.int64)
+                keep, owner = used[ids], np.repeat(np.arange(len(sizes)), sizes)
+                ids, sizes = ids[keep], np.bincount(owner[keep], minlength=len(sizes))
+                first, size = (np.repeat(x, sizes) for x in (np.cumsum(sizes) - sizes, sizes))
+                mine = np.flatnonzero((ids > low) & (ids <= high))
+                upto = np.cumsum(size[mine])
+                for part in np.split(mine, np.searchsorted(upto, range(PAIRS_AT_ONCE, int(upto[-1]) if len(upto) else 0, PAIRS_AT_ONCE))):
+                    n = size[part]
+                    other = ids[np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                    np.add.at(total.reshape(-1), np.repeat(ids[part] - 1 - low, n) * n_words + other - 1, 1)
+        some = np.flatnonzero(total.any(axis=1))
+        yield from rows(some + 1 + low, [total[i] for i in some])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column("id").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                totals[i] = totals.get(i, 0) + np.frombuffer(raw, "<i8")
+        ids = np.array(sorted(totals), np.int64)
+        yield from rows(ids, [totals[i] for i in ids.tolist()])
+
+    def band(low: int) -> DataFrame:
+        return passages.mapInArrow(lambda b: counted(b, low, min(low + height, n_words)), "id long, counts binary")
+
+    bands = reduce(DataFrame.unionByName, map(band, range(0, n_words, height)))
+    return bands.repartition(parts, "id").mapInArrow(summed, "id long, counts binary")
 
 
 def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> list[Space]:
@@ -216,7 +272,6 @@ def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     items = benchmark.select(F.col(item_id).alias("name"), raw_text(item_text).alias("raw"), (raw_text(answer) if answer else F.lit(None).cast("binary")).alias("answer"))
     items = written(items.distinct().withColumn("block", F.xxhash64("raw", "name")), "items")
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    every = max(1, -(-docs.count() // SAMPLE))
     out = []
     for block in range(blocks):
         mine = items.where(F.pmod("block", F.lit(blocks)) == block).orderBy("name", "raw").collect()
@@ -225,20 +280,15 @@ def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
         if not split:
             continue
         vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, words, end in split for w in [*words, *end]}))}
-        df, sample = _passages(docs, text, vocabulary, every)
+        df, passages = _passages(docs, text, vocabulary)
         idf = np.log((1 + df[0]) / (1 + df) + 0.1)
         spared = {i for _, words, _ in split if sum(df[vocabulary[w]] <= FREQUENT * df[0] for w in words) < FEWEST_RARE for i in (vocabulary[w] for w in words)}
         idf[[i for i in range(1, len(df)) if df[i] > FREQUENT * df[0] and i not in spared]] = 0
-        own = spark.createDataFrame([([vocabulary[w] for w in words],) for _, words, _ in split], "passage array<long>")
-
-        def weighted(batches: Iterator[pd.DataFrame], idf: np.ndarray = idf) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [np.unique(p, return_counts=True) for p in batch["passage"]]
-                weights = [n * idf[i] for i, n in rows]
-                yield pd.DataFrame({"ids": [i - 1 for i, _ in rows], "weights": weights})
-
-        rows = written(own.unionByName(sample).mapInPandas(weighted, "ids array<long>, weights array<double>").repartition(FIT_PARTS), "fit")
-        basis = _with_items(_fitted(rows, len(vocabulary)), [[vocabulary[w] for w in words] for _, words, _ in split], idf)
+        own = [[vocabulary[w] for w in words] for _, words, _ in split]
+        whole = [(np.array(ids, "<i4").tobytes(), np.array([len(ids)], "<i4").tobytes()) for ids in own]
+        passages = spark.createDataFrame(whole, "ids binary, sizes binary").coalesce(1).unionByName(passages)
+        rows = written(_together(passages, idf != 0), "fit")
+        basis = _with_items(_fitted(rows, idf), own, idf)
         latent = np.zeros((len(vocabulary) + 1, basis.shape[1]), np.float32)
         latent[1:] = basis * idf[1:, None]
         out.append(Space(vocabulary, latent, [(n, [vocabulary[w] for w in words], {vocabulary[w] for w in end}) for n, words, end in split]))

@@ -531,6 +531,33 @@ def test_a_full_block_of_unlike_items_is_found_item_by_item(spark):
     assert got == {(k, k) for k in range(len(items))}
 
 
+def test_the_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
+    rng = random.Random(14)
+    item = [f"q{k}" for k in range(90)]
+    texts = [" ".join(rng.choice([*item, "other"]) for _ in range(rng.randrange(0, 130))) for _ in range(1_300)]
+    docs = docs_of(spark, [(k, x, "en", "a") for k, x in enumerate(texts)] + [(9_000, None, None, None)])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "CELLS", 2_000)  # several bands of words
+    fitted, seen = decontaminate._fitted, []
+    monkeypatch.setattr(decontaminate, "_fitted", lambda rows, idf: seen.append((rows.collect(), idf)) or fitted(rows, idf))
+    (space,) = decontaminate.spaces(docs, bench)
+    ((rows, idf),) = seen
+    want = np.zeros((len(item), len(item)), np.int64)
+    passages = [w[k : k + 48] for w in (x.split() for x in texts) for k in range(0, len(w), 48)]
+    for passage in [item, *passages]:
+        counts = np.zeros(len(item), np.int64)
+        for w in passage:
+            if w != "other":
+                counts[space.vocabulary[w.encode()] - 1] += 1
+        want += np.outer(counts, counts)
+    used = idf[1:] != 0
+    want[~used], want[:, ~used] = 0, 0
+    got = np.zeros_like(want)
+    for r in rows:
+        got[r["id"] - 1] = np.frombuffer(r["counts"], "<i8")
+    assert used.any() and (got == want).all()
+
+
 def test_answers_catch_paraphrases(spark):
     rng = random.Random(10)
     item = [f"q{k}" for k in range(40)]
