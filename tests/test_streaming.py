@@ -86,6 +86,15 @@ def test_walks_over_restarts_equal_the_batch_operators(spark, tmp_path):
     assert parts.count() == 2
 
 
+def test_walks_without_a_session_are_one_session_apart(spark, tmp_path):
+    """Rows of a null id follow other sessions' rows in the same task and take no part in them."""
+    minutes = {s: range(s, 60, 6) for s in range(6)}
+    df = walk_rows(spark, minutes, lambda s, k: 1.0 - k / 100 if k < 7 else 0.01 - k / 10000)
+    df = df.withColumn("session_id", F.when(F.col("session_id") != 2, F.col("session_id")))
+    parts = check_walks(spark, df, F.floor(F.col("m") / 20), 3, str(tmp_path))
+    assert parts.count() == 6
+
+
 def test_a_walk_that_returns_after_idle_hours_is_whole(spark, tmp_path):
     """Sessions idle for 31 hours while another one moves the event time on: closed, given out and joined again."""
     day = 24 * 60
