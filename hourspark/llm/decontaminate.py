@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import raw_text, small_batches, written
+from hourspark.llm.common import done_with, raw_text, small_batches, written
 
 SIMILARITY = 0.8  # common subsequence as a part of the item
 PARAPHRASE = 0.5  # the same for a passage that holds the item's answer
@@ -216,7 +216,7 @@ def _passages(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> tuple
     counted = found.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(vocabulary) + 1)
     df[counted["id"]] = counted["n"]
-    return df, found.where("ids IS NOT NULL").select("ids", "sizes")
+    return df, found.where("ids IS NOT NULL").select("ids", "sizes"), found
 
 
 def _together(passages: DataFrame, used: np.ndarray) -> DataFrame:
@@ -280,7 +280,7 @@ def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
         if not split:
             continue
         vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, words, end in split for w in [*words, *end]}))}
-        df, passages = _passages(docs, text, vocabulary)
+        df, passages, found = _passages(docs, text, vocabulary)
         idf = np.log((1 + df[0]) / (1 + df) + 0.1)
         spared = {i for _, words, _ in split if sum(df[vocabulary[w]] <= FREQUENT * df[0] for w in words) < FEWEST_RARE for i in (vocabulary[w] for w in words)}
         idf[[i for i in range(1, len(df)) if df[i] > FREQUENT * df[0] and i not in spared]] = 0
@@ -288,7 +288,9 @@ def spaces(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
         whole = [(np.array(ids, "<i4").tobytes(), np.array([len(ids)], "<i4").tobytes()) for ids in own]
         passages = spark.createDataFrame(whole, "ids binary, sizes binary").coalesce(1).unionByName(passages)
         rows = written(_together(passages, idf != 0), "fit")
+        done_with(found)
         basis = _with_items(_fitted(rows, idf), own, idf)
+        done_with(rows)
         latent = np.zeros((len(vocabulary) + 1, basis.shape[1]), np.float32)
         latent[1:] = basis * idf[1:, None]
         out.append(Space(vocabulary, latent, [(n, [vocabulary[w] for w in words], {vocabulary[w] for w in end}) for n, words, end in split]))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import WORD, free_name, raw_text, row_order, written
+from hourspark.llm.common import WORD, done_with, free_name, raw_text, row_order, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5  # words to take, as a multiple of all words
@@ -86,9 +86,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         F.col(doc_id).alias("doc_id"), row_order(doc_id).alias("o"), F.md5(F.coalesce(raw_text(text), F.lit(b""))).alias("key"),
         source_key(source).alias("s"), word_count(text).alias("size"),
     )
-    rows = written(rows.withColumn("turn", spread), "sizes")
-    slices = _slices(rows.count())
-    rows = rows.withColumn("slice", F.floor((F.col("turn") / 2.0**64 + 0.5) * slices))
+    sizes = written(rows.withColumn("turn", spread), "sizes")
+    slices = _slices(sizes.count())
+    rows = sizes.withColumn("slice", F.floor((F.col("turn") / 2.0**64 + 0.5) * slices))
     sources = with_targets(written(cycled_weights(rows.groupBy("s").agg(F.sum("size").alias("source_size")), weights), "weighted"), share)
     sums = rows.groupBy("s", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,6 +96,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     within = Window.partitionBy("s", "slice").orderBy("turn", "o", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queue = rows.withColumn("upto", F.sum("size").over(within)).join(written(sums, "sums"), ["s", "slice"])
     queue = written(queue.withColumn("upto", F.col("upto") + F.col("before")).drop("before", "slice"), "queue")
+    done_with(sizes)
 
     finish = [F.when(F.col("target") > 0, (F.col("upto") + F.col("source_size") * k) / F.col("target")).otherwise(0.0) for k in range(MOST)]
     place = [F.struct(f.alias("finish"), "s", "turn", "o", "key", "size") for f in finish]
@@ -124,14 +125,16 @@ def _last_taken(queue: DataFrame, sources: DataFrame, slices: int):  # type: ign
     order = ["finish", "s", "turn", "o", "key", "size"]
     inside = cut.where((F.col("slice") <= over["slice"]) & (F.col("slice") >= over["slice"] - 1)).select(*order)
     start = over["upto"] - over["words"] - (sums.where(F.col("slice") == over["slice"] - 1).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
-    last = None
+    last, spent = None, []
     while True:  # many sources may end at the same time: cut by the whole order until few rows are left
         inside = written(inside, "edge")
+        spent.append(inside)
         rows = inside.count()
         if rows <= SLICE_ROWS:
             break
         parts = min(MOST_PARTS, -(-2 * rows // SLICE_ROWS))
         dealt = written(inside.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "edge-parts")
+        spent.append(dealt)
         for part in dealt.groupBy("part").agg(F.sum("size").alias("words"), F.max(F.struct(*order)).alias("last")).orderBy("part").collect():
             if start + part["words"] > budget:
                 break
@@ -139,7 +142,9 @@ def _last_taken(queue: DataFrame, sources: DataFrame, slices: int):  # type: ign
         inside = dealt.where(F.col("part") == part["part"]).drop("part")
     upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(start)
     held = inside.withColumn("upto", upto).where(F.col("upto") <= budget).drop("upto")
-    return held.orderBy(*(F.col(c).desc() for c in order)).first() or last or {"finish": -1.0, "s": "", "turn": 0, "o": 0, "key": "", "size": 0}
+    final = held.orderBy(*(F.col(c).desc() for c in order)).first()
+    done_with(*spent)
+    return final or last or {"finish": -1.0, "s": "", "turn": 0, "o": 0, "key": "", "size": 0}
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -24,7 +24,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # as a fraction, so that limits are exact
 SAMPLE = 20_000  # texts whose shared shingles are put last, about
 SHARED = 400_000  # such shingles, at most; the others keep their places by hash
-TRIED = 3  # texts that a text is compared with first
+TRIED = 3  # texts that a text is compared with first, and in each further round
+ROUNDS = 8  # further rounds, at most; they go on while one pair of WORTH is similar
+WORTH = 32
 # In a block of more texts, pairs that are not joined yet meet by size.
 PAIRED_BLOCK = 64
 DEALT_BLOCK = 4_096  # the texts of a block fuller than this are dealt again by exact counts
@@ -126,13 +128,33 @@ def _may_be_similar(l: str = "l", r: str = "r") -> Column:
 
 
 def _first_tries(met: DataFrame) -> DataFrame:
-    """For each text up to TRIED pairs, with the first texts of its blocks."""
-    rows = met.select("item", F.struct("node", "n", "at").alias("r"))
+    """For each text up to TRIED pairs, with the texts that hold the items of its blocks first, so have fewest of their own."""
+    rows = met.select("item", F.struct("at", "node", "n").alias("r"))
     rows = rows.withColumn("l", F.min("r").over(Window.partitionBy("item"))).where((F.col("l.node") != F.col("r.node")) & _may_be_similar())
     pairs = rows.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     return pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("k") <= TRIED).drop("k")
 
 
+def _open(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``blocks`` whose block holds several components, with ``root`` and the block's largest one, ``most_of``."""
+    named = blocks.join(roots, "node", "left").select("item", "node", "n", "at", "count", F.coalesce("root", "node").alias("root"))
+    held = named.groupBy("item", "root").agg(F.count(F.lit(1)).alias("own"))
+    most = held.groupBy("item").agg(F.max(F.struct("own", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return named.join(most.select("item", F.col("m.root").alias("most_of")), "item")
+
+
+def _more_tries(rest: DataFrame, turn: int) -> DataFrame:
+    """For each text outside the largest component of a block up to TRIED pairs, with one text of that component and one
+    of the others: those that hold the item first, others each ``turn``."""
+    rows = rest.select("item", "most_of", F.struct(F.floor(F.col("at") / F.lit(turn + 1)).alias("late"), F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "at", "root").alias("r"))
+    inside = F.col("r.root") == F.col("most_of")
+    leads = rows.groupBy("item").agg(F.min(F.when(inside, F.col("r"))).alias("one"), F.min(F.when(~inside, F.col("r"))).alias("two"))
+    met = rows.where(~inside).join(leads, "item").select("r", F.explode(F.array("one", "two")).alias("l"))
+    pairs = met.where((F.col("l.root") != F.col("r.root")) & _may_be_similar()).select(F.col("r.node").alias("b"), F.col("l.node").alias("a")).distinct()
+    kept = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(turn)), "a"))).where(F.col("k") <= TRIED)
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _close_pairs(classes: DataFrame) -> DataFrame:
     """Pairs of ``classes`` by SimHash: those of one fingerprint with its least class, and the least ones of close fingerprints."""
     least = written(classes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
@@ -196,9 +218,10 @@ def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
 
     ``sets_of`` gives (node, n, items) for a table of nodes; only texts that meet others are asked for.  Every link
     is a similar pair.  Pairs of close SimHash fingerprints come first.  Then texts meet in blocks of a common prefix
-    item; those of blocks beyond DEALT_BLOCK are dealt into new blocks first.  A text is compared with the first texts of some of its blocks; after that only pairs
-    that are not joined yet are: all of a block of at most PAIRED_BLOCK, and in a fuller one the texts outside its
-    largest component with others of a fitting size.
+    item; those of blocks beyond DEALT_BLOCK are dealt into new blocks first.  A text is compared with the first texts of some
+    of its blocks, and in further rounds with a few texts of other components, so that a block of many similar texts is
+    joined by about as many pairs as it has texts.  Then all pairs that are not joined yet are compared: those of a block
+    of at most PAIRED_BLOCK, and in a fuller one the texts outside its largest component with others of a fitting size.
     """
     few, fullest = F.col("count") <= PAIRED_BLOCK, F.col("count") > DEALT_BLOCK
     met = written(_met(classes.select("node", "n", F.posexplode("prefix").alias("at", "item"))), "met")
@@ -213,16 +236,26 @@ def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
     tries = _first_tries(blocks).join(close, ["a", "b"], "left_anti")
     links = close.unionByName(_checked(written(tries, "tries"), classes, sets_of))
     roots = written(rooted(links), "joined")
-    named = blocks.join(roots, "node", "left").select("item", "node", "n", "at", "count", F.coalesce("root", "node").alias("root"))
-    held = named.groupBy("item", "root").agg(F.count(F.lit(1)).alias("own"))
-    most = held.groupBy("item").agg(F.max(F.struct("own", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rest = written(named.join(most.select("item", F.col("m.root").alias("most_of")), "item"), "open")
+    rest = written(_open(blocks, roots), "open")
+    spent += [roots, rest]
+    for turn in range(ROUNDS):
+        tries = written(_more_tries(rest, turn), "tries")
+        tried = tries.count()
+        found = _checked(tries, classes, sets_of)
+        similar = found.count()
+        if similar:
+            links = links.unionByName(found)
+            roots = written(rooted(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "joined")
+            rest = written(_open(rest.select(blocks.columns), roots), "open")
+            spent += [roots, rest]
+        if similar * WORTH < tried or not tried:
+            break
     apart = (F.col("l.root") != F.col("r.root")) & (F.col("l.node") < F.col("r.node"))
     full = rest.where(~few)
     inside, outside = full.where("root = most_of"), full.where("root <> most_of")
     pairs = _pairs(rest.where(few), rest.where(few), apart).unionByName(_by_size(outside, full)).unionByName(_by_size(inside, outside))
     pairs = written(pairs.distinct(), "apart")
-    done_with(*spent, roots, rest)
+    done_with(*spent)
     return links.unionByName(_checked(pairs, classes, sets_of))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourspark.llm.common import give_back, row_order, small_batches, written
+from hourspark.llm.common import done_with, give_back, row_order, small_batches, written
 from hourspark.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 65_536  # a block is closed by the document that reaches this
@@ -175,12 +175,14 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids that tasks have counted, with their counts."""
+    """The ids of all rows that this task reads, once each, with their counts added up."""
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column("counts").to_pylist():
-            total = np.frombuffer(raw, "<i8")
-            used = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "count"])
+        for raw in batch.column("counts"):
+            more = np.frombuffer(raw.as_buffer(), "<i8")
+            total = total + more if len(total) else more
+    used = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "count"])
 
 
 _BLOCKS = pa.schema([
@@ -238,6 +240,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = tokens.join(F.broadcast(parts.select("part", before.alias("before"))), "part").select("part", (F.col("before") + F.col("at")).alias("start"), "doc_id", "n_tokens", "ids")
     placed.mapInArrow(lambda b: _blocked(b, bits), _BLOCK_SCHEMA).write.partitionBy("part").parquet(os.path.join(folder, "blocks"))
+    done_with(rows_and_counts)
 
 
 def read_codes(spark: SparkSession, folder: str) -> Code:

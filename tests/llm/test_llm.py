@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,6 +380,49 @@ def test_one_of_each_leaves_no_similar_pair(spark, odd, none, monkeypatch, dealt
     assert near_copies.one_of_each(none).count() == 0
 
 
+def test_one_large_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    """Texts with up to three words of one text changed: hundreds of pairs of them are similar, as many are not."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(240):
+        words = list(base)
+        for at in rng.sample(range(150), 1 + k % 3):
+            words[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    pairs, written = {}, near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, label: pairs.setdefault(label, []).append(df.count()) or written(df, label))
+    kept = near_copies.one_of_each(docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert sum(pairs["tries"]) + sum(pairs["apart"]) <= 4 * len(texts)
+
+
+def test_a_task_tells_each_counted_id_once():
+    rows = [np.array(x, "<i8").tobytes() for x in ([0, 2, 0, 5], [1, 2, 0, 0], [0, 0, 0, 1])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["counts"]) for part in (rows[:2], rows[2:], [])]
+    out = [(i, n) for b in token_files._counted(iter(batches)) for i, n in zip(b["id"].to_pylist(), b["count"].to_pylist())]
+    assert out == [(0, 1), (1, 4), (3, 6)]
+    assert not sum(b.num_rows for b in token_files._counted(iter([])))
+
+
+def test_spent_step_tables_are_deleted(spark, tmp_path, monkeypatch):
+    docs = docs_of(spark, [(k, f"alpha beta {k} gamma delta {k % 3}", "en", "ab"[k % 2]) for k in range(12)])
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    paths: dict[str, list[str]] = {}
+    for module in (decontaminate, mixing, token_files):
+        def noted(df, label, real=module.written):
+            out = real(df, label)
+            paths.setdefault(label, []).append(out._written_to)
+            return out
+
+        monkeypatch.setattr(module, "written", noted)
+    decontaminate.decontaminated(docs, items).count()
+    mixing.mixed(docs).count()
+    token_files.write_token_files(docs, str(tmp_path / "f"), queries.tokenizer_path(), 2)
+    for label in ("passages", "fit", "sizes", "edge", "tokens"):
+        assert paths.get(label) and not any(os.path.exists(p) for p in paths[label]), label
+
+
 def test_near_copies_compare_fingerprints_first(spark, monkeypatch):
     rng, seen = random.Random(5), []
     base = words(rng, 600, 5000)
