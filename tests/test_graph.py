@@ -296,6 +296,22 @@ def test_nearest_never_broadcasts_cubes(spark, monkeypatch):
     assert joins and not [x for x in joins if "BroadcastHashJoin [level" not in x and "Broadcast" in x]
 
 
+def test_points_never_meet_at_wide_cubes(spark):
+    """The smallest occupied cube around a point is found for cubes, each once, however many points it holds."""
+    rng = random.Random(6)
+    rows = lambda n, w: [(i, 144.9 + rng.random() * w, -37.8 + rng.random() * w) for i in range(n)] + [(n, 145.0, -38.0)] * 50
+    p, s = (space.cubes(spark.createDataFrame(rows(n, w), f"{name} int, lon double, lat double"), "lon", "lat", 25.0) for n, w, name in ((150, 0.5, "i"), (40, 0.01, "site")))
+    top = space._levels(25.0)
+    whole = space.pyramid(s, "site", [], 25.0)
+    level = {tuple(r)[:4]: r.r_site for r in whole.select("level", *space.AXES, "r_site").collect()}
+    want = {}
+    for r in p.select(*space.AXES).distinct().collect():
+        want[tuple(r)] = next((k, level[k, *(c >> k for c in r)]) for k in range(top + 1) if (k, *(c >> k for c in r)) in level)
+    found = space._own_cubes(p, whole, [], top)
+    assert {(r.cx, r.cy, r.cz): (r.r.level, r.r.r_site) for r in found.collect()} == want
+    assert found.count() == len(want) == p.select(*space.AXES).distinct().count()
+
+
 def test_wide_cubes_are_cut_where_sites_crowd(spark, monkeypatch):
     """With 600 m cubes and 400 sites in two of them, a point meets the sites of small cubes only."""
     rng = random.Random(5)
