@@ -462,3 +462,37 @@ def test_crowded_copies_snap_once(spark):
     seen = graph.first_seen(df)
     assert seen.count() == 501 and seen.filter("lon = 144.96 AND lat = -37.81").first().ordinal == 0
     assert graph.leaders(seen, 20.0).filter("leader <> ordinal").count() == 0
+
+
+def test_penalty_tasks_hold_little_at_a_time():
+    """A batch of 10,000 requests is dealt to cubes in slices, with the rows it has when each request comes alone."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Rows:
+        schema = T.StructType([T.StructField("request_id", T.LongType())])
+
+        def mapInArrow(self, deal, kind):  # noqa: N802
+            return deal
+
+    deal, rng, n = spatial._spread(Rows()), np.random.default_rng(3), 10_000
+    sizes = rng.integers(0, 13, n)
+    ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    place = lambda low, wide: pa.array(low + rng.random(sizes.sum()) * wide)
+    near = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([place(144.9, 0.01), place(-37.8, 0.01)], ["lon", "lat"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), near], ["request_id", "near"])
+    tracemalloc.start()
+    rows = [r for out in deal(iter([batch])) for r in zip(*(out.column(c).to_pylist() for c in ("request_id", *space.AXES)), np.diff(out.column("near").offsets).tolist())]
+    tracemalloc.stop()
+    tracemalloc.start()
+    for _ in deal(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    alone = [r for i in range(300) for out in deal(iter([batch.slice(i, 1)])) for r in zip(*(out.column(c).to_pylist() for c in ("request_id", *space.AXES)), np.diff(out.column("near").offsets).tolist())]
+    assert rows[:len(alone)] == alone and len(alone) > 300
+    assert list(deal(iter([batch.slice(0, 0)]))) == []
