@@ -227,7 +227,7 @@ def largest_component(nodes: DataFrame, edges: DataFrame, labelled: DataFrame) -
 def path_shade(steps: DataFrame, edges: DataFrame, key: list[str] = ("request_id",)) -> DataFrame:
     """Length-weighted mean shade along each route; null if a step has none or the route has no length."""
     ahead = steps.select(*key, (F.col("seq") - 1).alias("seq"), F.col("node").alias("dst"))
-    moves = steps.withColumnRenamed("node", "src").join(ahead, [*key, "seq"])
+    moves = steps.withColumnRenamed("node", "src").join(ahead.hint("merge"), [*key, "seq"])
     met = moves.join(edges.select("src", "dst", "weight_m", "shade"), ["src", "dst"], "left")
     whole = F.count_if(F.col("shade").isNull()) == 0
     return met.groupBy(*key).agg(

@@ -288,7 +288,7 @@ def _penalties(network: Network, penalties: DataFrame | None, key: list[str]) ->
 def arrivals(searches: DataFrame, found: Found) -> DataFrame:
     """Cost and metres of every search; null where the ends are not connected."""
     ends = searches.select(*found.key, F.col("end_node").alias("node"))
-    return ends.join(found.state, [*found.key, "node"], "left").select(*found.key, "cost", "metres")
+    return ends.join(found.state.hint("merge"), [*found.key, "node"], "left").select(*found.key, "cost", "metres")
 
 
 def path_steps(searches: DataFrame, found: Found) -> DataFrame:
@@ -298,7 +298,8 @@ def path_steps(searches: DataFrame, found: Found) -> DataFrame:
     ones between are followed at the same time.  Only rows of the routes themselves are written.
     """
     key = found.key
-    state = found.state.select(*key, "node", "prev", "road", "hop", "skip")
+    # Ids and hops compress to a small part of their size: tables of all searches are never broadcast.
+    state = found.state.select(*key, "node", "prev", "road", "hop", "skip").hint("merge")
     ends = searches.select(*key, F.col("end_node").alias("node"))
     reached = cut(ends.join(state, [*key, "node"]))
     met, tips = reached, reached

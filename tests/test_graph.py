@@ -496,3 +496,20 @@ def test_penalty_tasks_hold_little_at_a_time():
     alone = [r for i in range(300) for out in deal(iter([batch.slice(i, 1)])) for r in zip(*(out.column(c).to_pylist() for c in ("request_id", *space.AXES)), np.diff(out.column("near").offsets).tolist())]
     assert rows[:len(alone)] == alone and len(alone) > 300
     assert list(deal(iter([batch.slice(0, 0)]))) == []
+
+
+def test_sites_and_steps_of_all_requests_are_not_broadcast(spark, monkeypatch):
+    """Small files can hold many rows: what grows with the requests is joined by sorting."""
+    written = []
+    monkeypatch.setattr(space, "cut", lambda df, real=space.cut: written.append(df) or real(df))
+    trips = spark.createDataFrame([(i, 144.95, -37.81, 144.96, -37.8) for i in range(3)], "request_id int, from_lon double, from_lat double, to_lon double, to_lat double")
+    sites = spark.createDataFrame([(i, 144.95 + i * 1e-4, -37.81 + i * 1e-4) for i in range(60)], "site_id int, lon double, lat double")
+    spatial.corridor_sites(trips, sites, "site_id")
+    told = next(df for df in written if "reach" in df.columns)
+    hinted = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in hinted[:hinted.index("Generate")]
+    edges = spark.createDataFrame([(1, 2, 5.0, 0.5), (2, 3, 5.0, 1.0)], "src int, dst int, weight_m double, shade double")
+    steps = spark.createDataFrame([(7, 0, 1), (7, 1, 2), (7, 2, 3)], "request_id int, seq int, node int")
+    shade = graph.path_shade(steps, edges)
+    assert "strategy=merge" in shade._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in shade.collect()] == [(7, 0.75)]
